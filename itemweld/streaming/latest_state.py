@@ -1,0 +1,49 @@
+"""Latest-wins state kept up to date from an append-only log.
+
+The log is read as a file stream; a streaming aggregate keeps the latest row of
+each key in the state store, and every micro-batch writes the keys it changed.
+Time in the row decides, not arrival, so late events cannot undo newer ones.
+"""
+
+from pyspark.sql import DataFrame, functions as F
+
+from itemweld.operators.review import latest
+from itemweld.sources.staging import Stages
+
+
+def follow(source: DataFrame, changes_path: str, checkpoint: str, key: str, order, columns):
+    """Start the stream (``availableNow``: works off what is there, then stops).
+
+    Each batch goes to its own folder, so a repeated batch replaces itself.
+    """
+    state = latest(source, key, order, columns)
+
+    def write(batch: DataFrame, batch_id: int):
+        batch.write.mode("overwrite").parquet(f"{changes_path}/batch_no={batch_id}")
+
+    return (state.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def read_state(spark, changes_path: str, schema, key: str) -> DataFrame:
+    """Current state: the row of the last batch that touched each key."""
+    df = spark.read.schema(schema.add("batch_no", "long")).parquet(changes_path)
+    rest = [c for c in df.columns if c not in (key, "batch_no")]
+    return (df.groupBy(key).agg(F.max_by(F.struct(*rest), "batch_no").alias("r"))
+            .select(key, *[F.col(f"r.{c}").alias(c) for c in rest]))
+
+
+def fold_log(log: DataFrame, stages: Stages, name: str, accept, key: str, order, columns,
+             files_per_batch=1) -> DataFrame:
+    """Run a stored log (a file relation) through the stream and return the state."""
+    spark = stages.spark
+    files = {f.rsplit("/", 1)[0] for f in log.inputFiles()}
+    if len(files) != 1:
+        raise ValueError("the log must be one stored table")
+    stream = (spark.readStream.schema(log.schema)
+              .option("maxFilesPerTrigger", files_per_batch).parquet(files.pop()))
+    changes = stages.path(f"{name}_changes")
+    query = follow(accept(stream), changes, stages.path(f"{name}_checkpoint"), key, order, columns)
+    query.awaitTermination()
+    schema = log.select(*columns).schema
+    return stages.save(read_state(spark, changes, schema, key), f"{name}_state")
