@@ -26,6 +26,7 @@ def local_session(cores="*", shuffle_partitions=8, app="itemweld", **conf) -> Sp
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
