@@ -13,6 +13,9 @@ Three things keep a crowded block in check:
 * cells that stay crowded are split over several tasks (`meet`).
 """
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from itemweld.functions.vectors import grid_cells, l2, similarity
@@ -23,10 +26,11 @@ BLOCK = ["part_category", "material"]
 SIZE = len(FEATURES)
 MAX_BANDS = 4          # cell dimensions at most
 CROWDED = 20_000       # rows of one cell handled by one task
+STRAGGLERS = 64        # probes that may be compared with their whole block
 BAND_SLACK = 1e-9      # widens cells so float division cannot lose a pair at r
 
 
-def fold_copies(vectors: DataFrame, weight=None) -> DataFrame:
+def fold_copies(vectors: DataFrame) -> DataFrame:
     """One row per distinct vector of a block: (rep, block, feature_vector, copies).
 
     Map-side combine makes a group of identical parts, however large, one row per
@@ -37,12 +41,13 @@ def fold_copies(vectors: DataFrame, weight=None) -> DataFrame:
         F.count(F.lit(1)).alias("copies"))
 
 
-def plan_bands(folded: DataFrame, radius: float, max_bands=MAX_BANDS) -> DataFrame:
-    """(part_category, bands): the dimensions to build cells on, most selective first.
+def plan_bands(folded: DataFrame, radius: float, max_bands=MAX_BANDS, partners=4.0) -> DataFrame:
+    """(part_category, bands, left): the dimensions to build cells on, most
+    selective first, and the log of the partners per part that they leave.
 
-    For each dimension the share of partner pairs that fall into the same cell is
-    measured; dimensions are added until about four partners per part are
-    expected or ``max_bands`` is reached. Constant dimensions never qualify.
+    For each dimension the share of partner pairs that fall into neighbouring cells
+    is measured; dimensions are added until about ``partners`` per part are expected
+    or ``max_bands`` is reached. Constant dimensions never qualify.
     """
     width = F.lit(2 * radius * (1 + BAND_SLACK))
     cells = (folded.select("part_category", F.posexplode("feature_vector").alias("dim", "z"))
@@ -54,18 +59,20 @@ def plan_bands(folded: DataFrame, radius: float, max_bands=MAX_BANDS) -> DataFra
              .where(F.col("squares") < F.col("rows") * F.col("rows")))
     # At most one row per feature in each window group.
     order = W.partitionBy("part_category").orderBy("hit", "dim")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
     picked = (share.withColumn("place", F.row_number().over(order))
-              .withColumn("expected", F.log("rows") + F.coalesce(F.sum(F.log("hit")).over(before), F.lit(0.0)))
+              .withColumn("after", F.log("rows") + F.sum(F.log("hit")).over(upto))
               .where((F.col("place") <= max_bands)
-                     & ((F.col("place") == 1) | (F.col("expected") > F.log(F.lit(4.0))))))
+                     & ((F.col("place") == 1)
+                        | (F.col("after") - F.log("hit") > F.log(F.lit(float(partners)))))))
     return (picked.groupBy("part_category")
-            .agg(F.sort_array(F.collect_list(F.struct("place", "dim"))).alias("ranked"))
-            .select("part_category", F.col("ranked.dim").alias("bands")))
+            .agg(F.sort_array(F.collect_list(F.struct("place", "dim"))).alias("ranked"),
+                 F.min("after").alias("left"))
+            .select("part_category", F.col("ranked.dim").alias("bands"), "left"))
 
 
 def _banded(df: DataFrame, bands: DataFrame, max_bands: int) -> DataFrame:
-    out = df.join(bands, "part_category", "left")
+    out = df.join(bands.select("part_category", "bands"), "part_category", "left")
     for i in range(max_bands):
         dim = F.get("bands", F.lit(i))
         out = out.withColumn(f"_x{i}", F.when(dim.isNotNull(), F.get("feature_vector", dim)))
@@ -102,11 +109,10 @@ def meet(left: DataFrame, right: DataFrame, keys, left_id: str, condition: Colum
     are dealt over the parts, the right rows are repeated in each, so each pair
     still meets once.
     """
-    heavy = stages.save(
-        left.groupBy(*keys).count().where(F.col("count") > crowded)
-            .select(*keys, F.ceil(F.col("count") / F.lit(crowded)).cast("int").alias("parts")),
-        "crowded")
+    heavy = (left.groupBy(*keys).count().where(F.col("count") > crowded)
+             .select(*keys, F.ceil(F.col("count") / F.lit(crowded)).cast("int").alias("parts")))
     if not heavy.isEmpty():
+        heavy = stages.save(heavy, "crowded")
         parts = F.coalesce(F.col("parts"), F.lit(1))
         left = (left.join(heavy, keys, "left")
                 .withColumn("part_no", F.pmod(F.xxhash64(left_id), parts).cast("int")).drop("parts"))
@@ -223,7 +229,7 @@ def rep_similarity(pairs: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def nearest(probes: DataFrame, vectors: DataFrame, k: int, stages: Stages,
-            start=0.25, growth=2.0, crowded=CROWDED) -> DataFrame:
+            growth=2.0, crowded=CROWDED) -> DataFrame:
     """The k nearest parts of each probe in its block: (part_id, neighbor_id, dist, rank).
 
     Exact, ordered by (dist, neighbor_id). The search radius grows round by round;
@@ -239,40 +245,42 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, stages: Stages,
                .withColumn("copy_no", F.row_number().over(by_copy))
                .where(F.col("copy_no") <= k + 1).drop("copy_no"), "candidates")
     probe_vectors = probes.select("part_id", *BLOCK, "feature_vector")
-    open_probes = stages.save(fold_copies(probe_vectors).select(
-        F.col("rep").alias("a"), *BLOCK, F.col("feature_vector").alias("va")), "open")
-    # Beyond this radius the ball covers every block: sqrt of the summed squared ranges.
+    owners = stages.save(fold_copies(probe_vectors), "probes")
+    right = candidates.select(F.col("part_id").alias("b"), *BLOCK, F.col("feature_vector").alias("vb"))
+
+    # Beyond this radius a ball covers every block: root of the summed squared ranges.
     spans = candidates.agg(*[
         (F.max(F.get("feature_vector", F.lit(i))) - F.min(F.get("feature_vector", F.lit(i)))).alias(f"s{i}")
         for i in range(SIZE)]).first()
-    widest = sum((s or 0.0) ** 2 for s in (spans or [])) ** 0.5 + 1.0
-    found = None
-    radius = start
+    widest = sum((s or 0.0) ** 2 for s in spans) ** 0.5 + 1.0
+    # Any cell dimensions give the same result, so they are chosen once. The first
+    # radius is the one at which the fullest category expects a few times k.
+    unit = 0.25
+    bands = stages.save(plan_bands(candidates, unit, partners=0.0), "bands")
+    need = bands.agg(F.min((F.log(F.lit(8.0 * k)) - F.col("left")) / F.size("bands"))).first()[0]
+    radius = min(widest, max(unit / 8, unit * math.exp(need or 0.0)))
+
+    open_probes = owners.select(F.col("rep").alias("a"), *BLOCK, F.col("feature_vector").alias("va"))
     order = W.partitionBy("a").orderBy("dist", "b")
-    right = candidates.select(F.col("part_id").alias("b"), *BLOCK, F.col("feature_vector").alias("vb"))
-    while not open_probes.isEmpty():
-        last = radius >= widest
-        bands = stages.save(
-            plan_bands(candidates, radius, max_bands=MAX_BANDS), "bands")
-        ranked = (band_pairs(open_probes, right, bands, radius, stages, F.lit(True), crowded=crowded)
-                  .withColumn("place", F.row_number().over(order))
-                  .where(F.col("place") <= k + 1))
-        ranked = stages.save(ranked.select("a", "b", "dist", "place"), "ranked")
-        if last:
-            done = ranked
-        else:
-            full = ranked.where(F.col("place") == k + 1).select("a")
-            done = ranked.join(full, "a", "left_semi")
-            open_probes = stages.save(open_probes.join(full, "a", "left_anti"), "open")
-        found = done if found is None else found.unionByName(done)
-        if last:
+    rounds = []
+    while True:
+        ranked = stages.save(
+            band_pairs(open_probes, right, bands, radius, stages, F.lit(True), crowded=crowded)
+            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+            .select("a", "b", "dist", "place"), "ranked")
+        if radius >= widest:
+            rounds.append(ranked)
+            break
+        full = ranked.where(F.col("place") == k + 1).select("a")
+        rounds.append(ranked.join(full, "a", "left_semi"))
+        open_probes = stages.save(open_probes.join(full, "a", "left_anti"), "open")
+        left = open_probes.count()
+        if left == 0:
             break
-        radius *= growth
-    if found is None:
-        return stages.spark.createDataFrame(
-            [], "part_id string, neighbor_id string, dist double, rank int")
-    owner = fold_copies(probe_vectors)
-    per_probe = copies_of(probe_vectors, owner).select("part_id", F.col("rep").alias("a"))
+        # The last stragglers: go to the end when all of them together are few rows.
+        radius = radius * growth if left > STRAGGLERS else widest
+    found = reduce(DataFrame.unionByName, rounds)
+    per_probe = copies_of(probe_vectors, owners).select("part_id", F.col("rep").alias("a"))
     final = W.partitionBy("part_id").orderBy("dist", "neighbor_id")
     return (per_probe.join(found, "a").where(F.col("part_id") != F.col("b"))
             .select("part_id", F.col("b").alias("neighbor_id"), "dist")

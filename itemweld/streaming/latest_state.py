@@ -34,16 +34,26 @@ def read_state(spark, changes_path: str, schema, key: str) -> DataFrame:
 
 
 def fold_log(log: DataFrame, stages: Stages, name: str, accept, key: str, order, columns,
-             files_per_batch=1) -> DataFrame:
-    """Run a stored log (a file relation) through the stream and return the state."""
+             files_per_batch=1, rows_per_partition=200_000) -> DataFrame:
+    """Run a stored log (a file relation) through the stream and return the state.
+
+    A stream keeps its number of state partitions for life, so it is taken from the
+    size of the log (at least one per core), not from the session's default.
+    """
     spark = stages.spark
+    partitions = max(spark.sparkContext.defaultParallelism, log.count() // rows_per_partition)
     files = {f.rsplit("/", 1)[0] for f in log.inputFiles()}
     if len(files) != 1:
         raise ValueError("the log must be one stored table")
     stream = (spark.readStream.schema(log.schema)
               .option("maxFilesPerTrigger", files_per_batch).parquet(files.pop()))
     changes = stages.path(f"{name}_changes")
-    query = follow(accept(stream), changes, stages.path(f"{name}_checkpoint"), key, order, columns)
+    default = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        query = follow(accept(stream), changes, stages.path(f"{name}_checkpoint"), key, order, columns)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", default)
     query.awaitTermination()
     schema = log.select(*columns).schema
     return stages.save(read_state(spark, changes, schema, key), f"{name}_state")
