@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from itemweld.functions.vectors import l2, similarity
 from itemweld.operators.ranking import quantiles
-from itemweld.schema import FEATURES
 from itemweld.sources.staging import Stages
 
 
@@ -76,9 +75,8 @@ def gate(measured: DataFrame, recall=0.95, precision=0.95, f1=0.95) -> DataFrame
                            F.coalesce(ok, F.lit(False)).alias("passed"))
 
 
-def labelled_distances(truth: DataFrame, vectors: DataFrame) -> DataFrame:
+def labelled_distances(truth: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
     """(relationship, part_category, base, variant, dist) whatever the block."""
-    size = len(FEATURES)
     base = vectors.select(F.col("part_id").alias("base_part_id"), F.col("feature_vector").alias("va"))
     variant = vectors.select(F.col("part_id").alias("variant_part_id"), F.col("feature_vector").alias("vb"))
     return (truth.join(base, "base_part_id").join(variant, "variant_part_id")
@@ -86,19 +84,19 @@ def labelled_distances(truth: DataFrame, vectors: DataFrame) -> DataFrame:
                     l2(F.col("va"), F.col("vb"), size).alias("dist")))
 
 
-def threshold_calibration(truth: DataFrame, vectors: DataFrame, stages: Stages) -> DataFrame:
+def threshold_calibration(truth: DataFrame, vectors: DataFrame, size: int, stages: Stages) -> DataFrame:
     """Spread of labelled distances: where a threshold can separate the kinds."""
-    dist = stages.save(labelled_distances(truth, vectors), "labelled")
+    dist = stages.save(labelled_distances(truth, vectors, size), "labelled")
     plain = dist.groupBy("relationship").agg(
         F.count(F.lit(1)).alias("pairs"), F.min("dist").alias("min_dist"), F.max("dist").alias("max_dist"))
     q = quantiles(dist, "relationship", "dist", {"p50_dist": 0.5, "p99_dist": 0.99}, stages)
     return plain.join(q, "relationship")
 
 
-def category_cutoffs(truth: DataFrame, vectors: DataFrame, stages: Stages, review_radius: float) -> DataFrame:
+def category_cutoffs(truth: DataFrame, vectors: DataFrame, size: int, stages: Stages, review_radius: float) -> DataFrame:
     """Per category: similarity from which a pair is automatic (covers 90 % of its
     labelled duplicates) and from which it goes to review."""
-    dup = labelled_distances(truth.where("relationship = 'duplicate'"), vectors)
+    dup = labelled_distances(truth.where("relationship = 'duplicate'"), vectors, size)
     q = quantiles(stages.save(dup, "duplicates"), "part_category", "dist", {"p90": 0.9}, stages)
     low = F.lit(1.0 / (1.0 + review_radius))
     return q.select("part_category", F.greatest(similarity(F.col("p90")), low).alias("high"), low.alias("low"))

@@ -53,3 +53,22 @@ def feature_vectors(parts: DataFrame, stats: DataFrame, features=FEATURES,
 
     return joined.select("part_id", "part_category", "material", *keep,
                          F.array(*[z(f) for f in features]).alias("feature_vector"))
+
+
+def compact(vectors: DataFrame, stats: DataFrame, features=FEATURES):
+    """The vectors without the dimensions that are constant in their category, and
+    the common length they are padded to.
+
+    A dimension without spread is 0 for every part of the category, so distances
+    stay the same, to the last bit, while the vector that joins shuffle and compare
+    shrinks from all features to the few a category has.
+    """
+    position = {f: i for i, f in enumerate(features)}
+    number = F.create_map(*[F.lit(x) for pair in position.items() for x in pair])
+    active = (stats.where(F.col("std") > 0).groupBy("part_category")
+              .agg(F.sort_array(F.collect_list(number[F.col("feature")])).alias("_dims")))
+    size = max(1, active.agg(F.max(F.size("_dims"))).first()[0] or 1)
+    packed = F.array(*[
+        F.coalesce(F.get("feature_vector", F.get("_dims", F.lit(i))), F.lit(0.0)) for i in range(size)])
+    points = vectors.join(active, "part_category", "left")
+    return points.select("part_id", "part_category", "material", packed.alias("feature_vector")), size

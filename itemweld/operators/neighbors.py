@@ -7,7 +7,8 @@ one of at most two or three cells per dimension. One side lists the cells its
 ball touches, the other side has exactly one home cell, hence every pair meets
 exactly once and needs no duplicate removal.
 
-Three things keep a crowded block in check:
+All functions take the compacted vectors of `features.compact` and their length
+``size``. Three things keep a crowded block in check:
 * exact copies are folded into one representative before any join (`fold_copies`),
 * the cell dimensions are chosen per category from the data (`plan_bands`),
 * cells that stay crowded are split over several tasks (`meet`).
@@ -18,12 +19,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from itemweld.functions.vectors import grid_cells, l2, similarity
-from itemweld.schema import FEATURES, GRID_CELL, GRID_COUNT, MATCH_DISTANCE
+from itemweld.functions.vectors import grid_cells, l2, similarity, within
+from itemweld.schema import GRID_CELL, GRID_COUNT, MATCH_DISTANCE
 from itemweld.sources.staging import Stages
 
 BLOCK = ["part_category", "material"]
-SIZE = len(FEATURES)
 MAX_BANDS = 4          # cell dimensions at most
 CROWDED = 20_000       # rows of one cell handled by one task
 STRAGGLERS = 64        # probes that may be compared with their whole block
@@ -64,7 +64,7 @@ def plan_bands(folded: DataFrame, radius: float, max_bands=MAX_BANDS, partners=4
               .withColumn("after", F.log("rows") + F.sum(F.log("hit")).over(upto))
               .where((F.col("place") <= max_bands)
                      & ((F.col("place") == 1)
-                        | (F.col("after") - F.log("hit") > F.log(F.lit(float(partners)))))))
+                        | (F.col("after") - F.log("hit") > F.log(F.lit(max(partners, 1e-9)))))))
     return (picked.groupBy("part_category")
             .agg(F.sort_array(F.collect_list(F.struct("place", "dim"))).alias("ranked"),
                  F.min("after").alias("left"))
@@ -122,7 +122,7 @@ def meet(left: DataFrame, right: DataFrame, keys, left_id: str, condition: Colum
     return left.join(right, list(keys)).where(condition)
 
 
-def band_pairs(left: DataFrame, right: DataFrame, bands: DataFrame, radius: float,
+def band_pairs(left: DataFrame, right: DataFrame, bands: DataFrame, radius: float, size: int,
                stages: Stages, condition: Column, max_bands=MAX_BANDS,
                crowded=CROWDED) -> DataFrame:
     """All (a, b, block, dist <= radius); ``left`` has (a, va), ``right`` (b, vb)."""
@@ -131,8 +131,9 @@ def band_pairs(left: DataFrame, right: DataFrame, bands: DataFrame, radius: floa
          .withColumnRenamed("feature_vector", "va"))
     r = (home_cells(right.withColumnRenamed("vb", "feature_vector"), bands, radius, max_bands)
          .withColumnRenamed("feature_vector", "vb"))
-    dist = l2(F.col("va"), F.col("vb"), SIZE)
-    met = meet(l, r, keys, "a", condition & (dist <= F.lit(radius)), stages, crowded)
+    dist = l2(F.col("va"), F.col("vb"), size)
+    near = within(F.col("va"), F.col("vb"), size, radius)
+    met = meet(l, r, keys, "a", condition & near, stages, crowded)
     extra = [c for c in left.columns + right.columns if c not in BLOCK + ["a", "va", "b", "vb"]]
     return met.select("a", "b", *BLOCK, *extra, dist.alias("dist"))
 
@@ -143,16 +144,16 @@ def _sides(folded: DataFrame):
     return left, right
 
 
-def folded_pairs_exact(folded: DataFrame, stages: Stages, radius=MATCH_DISTANCE,
+def folded_pairs_exact(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE,
                        bands=None, crowded=CROWDED) -> DataFrame:
     """Every pair of distinct vectors within ``radius``; nothing is missed."""
     if bands is None:
         bands = stages.save(plan_bands(folded, radius), "bands")
     left, right = _sides(folded)
-    return band_pairs(left, right, bands, radius, stages, F.col("a") < F.col("b"), crowded=crowded)
+    return band_pairs(left, right, bands, radius, size, stages, F.col("a") < F.col("b"), crowded=crowded)
 
 
-def folded_pairs_grid(folded: DataFrame, stages: Stages, radius=MATCH_DISTANCE,
+def folded_pairs_grid(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE,
                       cell=GRID_CELL, count=GRID_COUNT, crowded=CROWDED) -> DataFrame:
     """Pairs within ``radius`` that share a cell in all dimensions on one of
     ``count`` shifted grids. Misses pairs split by every grid; kept because its
@@ -162,17 +163,18 @@ def folded_pairs_grid(folded: DataFrame, stages: Stages, radius=MATCH_DISTANCE,
         F.struct(F.lit(i).alias("grid"), F.lit(cell * i / count).alias("shift")) for i in range(count)])
     celled = (folded.withColumn("g", F.explode(shifts))
               .select("rep", *BLOCK, "feature_vector", F.col("g.grid").alias("grid"),
-                      grid_cells(F.col("feature_vector"), SIZE, cell, F.col("g.shift")).alias("cells")))
+                      grid_cells(F.col("feature_vector"), size, cell, F.col("g.shift")).alias("cells")))
     left = celled.select(F.col("rep").alias("a"), *BLOCK, "grid", "cells", F.col("feature_vector").alias("va"))
     right = celled.select(F.col("rep").alias("b"), *BLOCK, "grid", "cells", F.col("feature_vector").alias("vb"))
-    dist = l2(F.col("va"), F.col("vb"), SIZE)
+    dist = l2(F.col("va"), F.col("vb"), size)
+    near = within(F.col("va"), F.col("vb"), size, radius)
     met = meet(left, right, BLOCK + ["grid", "cells"], "a",
-               (F.col("a") < F.col("b")) & (dist <= F.lit(radius)), stages, crowded)
+               (F.col("a") < F.col("b")) & near, stages, crowded)
     # Distances are checked first, so only true pairs reach this shuffle.
     return met.select("a", "b", *BLOCK, dist.alias("dist")).dropDuplicates(["a", "b"])
 
 
-def folded_pairs_lsh(folded: DataFrame, stages: Stages, radius=MATCH_DISTANCE,
+def folded_pairs_lsh(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE,
                      bucket_length=None, tables=8, seed=7, crowded=CROWDED) -> DataFrame:
     """Pairs found by random projections (approximate: a subset of the exact ones)."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -188,9 +190,10 @@ def folded_pairs_lsh(folded: DataFrame, stages: Stages, radius=MATCH_DISTANCE,
     hashed = stages.save(hashed, "lsh")
     left = hashed.select(F.col("rep").alias("a"), *BLOCK, "tbl", "bucket", F.col("feature_vector").alias("va"))
     right = hashed.select(F.col("rep").alias("b"), *BLOCK, "tbl", "bucket", F.col("feature_vector").alias("vb"))
-    dist = l2(F.col("va"), F.col("vb"), SIZE)
+    dist = l2(F.col("va"), F.col("vb"), size)
+    near = within(F.col("va"), F.col("vb"), size, radius)
     met = meet(left, right, BLOCK + ["tbl", "bucket"], "a",
-               (F.col("a") < F.col("b")) & (dist <= F.lit(radius)), stages, crowded)
+               (F.col("a") < F.col("b")) & near, stages, crowded)
     return met.select("a", "b", *BLOCK, dist.alias("dist")).dropDuplicates(["a", "b"])
 
 
@@ -228,7 +231,7 @@ def rep_similarity(pairs: DataFrame, folded: DataFrame) -> DataFrame:
     return near.unionByName(same).groupBy("rep").agg(F.max("similarity").alias("similarity"))
 
 
-def nearest(probes: DataFrame, vectors: DataFrame, k: int, stages: Stages,
+def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: Stages,
             growth=2.0, crowded=CROWDED) -> DataFrame:
     """The k nearest parts of each probe in its block: (part_id, neighbor_id, dist, rank).
 
@@ -251,7 +254,7 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, stages: Stages,
     # Beyond this radius a ball covers every block: root of the summed squared ranges.
     spans = candidates.agg(*[
         (F.max(F.get("feature_vector", F.lit(i))) - F.min(F.get("feature_vector", F.lit(i)))).alias(f"s{i}")
-        for i in range(SIZE)]).first()
+        for i in range(size)]).first()
     widest = sum((s or 0.0) ** 2 for s in spans) ** 0.5 + 1.0
     # Any cell dimensions give the same result, so they are chosen once. The first
     # radius is the one at which the fullest category expects a few times k.
@@ -265,7 +268,7 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, stages: Stages,
     rounds = []
     while True:
         ranked = stages.save(
-            band_pairs(open_probes, right, bands, radius, stages, F.lit(True), crowded=crowded)
+            band_pairs(open_probes, right, bands, radius, size, stages, F.lit(True), crowded=crowded)
             .withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
             .select("a", "b", "dist", "place"), "ranked")
         if radius >= widest:

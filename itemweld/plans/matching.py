@@ -14,6 +14,7 @@ class Match:
     """Stage tables of one build."""
     stats: DataFrame
     vectors: DataFrame
+    points: DataFrame
     folded: DataFrame
     pairs: DataFrame
     labels: DataFrame
@@ -27,14 +28,19 @@ def build_features(parts: DataFrame, stages: Stages, features=FEATURES, digits=6
     return stats, vectors
 
 
-def build_pairs(vectors: DataFrame, stages: Stages, radius=MATCH_DISTANCE, method="exact",
+def build_points(vectors: DataFrame, stats: DataFrame, stages: Stages, features=FEATURES):
+    points, size = FT.compact(vectors, stats, features)
+    return stages.save(points, "points"), size
+
+
+def build_pairs(points: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE, method="exact",
                 crowded=N.CROWDED):
-    folded = stages.save(N.fold_copies(vectors), "folded")
+    folded = stages.save(N.fold_copies(points), "folded")
     find = {"exact": N.folded_pairs_exact, "grid": N.folded_pairs_grid}[method]
-    return folded, stages.save(find(folded, stages, radius, crowded=crowded), "pairs")
+    return folded, stages.save(find(folded, size, stages, radius, crowded=crowded), "pairs")
 
 
-def label_parts(vectors: DataFrame, folded: DataFrame, pairs: DataFrame, stages: Stages) -> DataFrame:
+def label_parts(points: DataFrame, folded: DataFrame, pairs: DataFrame, stages: Stages) -> DataFrame:
     """(part_id, comp, similarity) for every part that has a partner.
 
     Components run on representatives only; copies join in by their vector, so a
@@ -48,7 +54,7 @@ def label_parts(vectors: DataFrame, folded: DataFrame, pairs: DataFrame, stages:
               .join(N.rep_similarity(pairs, folded), "rep"))
     named = folded.join(labels, "rep").select(*N.BLOCK, "feature_vector", "comp", "similarity")
     return stages.save(
-        vectors.join(named, N.BLOCK + ["feature_vector"]).select("part_id", "comp", "similarity"),
+        points.join(named, N.BLOCK + ["feature_vector"]).select("part_id", "comp", "similarity"),
         "labels")
 
 
@@ -71,8 +77,9 @@ def build_groups(members: DataFrame, parts: DataFrame, offers: DataFrame, stages
 def build(parts: DataFrame, models: DataFrame, offers: DataFrame, stages: Stages,
           radius=MATCH_DISTANCE, method="exact", digits=6, features=FEATURES) -> Match:
     stats, vectors = build_features(parts, stages, features, digits)
-    folded, pairs = build_pairs(vectors, stages, radius, method)
-    labels = label_parts(vectors, folded, pairs, stages)
+    points, size = build_points(vectors, stats, stages, features)
+    folded, pairs = build_pairs(points, size, stages, radius, method)
+    labels = label_parts(points, folded, pairs, stages)
     members = build_members(labels, parts, models, stages)
     groups = build_groups(members, parts, offers, stages)
-    return Match(stats, vectors, folded, pairs, labels, members, groups)
+    return Match(stats, vectors, points, folded, pairs, labels, members, groups)

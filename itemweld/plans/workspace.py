@@ -67,9 +67,21 @@ class Workspace:
     def vectors(self):
         return self.features[1]
 
+    @cached_property
+    def _points(self):
+        return matching.build_points(self.vectors, self.stats, self.stages)
+
+    @property
+    def points(self):
+        return self._points[0]
+
+    @property
+    def size(self):
+        return self._points[1]
+
     @cached_property
     def folded_pairs(self):
-        return matching.build_pairs(self.vectors, self.stages)
+        return matching.build_pairs(self.points, self.size, self.stages)
 
     @property
     def folded(self):
@@ -77,7 +89,7 @@ class Workspace:
 
     @cached_property
     def copies(self):
-        return self._save(N.copies_of(self.vectors, self.folded), "copies")
+        return self._save(N.copies_of(self.points, self.folded), "copies")
 
     @cached_property
     def pairs(self):
@@ -85,13 +97,13 @@ class Workspace:
 
     @cached_property
     def wide_pairs(self):
-        found = N.folded_pairs_exact(self.folded, self.stages, WIDE_DISTANCE)
+        found = N.folded_pairs_exact(self.folded, self.size, self.stages, WIDE_DISTANCE)
         return self._save(N.unfold_pairs(found, self.copies), "wide_pair_list")
 
     # match facts
     @cached_property
     def labels(self):
-        return matching.label_parts(self.vectors, *self.folded_pairs, self.stages)
+        return matching.label_parts(self.points, *self.folded_pairs, self.stages)
 
     @cached_property
     def members(self):

@@ -152,25 +152,25 @@ def near_pairs_exact(ws):
 
 @query
 def near_pairs_grid(ws):
-    found = N.folded_pairs_grid(ws.folded, ws.stages, WIDE_DISTANCE)
+    found = N.folded_pairs_grid(ws.folded, ws.size, ws.stages, WIDE_DISTANCE)
     return N.unfold_pairs(found, ws.copies).select("a", "b", "part_category", "material", "dist", "sim")
 
 
 @query
 def near_pairs_lsh(ws):
-    found = N.folded_pairs_lsh(ws.folded, ws.stages, WIDE_DISTANCE)
+    found = N.folded_pairs_lsh(ws.folded, ws.size, ws.stages, WIDE_DISTANCE)
     return N.unfold_pairs(found, ws.copies).select("a", "b", "part_category", "material", "dist", "sim")
 
 
 @query
 def knn_topk(ws):
-    return N.nearest(ws.vectors, ws.vectors, NEIGHBOURS, ws.stages)
+    return N.nearest(ws.points, ws.points, NEIGHBOURS, ws.size, ws.stages)
 
 
 @query
 def find_similar(ws):
-    probes = ws.vectors.join(ws.truth.select(F.col("variant_part_id").alias("part_id")), "part_id", "left_semi")
-    return (N.nearest(probes, ws.vectors, SIMILAR, ws.stages)
+    probes = ws.points.join(ws.truth.select(F.col("variant_part_id").alias("part_id")), "part_id", "left_semi")
+    return (N.nearest(probes, ws.points, SIMILAR, ws.size, ws.stages)
             .select("part_id", "neighbor_id", "rank", similarity(F.col("dist")).alias("sim")))
 
 
@@ -182,13 +182,13 @@ def similarity_percentile(ws):
 
 @query
 def flag_bands(ws):
-    cut = EV.category_cutoffs(ws.truth, ws.vectors, ws.stages, WIDE_DISTANCE / 2)
+    cut = EV.category_cutoffs(ws.truth, ws.points, ws.size, ws.stages, WIDE_DISTANCE / 2)
     return EV.flag_bands(ws.wide_pairs, cut)
 
 
 @query
 def threshold_calibration(ws):
-    out = EV.threshold_calibration(ws.truth, ws.vectors, ws.stages)
+    out = EV.threshold_calibration(ws.truth, ws.points, ws.size, ws.stages)
     return rounded(out, 6, "min_dist", "max_dist", "p50_dist", "p99_dist")
 
 
