@@ -25,7 +25,7 @@ from itemweld.sources.staging import Stages
 
 BLOCK = ["part_category", "material"]
 MAX_BANDS = 4          # cell dimensions at most
-CROWDED = 20_000       # rows of one cell handled by one task
+CROWDED = 4_000        # rows of one cell that one task compares with its partners
 STRAGGLERS = 64        # probes that may be compared with their whole block
 BAND_SLACK = 1e-9      # widens cells so float division cannot lose a pair at r
 
@@ -99,25 +99,25 @@ def touched_cells(df: DataFrame, bands: DataFrame, radius: float, max_bands=MAX_
     return out
 
 
-def meet(left: DataFrame, right: DataFrame, keys, left_id: str, condition: Column,
+def meet(left: DataFrame, right: DataFrame, keys, right_id: str, condition: Column,
          stages: Stages, crowded=CROWDED) -> DataFrame:
     """Inner equi-join for a many-to-many key, split where a key is crowded.
 
     Comparisons grow with the product of both sides, so a key can be far too much
-    for one task while still small in bytes, where AQE sees no skew. Keys are
-    counted (map-side combined); a crowded key is cut into parts: the left rows
-    are dealt over the parts, the right rows are repeated in each, so each pair
-    still meets once.
+    for one task while still small in bytes, where AQE sees no skew. The right rows
+    of each key are counted (map-side combined); those of a crowded key are dealt
+    over several parts and its left rows repeated in each, so each pair still meets
+    exactly once.
     """
-    heavy = (left.groupBy(*keys).count().where(F.col("count") > crowded)
+    heavy = (right.groupBy(*keys).count().where(F.col("count") > crowded)
              .select(*keys, F.ceil(F.col("count") / F.lit(crowded)).cast("int").alias("parts")))
     if not heavy.isEmpty():
         heavy = stages.save(heavy, "crowded")
         parts = F.coalesce(F.col("parts"), F.lit(1))
-        left = (left.join(heavy, keys, "left")
-                .withColumn("part_no", F.pmod(F.xxhash64(left_id), parts).cast("int")).drop("parts"))
         right = (right.join(heavy, keys, "left")
-                 .withColumn("part_no", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"))
+                 .withColumn("part_no", F.pmod(F.xxhash64(right_id), parts).cast("int")).drop("parts"))
+        left = (left.join(heavy, keys, "left")
+                .withColumn("part_no", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"))
         keys = list(keys) + ["part_no"]
     return left.join(right, list(keys)).where(condition)
 
@@ -133,7 +133,7 @@ def band_pairs(left: DataFrame, right: DataFrame, bands: DataFrame, radius: floa
          .withColumnRenamed("feature_vector", "vb"))
     dist = l2(F.col("va"), F.col("vb"), size)
     near = within(F.col("va"), F.col("vb"), size, radius)
-    met = meet(l, r, keys, "a", condition & near, stages, crowded)
+    met = meet(l, r, keys, "b", condition & near, stages, crowded)
     extra = [c for c in left.columns + right.columns if c not in BLOCK + ["a", "va", "b", "vb"]]
     return met.select("a", "b", *BLOCK, *extra, dist.alias("dist"))
 
@@ -168,7 +168,7 @@ def folded_pairs_grid(folded: DataFrame, size: int, stages: Stages, radius=MATCH
     right = celled.select(F.col("rep").alias("b"), *BLOCK, "grid", "cells", F.col("feature_vector").alias("vb"))
     dist = l2(F.col("va"), F.col("vb"), size)
     near = within(F.col("va"), F.col("vb"), size, radius)
-    met = meet(left, right, BLOCK + ["grid", "cells"], "a",
+    met = meet(left, right, BLOCK + ["grid", "cells"], "b",
                (F.col("a") < F.col("b")) & near, stages, crowded)
     # Distances are checked first, so only true pairs reach this shuffle.
     return met.select("a", "b", *BLOCK, dist.alias("dist")).dropDuplicates(["a", "b"])
@@ -192,7 +192,7 @@ def folded_pairs_lsh(folded: DataFrame, size: int, stages: Stages, radius=MATCH_
     right = hashed.select(F.col("rep").alias("b"), *BLOCK, "tbl", "bucket", F.col("feature_vector").alias("vb"))
     dist = l2(F.col("va"), F.col("vb"), size)
     near = within(F.col("va"), F.col("vb"), size, radius)
-    met = meet(left, right, BLOCK + ["tbl", "bucket"], "a",
+    met = meet(left, right, BLOCK + ["tbl", "bucket"], "b",
                (F.col("a") < F.col("b")) & near, stages, crowded)
     return met.select("a", "b", *BLOCK, dist.alias("dist")).dropDuplicates(["a", "b"])
 

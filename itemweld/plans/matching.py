@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from itemweld.operators import components as C, economics as E, features as FT, neighbors as N
+from itemweld.operators import components as C, crowds as K, economics as E, features as FT, neighbors as N
 from itemweld.schema import FEATURES, MATCH_DISTANCE
 from itemweld.sources.staging import Stages
 
@@ -16,7 +16,7 @@ class Match:
     vectors: DataFrame
     points: DataFrame
     folded: DataFrame
-    pairs: DataFrame
+    pairs: DataFrame | None
     labels: DataFrame
     members: DataFrame
     groups: DataFrame
@@ -33,25 +33,39 @@ def build_points(vectors: DataFrame, stats: DataFrame, stages: Stages, features=
     return stages.save(points, "points"), size
 
 
-def build_pairs(points: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE, method="exact",
-                crowded=N.CROWDED):
-    folded = stages.save(N.fold_copies(points), "folded")
-    find = {"exact": N.folded_pairs_exact, "grid": N.folded_pairs_grid}[method]
-    return folded, stages.save(find(folded, size, stages, radius, crowded=crowded), "pairs")
+def fold(points: DataFrame, stages: Stages) -> DataFrame:
+    return stages.save(N.fold_copies(points), "folded")
 
 
-def label_parts(points: DataFrame, folded: DataFrame, pairs: DataFrame, stages: Stages) -> DataFrame:
+def find_pairs(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE, method="exact",
+               bands=None) -> DataFrame:
+    """Near pairs of distinct vectors."""
+    if method == "grid":
+        found = N.folded_pairs_grid(folded, size, stages, radius)
+    else:
+        found = N.folded_pairs_exact(folded, size, stages, radius, bands)
+    return stages.save(found, "pairs")
+
+
+def label_parts(points: DataFrame, folded: DataFrame, pairs, size: int, stages: Stages,
+                radius=MATCH_DISTANCE) -> DataFrame:
     """(part_id, comp, similarity) for every part that has a partner.
 
-    Components run on representatives only; copies join in by their vector, so a
-    group of copies adds no edges at all.
+    From the near pairs, or without them (``pairs`` None) where the catalogue is too
+    crowded to list them. Components run on representatives only; copies join in by
+    their vector, so a group of copies adds no edges at all.
     """
-    comps = C.connected_components(pairs, stages)
-    lone = (folded.where(F.col("copies") > 1).select(F.col("rep").alias("id"))
-            .join(comps.select("id"), "id", "left_anti")
-            .select("id", F.col("id").alias("comp")))
-    labels = (comps.unionByName(lone).withColumnRenamed("id", "rep")
-              .join(N.rep_similarity(pairs, folded), "rep"))
+    if pairs is None:
+        comps = K.crowd_components(folded, size, stages, radius)
+        best = K.crowd_similarity(folded, size, stages, radius)
+    else:
+        comps = C.connected_components(pairs, stages)
+        lone = (folded.where(F.col("copies") > 1).select(F.col("rep").alias("id"))
+                .join(comps.select("id"), "id", "left_anti")
+                .select("id", F.col("id").alias("comp")))
+        comps = comps.unionByName(lone)
+        best = N.rep_similarity(pairs, folded)
+    labels = comps.withColumnRenamed("id", "rep").join(best, "rep")
     named = folded.join(labels, "rep").select(*N.BLOCK, "feature_vector", "comp", "similarity")
     return stages.save(
         points.join(named, N.BLOCK + ["feature_vector"]).select("part_id", "comp", "similarity"),
@@ -75,11 +89,19 @@ def build_groups(members: DataFrame, parts: DataFrame, offers: DataFrame, stages
 
 
 def build(parts: DataFrame, models: DataFrame, offers: DataFrame, stages: Stages,
-          radius=MATCH_DISTANCE, method="exact", digits=6, features=FEATURES) -> Match:
+          radius=MATCH_DISTANCE, method="exact", digits=6, features=FEATURES,
+          crowd_work=K.CROWD_WORK) -> Match:
     stats, vectors = build_features(parts, stages, features, digits)
     points, size = build_points(vectors, stats, stages, features)
-    folded, pairs = build_pairs(points, size, stages, radius, method)
-    labels = label_parts(points, folded, pairs, stages)
+    folded = fold(points, stages)
+    pairs = None
+    if method == "grid":
+        pairs = find_pairs(folded, size, stages, radius, method)
+    else:
+        bands = stages.save(N.plan_bands(folded, radius), "bands")
+        if not K.is_crowded(folded, bands, radius, work=crowd_work):
+            pairs = find_pairs(folded, size, stages, radius, bands=bands)
+    labels = label_parts(points, folded, pairs, size, stages, radius)
     members = build_members(labels, parts, models, stages)
     groups = build_groups(members, parts, offers, stages)
     return Match(stats, vectors, points, folded, pairs, labels, members, groups)

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from itemweld import session
-from itemweld.operators import economics as E, evaluation as EV, neighbors as N, review as R
+from itemweld.operators import crowds, economics as E, evaluation as EV, neighbors as N, review as R
 from itemweld.plans import matching, serving
 from itemweld.schema import MATCH_DISTANCE
 from itemweld.sources import orders_catalog as OC
@@ -80,12 +80,16 @@ class Workspace:
         return self._points[1]
 
     @cached_property
-    def folded_pairs(self):
-        return matching.build_pairs(self.points, self.size, self.stages)
-
-    @property
     def folded(self):
-        return self.folded_pairs[0]
+        return matching.fold(self.points, self.stages)
+
+    @cached_property
+    def bands(self):
+        return self._save(N.plan_bands(self.folded, MATCH_DISTANCE), "bands")
+
+    @cached_property
+    def folded_pairs(self):
+        return matching.find_pairs(self.folded, self.size, self.stages, bands=self.bands)
 
     @cached_property
     def copies(self):
@@ -93,7 +97,7 @@ class Workspace:
 
     @cached_property
     def pairs(self):
-        return self._save(N.unfold_pairs(self.folded_pairs[1], self.copies), "pair_list")
+        return self._save(N.unfold_pairs(self.folded_pairs, self.copies), "pair_list")
 
     @cached_property
     def wide_pairs(self):
@@ -103,7 +107,9 @@ class Workspace:
     # match facts
     @cached_property
     def labels(self):
-        return matching.label_parts(self.points, *self.folded_pairs, self.stages)
+        crowded = crowds.is_crowded(self.folded, self.bands, MATCH_DISTANCE)
+        return matching.label_parts(self.points, self.folded, None if crowded else self.folded_pairs,
+                                    self.size, self.stages)
 
     @cached_property
     def members(self):
