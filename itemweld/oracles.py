@@ -36,13 +36,14 @@ def _same_grid(i):
         f"floor((x.z_{f} + {shift}) / {cell}) = floor((y.z_{f} + {shift}) / {cell})" for f in _ACTIVE)
 
 
-def _round(column, digits):
-    """Half-up on the decimal text, after the noise of summation order is dropped."""
-    text = f"CAST(round({column}, {digits + 5}) AS VARCHAR)"
-    return f"CAST(CAST({text} AS DECIMAL(28, {digits})) AS DOUBLE) + 0.0 AS {column}"
+def _round(expression, digits, alias=None):
+    """Half-up on the decimal text, after the noise of summation order is dropped;
+    the counterpart of `registry.rounded`."""
+    text = f"CAST(round({expression}, {digits + 5}) AS VARCHAR)"
+    return f"CAST(CAST({text} AS DECIMAL(28, {digits})) AS DOUBLE) + 0.0 AS {alias or expression}"
 
 
-_SUM_COLUMNS = ("round(avg_similarity, 6) AS avg_similarity, group_best_price, "
+_SUM_COLUMNS = (f"{_round('avg_similarity', 6)}, group_best_price, "
                 f"{_round('total_current_spend', 4)}, {_round('savings_potential', 4)}")
 _GROUP_COLUMNS = ("group_id, part_category, material, member_count, models_spanned, machine_types_spanned, "
                   f"plants_spanned, {_SUM_COLUMNS}")
@@ -229,7 +230,7 @@ BODIES = {
     "gen_ground_truth": """SELECT substr(part_id, 1, length(part_id) - 2) AS base_part_id, part_id AS variant_part_id,
         CASE right(part_id, 2) WHEN '-D' THEN 'duplicate' WHEN '-H' THEN 'hard_negative' ELSE 'near_miss' END AS relationship,
         part_category FROM g_every WHERE contains(part_id, '-')""",
-    "feature_stats": "SELECT part_category, feature, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std FROM stats",
+    "feature_stats": f"SELECT part_category, feature, {_round('mean', 6)}, {_round('std', 6)} FROM stats",
     "feature_vectors": " UNION ALL ".join(
         f"SELECT part_id, {i} AS position, {f'z_{f}' if f in _NAMED else '0.0::DOUBLE'} AS z FROM vectors"
         for i, f in enumerate(FEATURES)),
@@ -246,9 +247,9 @@ BODIES = {
         WHEN sim >= low THEN 'review' ELSE 'drop' END AS band FROM wide_pairs LEFT JOIN (
         SELECT part_category, greatest(1 / (1 + quantile_cont(dist, 0.9)), {1.0 / (1.0 + WIDE_DISTANCE / 2)!r}::DOUBLE) AS high,
         {1.0 / (1.0 + WIDE_DISTANCE / 2)!r}::DOUBLE AS low FROM label_dist WHERE relationship = 'duplicate' GROUP BY 1) USING (part_category)""",
-    "threshold_calibration": """SELECT relationship, count(*) AS pairs, round(min(dist), 6) + 0.0 AS min_dist,
-        round(max(dist), 6) + 0.0 AS max_dist, round(quantile_cont(dist, 0.5), 6) + 0.0 AS p50_dist,
-        round(quantile_cont(dist, 0.99), 6) + 0.0 AS p99_dist FROM label_dist GROUP BY relationship""",
+    "threshold_calibration": f"""SELECT relationship, count(*) AS pairs, {_round('min(dist)', 6, 'min_dist')},
+        {_round('max(dist)', 6, 'max_dist')}, {_round('quantile_cont(dist, 0.5)', 6, 'p50_dist')},
+        {_round('quantile_cont(dist, 0.99)', 6, 'p99_dist')} FROM label_dist GROUP BY relationship""",
     "connected_components": "SELECT part_id, comp FROM labels",
     "group_ids": "SELECT group_id, part_id FROM labels JOIN gids USING (comp)",
     "member_similarity": "SELECT part_id, similarity FROM node_sim",
@@ -256,8 +257,8 @@ BODIES = {
     "member_best_price": "SELECT part_id, member_best FROM best",
     "group_savings": f"""SELECT group_id, group_best_price, {_round('total_current_spend', 4)},
         group_volume, {_round('savings_potential', 4)} FROM savings""",
-    "group_spans": """SELECT group_id, part_category, material, member_count, models_spanned, machine_types_spanned,
-        plants_spanned, round(avg_similarity, 6) AS avg_similarity FROM spans""",
+    "group_spans": f"""SELECT group_id, part_category, material, member_count, models_spanned, machine_types_spanned,
+        plants_spanned, {_round('avg_similarity', 6)} FROM spans""",
     "match_groups": f"SELECT {_GROUP_COLUMNS} FROM groups",
     "offer_price_gap": f"""SELECT group_id, part_id, supplier_id, net_price, lead_time_days,
         min(net_price) OVER (PARTITION BY group_id) AS best_price,
@@ -266,11 +267,11 @@ BODIES = {
         QUALIFY row_number() OVER (PARTITION BY part_id, supplier_id ORDER BY {_NET}, price_per_unit) = 1)""",
     "group_price_leadtime_gap": f"""SELECT group_id, count(*) AS offer_count, max({_NET}) - min({_NET}) AS price_gap,
         max(lead_time_days) - min(lead_time_days) AS lead_time_gap FROM members JOIN offers USING (part_id) GROUP BY group_id""",
-    "savings_by_plant": """SELECT plant_id, count(*) AS grouped_parts,
-        round(coalesce(sum((member_best - group_best_price) * annual_volume), 0), 4) + 0.0 AS savings_potential
+    "savings_by_plant": f"""SELECT plant_id, count(*) AS grouped_parts,
+        {_round('coalesce(sum((member_best - group_best_price) * annual_volume), 0)', 4, 'savings_potential')}
         FROM priced JOIN savings USING (group_id) GROUP BY plant_id""",
-    "rationalization_progress": """SELECT *, round(100.0::DOUBLE * grouped_parts / parts, 6) AS grouped_pct,
-        round(100.0::DOUBLE * normalized_parts / parts, 6) AS normalized_pct FROM (SELECT
+    "rationalization_progress": f"""SELECT *, {_round('100.0::DOUBLE * grouped_parts / parts', 6, 'grouped_pct')},
+        {_round('100.0::DOUBLE * normalized_parts / parts', 6, 'normalized_pct')} FROM (SELECT
         (SELECT count(*) FROM parts) AS parts, (SELECT count(*) FROM members) AS grouped_parts,
         (SELECT count(*) FROM members WHERE group_id IN (SELECT group_id FROM assigns)) AS normalized_parts)""",
     "sku_supplier_reduction": """SELECT CAST(sum(items) AS BIGINT) AS items_before, count(*) AS items_after,
@@ -280,11 +281,11 @@ BODIES = {
         (SELECT group_id, count(DISTINCT supplier_id) AS suppliers FROM members JOIN offers USING (part_id) GROUP BY 1) USING (group_id)""",
     "ground_truth_labels": "SELECT * FROM truth",
     "eval_pair_verdicts": "SELECT base_part_id, variant_part_id, relationship, part_category, same FROM verdicts",
-    "eval_metrics": """SELECT part_category, round(recall, 9) AS recall, round(precision, 9) AS precision, round(f1, 9) AS f1,
+    "eval_metrics": f"""SELECT part_category, {_round('recall', 9)}, {_round('precision', 9)}, {_round('f1', 9)},
         dup_total, dup_tp, hn_fp, nm_fp, coincidental_parts FROM metrics""",
     "eval_coincidental": "SELECT * FROM coincidence",
     "eval_violations": "SELECT relationship, count(*) AS pairs, CAST(sum(same) AS BIGINT) AS same_group FROM verdicts GROUP BY 1",
-    "eval_gate": """SELECT part_category, round(recall, 9) AS recall, round(precision, 9) AS precision, round(f1, 9) AS f1,
+    "eval_gate": f"""SELECT part_category, {_round('recall', 9)}, {_round('precision', 9)}, {_round('f1', 9)},
         coalesce(recall >= 0.95 AND precision >= 0.95 AND f1 >= 0.95, false) AS passed FROM metrics""",
     "dq_row_counts": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {source}" for name, source in (
