@@ -41,34 +41,51 @@ def fold_copies(vectors: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("copies"))
 
 
-def plan_bands(folded: DataFrame, radius: float, max_bands=MAX_BANDS, partners=4.0) -> DataFrame:
-    """(part_category, bands, left): the dimensions to build cells on, most
-    selective first, and the log of the partners per part that they leave.
-
-    For each dimension the share of partner pairs that fall into neighbouring cells
-    is measured; dimensions are added until about ``partners`` per part are expected
-    or ``max_bands`` is reached. Constant dimensions never qualify.
-    """
+def spread(folded: DataFrame, radius: float) -> DataFrame:
+    """(part_category, dim, rows, same): the share of row pairs that fall into one
+    cell of width 2 * radius, per dimension; constant dimensions are left out."""
     width = F.lit(2 * radius * (1 + BAND_SLACK))
     cells = (folded.select("part_category", F.posexplode("feature_vector").alias("dim", "z"))
              .groupBy("part_category", "dim", F.floor(F.col("z") / width).alias("cell"))
              .agg(F.count(F.lit(1)).cast("double").alias("n")))
-    share = (cells.groupBy("part_category", "dim")
-             .agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-             .withColumn("hit", F.least(F.lit(1.0), 2 * F.col("squares") / (F.col("rows") * F.col("rows"))))
-             .where(F.col("squares") < F.col("rows") * F.col("rows")))
+    return (cells.groupBy("part_category", "dim")
+            .agg(F.sum("n").alias("rows"),
+                 (F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("same"))
+            .where("same < 1"))
+
+
+def plan_bands(folded: DataFrame, radius: float, max_bands=MAX_BANDS, partners=4.0, measured=None) -> DataFrame:
+    """(part_category, bands): the dimensions to build cells on, most selective first.
+
+    Dimensions are added until about ``partners`` per part are expected in the
+    neighbouring cells, or ``max_bands`` is reached.
+    """
+    share = spread(folded, radius) if measured is None else measured
     # At most one row per feature in each window group.
-    order = W.partitionBy("part_category").orderBy("hit", "dim")
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("part_category").orderBy("same", "dim")
+    hit = F.log(F.least(F.lit(1.0), 2 * F.col("same")))
+    before = F.sum(hit).over(order.rowsBetween(W.unboundedPreceding, -1))
     picked = (share.withColumn("place", F.row_number().over(order))
-              .withColumn("after", F.log("rows") + F.sum(F.log("hit")).over(upto))
+              .withColumn("expected", F.log("rows") + before)
               .where((F.col("place") <= max_bands)
-                     & ((F.col("place") == 1)
-                        | (F.col("after") - F.log("hit") > F.log(F.lit(max(partners, 1e-9)))))))
+                     & ((F.col("place") == 1) | (F.col("expected") > math.log(max(partners, 1e-9))))))
     return (picked.groupBy("part_category")
-            .agg(F.sort_array(F.collect_list(F.struct("place", "dim"))).alias("ranked"),
-                 F.min("after").alias("left"))
-            .select("part_category", F.col("ranked.dim").alias("bands"), "left"))
+            .agg(F.sort_array(F.collect_list(F.struct("place", "dim"))).alias("ranked"))
+            .select("part_category", F.col("ranked.dim").alias("bands")))
+
+
+def likely_radius(measured: DataFrame, unit: float, k: int, blocks: float) -> float:
+    """A radius at which a ball holds about k of a block's parts: the share of a
+    block in a box is the product over its dimensions, and the ball in the box has
+    the usual volume ratio. Only the speed depends on it."""
+    per = (measured.groupBy("part_category")
+           .agg(F.max("rows").alias("rows"), F.sum(F.log("same")).alias("box"), F.count(F.lit(1)).alias("d"))
+           .agg(F.avg((math.log((k + 1) * blocks) - F.log("rows") - F.col("box")) / F.col("d")).alias("need"),
+                F.avg("d").alias("d")).first())
+    if per.need is None:
+        return unit
+    ball = (per.d / 2) * math.log(math.pi) - math.lgamma(per.d / 2 + 1) - per.d * math.log(2)
+    return unit * math.exp(per.need - ball / per.d)
 
 
 def _banded(df: DataFrame, bands: DataFrame, max_bands: int) -> DataFrame:
@@ -256,12 +273,12 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: St
         (F.max(F.get("feature_vector", F.lit(i))) - F.min(F.get("feature_vector", F.lit(i)))).alias(f"s{i}")
         for i in range(size)]).first()
     widest = sum((s or 0.0) ** 2 for s in spans) ** 0.5 + 1.0
-    # Any cell dimensions give the same result, so they are chosen once. The first
-    # radius is the one at which the fullest category expects a few times k.
+    # Any cell dimensions give the same result, so they are chosen once.
     unit = 0.25
-    bands = stages.save(plan_bands(candidates, unit, partners=0.0), "bands")
-    need = bands.agg(F.min((F.log(F.lit(8.0 * k)) - F.col("left")) / F.size("bands"))).first()[0]
-    radius = min(widest, max(unit / 8, unit * math.exp(need or 0.0)))
+    measured = stages.save(spread(candidates, unit), "spread")
+    bands = stages.save(plan_bands(candidates, unit, partners=0.0, measured=measured), "bands")
+    blocks, categories = candidates.agg(F.count_distinct(*BLOCK), F.count_distinct("part_category")).first()
+    radius = min(widest, max(unit / 8, likely_radius(measured, unit, k, blocks / max(categories, 1))))
 
     open_probes = owners.select(F.col("rep").alias("a"), *BLOCK, F.col("feature_vector").alias("va"))
     order = W.partitionBy("a").orderBy("dist", "b")
