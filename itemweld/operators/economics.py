@@ -36,10 +36,11 @@ def group_savings(priced: DataFrame) -> DataFrame:
 
 
 def group_spans(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Span of each group. Category and material are constant in a group (blocking),
+    so they are grouping keys: with a minimum of strings among the aggregates Spark
+    would have to sort instead of hash."""
     return (members.join(parts.select("part_id", "part_category", "material"), "part_id")
-            .groupBy("group_id").agg(
-                F.min("part_category").alias("part_category"),
-                F.min("material").alias("material"),
+            .groupBy("group_id", "part_category", "material").agg(
                 F.count(F.lit(1)).alias("member_count"),
                 F.count_distinct("model_id").alias("models_spanned"),
                 F.count_distinct("machine_type").alias("machine_types_spanned"),

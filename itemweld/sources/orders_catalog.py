@@ -81,15 +81,16 @@ def base_parts(src: SalesTables) -> DataFrame:
                 F.col("vol").cast("int").alias("annual_volume")))
 
 
-def variants(base: DataFrame) -> DataFrame:
-    """-D and -E near duplicates, -H functional hard negatives, -N other material."""
+def with_variants(base: DataFrame) -> DataFrame:
+    """Base items and their variants, in one pass: -D and -E near duplicates, -H
+    functional hard negatives, -N other material."""
     k = F.col("k")
 
     def mod(n, at):
         return F.pmod(k, F.lit(n)) == at
 
     rule = F.array_compact(F.array(
-        F.when(mod(20, 0), "D"), F.when(mod(60, 0), "E"),
+        F.lit(""), F.when(mod(20, 0), "D"), F.when(mod(60, 0), "E"),
         F.when(mod(50, 7), "H"), F.when(mod(100, 11), "N")))
     v = base.withColumn("suffix", F.explode(rule))
     kind = F.col("suffix")
@@ -110,7 +111,7 @@ def variants(base: DataFrame) -> DataFrame:
         "k",
         F.when(kind == "D", F.pmod(F.col("m") + 1 + F.pmod(k * 7, F.lit(24)), F.lit(25)))
          .when(kind == "E", F.pmod(F.col("m") + 5, F.lit(25))).otherwise(F.col("m")).alias("m"),
-        F.concat("part_id", F.lit("-"), "suffix").alias("part_id"),
+        F.when(kind == "", F.col("part_id")).otherwise(F.concat("part_id", F.lit("-"), "suffix")).alias("part_id"),
         "part_number", "part_category",
         F.when(kind == "N", F.concat("material", F.lit("x"))).otherwise(F.col("material")).alias("material"),
         *[jitter(c, i).alias(c) for i, c in enumerate(JITTERED)],
@@ -120,13 +121,11 @@ def variants(base: DataFrame) -> DataFrame:
          .otherwise(F.col("annual_volume")).cast("int").alias("annual_volume"))
 
 
-def parts(src: SalesTables, keyed=False) -> DataFrame:
-    base = base_parts(src)
-    both = base.unionByName(variants(base)).withColumn("model_id", F.col("m").cast("string"))
+def parts(src: SalesTables) -> DataFrame:
+    both = with_variants(base_parts(src)).withColumn("model_id", F.col("m").cast("string"))
     both = both.withColumn("description", F.concat_ws(
         ", ", F.concat_ws(" ", "material", "part_category"), F.concat(F.lit("PN "), "part_number")))
-    table = conform(both, "parts")
-    return table.withColumn("k", F.split("part_id", "-")[0].cast("bigint")) if keyed else table
+    return conform(both, "parts")
 
 
 def base_offers(src: SalesTables) -> DataFrame:
