@@ -220,23 +220,36 @@ def copies_of(vectors: DataFrame, folded: DataFrame) -> DataFrame:
             .select("part_id", *BLOCK, "rep", "copies"))
 
 
-def unfold_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+def unfold_pairs(pairs: DataFrame, copies: DataFrame, stages: Stages, crowded=CROWDED) -> DataFrame:
     """The listing (a, b, part_category, material, dist, sim) over all parts.
 
     Its size is that of the answer, which is quadratic in the number of copies;
-    grouping does not use it (see `plans.matching`).
+    grouping and counting do not use it (`rep_similarity`, `pair_weights`).
     """
     left = copies.select(F.col("rep").alias("a"), F.col("part_id").alias("pa"))
     right = copies.select(F.col("rep").alias("b"), F.col("part_id").alias("pb"))
-    across = pairs.join(left, "a").join(right, "b").select("pa", "pb", *BLOCK, "dist")
+    across = meet(pairs.join(left, "a"), right, ["b"], "pb", F.lit(True), stages, crowded)
     many = copies.where(F.col("copies") > 1)
-    within = (many.select(F.col("part_id").alias("pa"), "rep", *BLOCK)
-              .join(many.select(F.col("part_id").alias("pb"), "rep"), "rep")
-              .where(F.col("pa") < F.col("pb"))
-              .select("pa", "pb", *BLOCK, F.lit(0.0).alias("dist")))
-    return across.unionByName(within).select(
-        F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), *BLOCK,
-        "dist", similarity(F.col("dist")).alias("sim"))
+    within = meet(many.select(F.col("part_id").alias("pa"), "rep", *BLOCK),
+                  many.select(F.col("part_id").alias("pb"), "rep"), ["rep"], "pb",
+                  F.col("pa") < F.col("pb"), stages, crowded)
+    columns = ["pa", "pb", *BLOCK, "dist"]
+    return (across.select(*columns).unionByName(within.withColumn("dist", F.lit(0.0)).select(*columns))
+            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), *BLOCK,
+                    "dist", similarity(F.col("dist")).alias("sim")))
+
+
+def pair_weights(pairs: DataFrame, folded: DataFrame) -> DataFrame:
+    """(block, sim, pairs): how many pairs of parts each pair of distinct vectors,
+    and each set of copies, stands for. Counts the listing without making it."""
+    n = folded.select("rep", "copies")
+    across = (pairs.join(n.select(F.col("rep").alias("a"), F.col("copies").alias("na")), "a")
+              .join(n.select(F.col("rep").alias("b"), F.col("copies").alias("nb")), "b")
+              .select(*BLOCK, similarity(F.col("dist")).alias("sim"), (F.col("na") * F.col("nb")).alias("pairs")))
+    within = folded.where(F.col("copies") > 1).select(
+        *BLOCK, F.lit(1.0).alias("sim"),
+        F.expr("copies * (copies - 1) DIV 2").alias("pairs"))
+    return across.unionByName(within)
 
 
 def rep_similarity(pairs: DataFrame, folded: DataFrame) -> DataFrame:

@@ -61,10 +61,10 @@ def eval_table(metrics: DataFrame) -> DataFrame:
     ).orderBy("part_category")
 
 
-def similarity_histogram(pairs: DataFrame) -> DataFrame:
-    """Pairs per category and percent of similarity."""
-    return (pairs.groupBy("part_category", F.floor(F.col("sim") * 100).cast("int").alias("percent"))
-            .agg(F.count(F.lit(1)).alias("pairs")).orderBy("part_category", "percent"))
+def similarity_histogram(weights: DataFrame) -> DataFrame:
+    """Pairs per category and percent of similarity, from `neighbors.pair_weights`."""
+    return (weights.groupBy("part_category", F.floor(F.col("sim") * 100).cast("int").alias("percent"))
+            .agg(F.sum("pairs").alias("pairs")).orderBy("part_category", "percent"))
 
 
 def concentration_by_machine_type(members: DataFrame) -> DataFrame:

@@ -97,12 +97,15 @@ class Workspace:
 
     @cached_property
     def pairs(self):
-        return self._save(N.unfold_pairs(self.folded_pairs, self.copies), "pair_list")
+        return self._save(N.unfold_pairs(self.folded_pairs, self.copies, self.stages), "pair_list")
+
+    @cached_property
+    def wide_folded_pairs(self):
+        return matching.find_pairs(self.folded, self.size, self.stages, WIDE_DISTANCE)
 
     @cached_property
     def wide_pairs(self):
-        found = N.folded_pairs_exact(self.folded, self.size, self.stages, WIDE_DISTANCE)
-        return self._save(N.unfold_pairs(found, self.copies), "wide_pair_list")
+        return self._save(N.unfold_pairs(self.wide_folded_pairs, self.copies, self.stages), "wide_pair_list")
 
     # match facts
     @cached_property

@@ -153,13 +153,13 @@ def near_pairs_exact(ws):
 @query
 def near_pairs_grid(ws):
     found = N.folded_pairs_grid(ws.folded, ws.size, ws.stages, WIDE_DISTANCE)
-    return N.unfold_pairs(found, ws.copies).select("a", "b", "part_category", "material", "dist", "sim")
+    return N.unfold_pairs(found, ws.copies, ws.stages).select("a", "b", "part_category", "material", "dist", "sim")
 
 
 @query
 def near_pairs_lsh(ws):
     found = N.folded_pairs_lsh(ws.folded, ws.size, ws.stages, WIDE_DISTANCE)
-    return N.unfold_pairs(found, ws.copies).select("a", "b", "part_category", "material", "dist", "sim")
+    return N.unfold_pairs(found, ws.copies, ws.stages).select("a", "b", "part_category", "material", "dist", "sim")
 
 
 @query
@@ -484,7 +484,7 @@ def dash_eval(ws):
 
 @query
 def similarity_histogram(ws):
-    return reports.similarity_histogram(ws.wide_pairs)
+    return reports.similarity_histogram(N.pair_weights(ws.wide_folded_pairs, ws.folded))
 
 
 @query

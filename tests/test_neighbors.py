@@ -55,8 +55,10 @@ def test_exact_pairs_equal_brute_force(spark, stages, crowded):
     points = frame(spark, rows)
     folded = M.fold(points, stages)
     pairs = N.folded_pairs_exact(folded, 4, stages, RADIUS, crowded=crowded)
-    got = listed(N.unfold_pairs(stages.save(pairs, "pairs"), N.copies_of(points, folded)))
-    assert got == pytest.approx(brute_pairs(rows, RADIUS))
+    got = listed(N.unfold_pairs(stages.save(pairs, "pairs"), N.copies_of(points, folded), stages, crowded))
+    want = brute_pairs(rows, RADIUS)
+    assert got == pytest.approx(want)
+    assert N.pair_weights(pairs, folded).agg(F.sum("pairs")).first()[0] == len(want)
 
 
 def test_pair_at_the_radius_is_kept(spark, stages):
@@ -97,7 +99,7 @@ def test_nearest_returns_short_lists_in_small_blocks(spark, stages):
     assert got == [("a", "b"), ("b", "a")]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_crowd_path_gives_the_same_groups_and_similarities(spark, stages, seed):
     points = frame(spark, catalogue(seed, 500, 3))
     folded = M.fold(points, stages)
@@ -165,4 +167,3 @@ def test_no_cartesian_product_in_the_plan(spark, stages):
     folded = M.fold(frame(spark, catalogue()), stages)
     plan = N.folded_pairs_exact(folded, 4, stages, RADIUS)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert F is not None
