@@ -4,7 +4,7 @@ The draws are Murmur3 with seed 42 over each argument in turn, written with list
 lambdas so that every intermediate value is computed once.
 """
 
-from itemweld.schema import ATTRIBUTES, INTEGER_ATTRIBUTES
+from itemweld.schema import ATTRIBUTES, FEATURES, INTEGER_ATTRIBUTES, MATCH_DISTANCE
 from itemweld.sources import generator as G
 
 _MASK = "4294967295::UBIGINT"
@@ -204,4 +204,30 @@ def ctes():
             CAST({_list(G.LEAD_TIMES)}[{draw(len(G.LEAD_TIMES), pid, oi, 'l')} + 1] AS INTEGER) AS lead_time_days,
             'USD' AS currency, {_list(G.GRADES)}[{draw(len(G.GRADES), pid, oi, 'q')} + 1] AS material_quality_grade
             FROM g_offer_rows""",
+        # the match build over all features, in long form
+        "g_long": " UNION ALL ".join(
+            f"SELECT part_id, part_category, material, {i} AS f, CAST({c} AS DOUBLE) AS x FROM g_every"
+            for i, c in enumerate(FEATURES)),
+        "g_stats": """SELECT part_category, f, avg(x) AS mean, stddev_pop(x) AS std FROM g_long
+            WHERE NOT contains(part_id, '-') GROUP BY part_category, f HAVING stddev_pop(x) > 0""",
+        "g_scores": """SELECT part_id, part_category, material, f, round((coalesce(x, mean) - mean) / std, 6) AS z
+            FROM g_long JOIN g_stats USING (part_category, f)""",
+        "g_pairs": f"""SELECT x.part_id AS a, y.part_id AS b, 1 / (1 + sqrt(sum((x.z - y.z) * (x.z - y.z)))) AS sim
+            FROM g_scores x JOIN g_scores y ON x.part_category = y.part_category AND x.material = y.material
+            AND x.f = y.f AND x.part_id < y.part_id GROUP BY 1, 2
+            HAVING sqrt(sum((x.z - y.z) * (x.z - y.z))) <= {MATCH_DISTANCE!r}::DOUBLE""",
+        "g_edges": "SELECT a AS u, b AS v, sim FROM g_pairs UNION ALL SELECT b, a, sim FROM g_pairs",
+        "g_reach": "SELECT DISTINCT u AS id, u AS seen FROM g_edges UNION SELECT r.id, e.v FROM g_reach r JOIN g_edges e ON e.u = r.seen",
+        "g_labels": "SELECT id AS part_id, min(seen) AS comp FROM g_reach GROUP BY id",
+        "g_gids": "SELECT comp, sha256(string_agg(part_id, ',' ORDER BY part_id)) AS group_id FROM g_labels GROUP BY comp",
+        "g_best": """SELECT part_id, min(price_per_unit * (1 - coalesce(unit_discount, 0))) AS best FROM g_offers GROUP BY 1""",
+        "g_near_sim": "SELECT u AS part_id, max(sim) AS similarity FROM g_edges GROUP BY 1",
+        "g_groups": """SELECT group_id, min(part_category) AS part_category, min(material) AS material,
+            count(*) AS member_count, count(DISTINCT model_id) AS models_spanned,
+            count(DISTINCT substr(model_id, 1, 2)) AS machine_types_spanned,
+            count(DISTINCT split_part(model_id, '_', 1)) AS plants_spanned, avg(similarity) AS avg_similarity,
+            min(best) AS group_best_price, sum(best * annual_volume) AS total_current_spend,
+            sum(best * annual_volume) - sum(annual_volume::DOUBLE) * min(best) AS savings_potential
+            FROM g_labels JOIN g_gids USING (comp) JOIN g_parts USING (part_id) JOIN g_best USING (part_id)
+            JOIN g_near_sim USING (part_id) GROUP BY group_id""",
     }

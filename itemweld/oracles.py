@@ -200,7 +200,7 @@ def _with(body):
     for w in dict.fromkeys(_WORD.findall(body)):
         if w in CTES:
             visit(w)
-    head = ", ".join(f"{n} AS ({CTES[n]})" if n in ("reach",) else f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
+    head = ", ".join(f"{n} AS ({CTES[n]})" if n in ("reach", "g_reach") else f"{n} AS MATERIALIZED ({CTES[n]})" for n in order)
     return f"WITH RECURSIVE {head} {body}" if order else body
 
 
@@ -230,6 +230,7 @@ BODIES = {
     "gen_ground_truth": """SELECT substr(part_id, 1, length(part_id) - 2) AS base_part_id, part_id AS variant_part_id,
         CASE right(part_id, 2) WHEN '-D' THEN 'duplicate' WHEN '-H' THEN 'hard_negative' ELSE 'near_miss' END AS relationship,
         part_category FROM g_every WHERE contains(part_id, '-')""",
+    "gen_match_groups": f"SELECT {_GROUP_COLUMNS} FROM g_groups",
     "feature_stats": f"SELECT part_category, feature, {_round('mean', 6)}, {_round('std', 6)} FROM stats",
     "feature_vectors": " UNION ALL ".join(
         f"SELECT part_id, {i} AS position, {f'z_{f}' if f in _NAMED else '0.0::DOUBLE'} AS z FROM vectors"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from itemweld.functions.vectors import similarity
 from itemweld.operators import economics as E, evaluation as EV, neighbors as N, quality as Q, review as R
 from itemweld.operators.ranking import with_percent_rank
-from itemweld.plans import reports, serving
+from itemweld.plans import matching, reports, serving
 from itemweld.plans.workspace import WIDE_DISTANCE, workspace
 from itemweld.schema import ATTRIBUTES, FEATURES
 from itemweld.sources import generator as G, ingest
@@ -128,6 +128,15 @@ def gen_ground_truth(ws):
     return EV.ground_truth(_generated(ws)[1], G.LABEL_OF_SUFFIX)
 
 
+@query
+def gen_match_groups(ws):
+    """The whole match build over the generated catalogue, with all features."""
+    every = _generated(ws)[1]
+    offers = ws.stages.save(G.offers(every, ws.stages), "g_offers")
+    built = matching.build(every, G.models(G.plants(ws.spark)), offers, ws.stages)
+    return group_rows(built.groups)
+
+
 # --- features and neighbours -------------------------------------------------------
 @query
 def feature_stats(ws):
