@@ -10,6 +10,7 @@ grows with the rows:
 * Micro-cells whose representatives match are linked. Other micro-cells are linked
   only by a pair of members; that is looked up only for micro-cells that are near
   enough, not in one component yet, and only among members near the other cell.
+  Regions that already are one component are left out before any rows meet.
 * The nearest partner is searched with a radius that starts where cells are small
   and doubles: vectors that found one are done, and those that did not are, by
   that fact, few in any cell of the next size.
@@ -75,7 +76,7 @@ def crowd_components(folded: DataFrame, size: int, stages: Stages, radius=MATCH_
     right = tagged.select(F.col("rep").alias("b"), *BLOCK, F.col("feature_vector").alias("vb"), F.col("comp").alias("cb"))
     open_cells = stages.save(
         band_pairs(left, right, wide, far, size, stages, ordered & (F.col("ca") != F.col("cb")),
-                   crowded=crowded).select("a", "b"), "open_cells")
+                   crowded=crowded, differ="ca").select("a", "b"), "open_cells")
     more = _member_links(points, hubs, open_cells, size, stages, radius, crowded)
     final = connected_components(links.unionByName(more), stages)
     hub_comp = (hubs.select(F.col("rep").alias("id")).join(final, "id", "left")

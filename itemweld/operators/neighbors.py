@@ -141,13 +141,24 @@ def meet(left: DataFrame, right: DataFrame, keys, right_id: str, condition: Colu
 
 def band_pairs(left: DataFrame, right: DataFrame, bands: DataFrame, radius: float, size: int,
                stages: Stages, condition: Column, max_bands=MAX_BANDS,
-               crowded=CROWDED) -> DataFrame:
-    """All (a, b, block, dist <= radius); ``left`` has (a, va), ``right`` (b, vb)."""
+               crowded=CROWDED, differ=None) -> DataFrame:
+    """All (a, b, block, dist <= radius); ``left`` has (a, va), ``right`` (b, vb).
+
+    ``differ`` names a column of ``left`` that must differ in a wanted pair, for a
+    join of rows with themselves: cells where it has one value are left out before
+    any rows meet. (A row touches its own home cell, so the left rows of a cell
+    include its right rows.)
+    """
     keys = BLOCK + [f"c{i}" for i in range(max_bands)]
     l = (touched_cells(left.withColumnRenamed("va", "feature_vector"), bands, radius, max_bands)
          .withColumnRenamed("feature_vector", "va"))
     r = (home_cells(right.withColumnRenamed("vb", "feature_vector"), bands, radius, max_bands)
          .withColumnRenamed("feature_vector", "vb"))
+    if differ is not None:
+        mixed = stages.save(
+            l.groupBy(*keys).agg(F.min(differ).alias("low"), F.max(differ).alias("high"))
+             .where("low <> high").select(*keys), "mixed")
+        l, r = (side.join(mixed, keys, "left_semi") for side in (l, r))
     dist = l2(F.col("va"), F.col("vb"), size)
     near = within(F.col("va"), F.col("vb"), size, radius)
     met = meet(l, r, keys, "b", condition & near, stages, crowded)
