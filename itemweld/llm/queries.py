@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from itemweld.llm import langid, packing
+from itemweld.llm import langid, neardup, packing
 from itemweld.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -30,3 +30,8 @@ def op10_language_id(spark, folder):
     known = langid.learn(docs.where(remainder("doc_id", 5) != 0))
     found = langid.identify(docs.select("doc_id", "text"), known)
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "language.*")
+
+
+@query
+def op5_hyperminhash_neardup(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents"))
