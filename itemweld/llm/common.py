@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 U64 = np.uint64
 WORDS_KEPT = 400_000   # entries of a task's word cache before it starts anew; results don't depend on it
@@ -69,3 +69,26 @@ def text_blocks(batches, weight="text", limit=8_000_000):
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, per_class: int, *, key="doc_id",
+                    columns=("text",), max_chars=200_000) -> DataFrame:
+    """(key, label 0/1, columns...) of at most ``per_class`` rows of either class.
+
+    The rows of lowest key hash are taken, so the sample doesn't depend on the partitioning;
+    of repeated label rows the largest value counts; rows with a null key, another
+    label, or a text of over ``max_chars`` characters don't teach.
+    """
+    flat = (labels.select(F.col(key).alias("k"), F.col(value).cast("int").alias("y"))
+            .where("k IS NOT NULL AND y IN (0, 1)").groupBy("k").agg(F.max("y").alias("label")))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("k"), "k"))
+    picked = flat.withColumn("r", rank).where(F.col("r") <= per_class).select("k", "label")
+    rows = docs.select(F.col(key).alias("k"), *columns)
+    if "text" in columns:
+        rows = rows.where(F.length("text") <= max_chars)
+    return (rows.join(F.broadcast(picked), "k").withColumn("h", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(*columns))))
+            .where("h = 1").drop("h"))
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

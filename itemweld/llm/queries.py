@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from itemweld.llm import langid, neardup, packing
-from itemweld.llm.common import table
+from itemweld.llm import langid, neardup, packing, quality, toxicity
+from itemweld.llm.common import labelled_sample, table
 
 QUERIES, SQL = {}, {}
 
@@ -32,6 +32,23 @@ def op10_language_id(spark, folder):
     return found.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "language.*")
 
 
+@query
+def op1_cotrained_quality(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(docs, labels)
+    return quality.score(docs, model).select("doc_id", "quality_view.*")
+
+
+@query
+def op4_cnn_toxicity(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    taught = labelled_sample(docs.select("doc_id", "text"), labels.where(remainder("doc_id", 3) != 1), "toxic", 3000)
+    model = toxicity.fit([(r.text, r.label) for r in taught.orderBy(F.xxhash64("k", F.lit(5)), "k").collect()])
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "toxicity.score",
+        (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op5_hyperminhash_neardup(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
