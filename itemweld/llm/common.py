@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -63,7 +64,7 @@ def text_blocks(batches, weight="text", limit=8_000_000):
     that a task's working arrays stay bounded however long the texts are."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(weight))
-        sizes = np.fromiter((0 if v is None else len(v) for v in column.to_pylist()), np.int64, len(column))
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = np.cumsum(sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

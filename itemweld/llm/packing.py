@@ -19,6 +19,7 @@ from itemweld.sources.staging import Stages
 SEQUENCE = 2048
 END = 1            # id that closes every document
 DIMENSIONS, BITS = 4, 12
+TOGETHER = 2000    # pieces handed on at once
 VOCABULARY_FILE, RANKS_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
@@ -114,7 +115,7 @@ def pieces(batches, sequence=SEQUENCE):
     """Lays the documents of one range end to end and cuts every ``sequence`` ids.
     What is left at the end is dealt to sequences of falling powers of two, which
     need no padding."""
-    base, number, filled, tail = TaskContext.get().partitionId() << 33, 0, 0, []
+    base, number, filled, tail, ready = TaskContext.get().partitionId() << 33, 0, 0, [], []
 
     def emit(rows):
         ids = [r[3] for r in rows]
@@ -127,16 +128,19 @@ def pieces(batches, sequence=SEQUENCE):
             names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     for batch in batches:
-        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids, start = np.frombuffer(raw.as_buffer(), np.uint16), 0
+        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, start = np.frombuffer(raw, np.uint16), 0
             while start < len(ids):
                 part = ids[start:start + sequence - filled]
                 tail.append((doc, start, len(ids), part, number, filled))
                 start, filled = start + len(part), filled + len(part)
                 if filled == sequence:
-                    number, filled, done = number + 1, 0, tail
+                    number, filled = number + 1, 0
+                    ready += tail
                     tail = []
-                    yield emit(done)
+                    if len(ready) >= TOGETHER:
+                        yield emit(ready)
+                        ready = []
     rest, size = [], sequence
     room, filled = 0, 0
     left = sum(len(r[3]) for r in tail)
@@ -150,8 +154,8 @@ def pieces(batches, sequence=SEQUENCE):
             cut = part[:room]
             rest.append((doc, start, total, cut, number, filled))
             start, part, room, filled = start + len(cut), part[len(cut):], room - len(cut), filled + len(cut)
-    if rest:
-        yield emit(rest)
+    if ready or rest:
+        yield emit(ready + rest)
 
 
 def pack(docs: DataFrame, *, doc_id="doc_id", text="text", vocabulary=None, ranks=None,
