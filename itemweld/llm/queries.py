@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from itemweld.llm import langid, neardup, packing, quality, toxicity
+from itemweld.llm import langid, neardup, packing, quality, toxicity, warc
 from itemweld.llm.common import labelled_sample, table
+from itemweld.sources.staging import Stages
 
 QUERIES, SQL = {}, {}
 
@@ -52,3 +53,23 @@ def op4_cnn_toxicity(spark, folder):
 @query
 def op5_hyperminhash_neardup(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op6_warc_index_first(spark, folder):
+    stages = Stages(spark, "warc")
+    archives = f"{stages.folder}/archives"
+    index = warc.write(table(spark, folder, "pages"), archives, stages=stages)
+    return warc.read(index, archives, payload=False).drop("url")
+
+
+# The records in SQL: sizes, digests and the largest page_id of equal payloads.
+SQL["op6_warc_index_first"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+     q AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+                  max(page_id) OVER (PARTITION BY body) AS original FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM q
+"""
