@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from itemweld.llm import langid, neardup, packing, quality, toxicity, warc
+from itemweld.llm import langid, mtree, neardup, packing, quality, toxicity, warc
 from itemweld.llm.common import labelled_sample, table
 from itemweld.sources.staging import Stages
 
@@ -73,3 +73,20 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
 FROM q
 """
+
+
+@query
+def op7_mtree_topk(spark, folder):
+    return mtree.top_k(table(spark, folder, "embeddings"))
+
+
+# Every query against every vector: fit for small tables only, which is where it runs.
+SQL["op7_mtree_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+           FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
