@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from itemweld.llm import langid, mtree, neardup, packing, quality, toxicity, warc
+from itemweld.llm import langid, mtree, neardup, nndescent, packing, quality, toxicity, warc
 from itemweld.llm.common import labelled_sample, table
 from itemweld.sources.staging import Stages
 
@@ -90,3 +90,8 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x
      r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op2_nndescent_neardup(spark, folder):
+    return nndescent.near_links(table(spark, folder, "embeddings"))
