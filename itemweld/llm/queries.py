@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from itemweld.llm import langid, mtree, neardup, nndescent, packing, quality, toxicity, warc
+from itemweld.llm import langid, linededup, mtree, neardup, nndescent, packing, quality, toxicity, warc
 from itemweld.llm.common import labelled_sample, table
 from itemweld.sources.staging import Stages
 
@@ -95,3 +95,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query
 def op2_nndescent_neardup(spark, folder):
     return nndescent.near_links(table(spark, folder, "embeddings"))
+
+
+@query
+def op8_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents")
+    gone = linededup.removed_lines(docs)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"),
+                       F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"))
+    return (rows.join(gone, "row", "left").drop("row")
+            .withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+            .withColumn("n_removed", F.size("removed")))
