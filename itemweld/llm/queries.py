@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from itemweld.llm import langid, linededup, mtree, neardup, nndescent, packing, quality, toxicity, warc
+from itemweld.llm import langid, linededup, mtree, neardup, nndescent, packing, quality, sampling, toxicity, warc
 from itemweld.llm.common import labelled_sample, table
 from itemweld.sources.staging import Stages
 
@@ -106,3 +106,10 @@ def op8_line_dedup(spark, folder):
     return (rows.join(gone, "row", "left").drop("row")
             .withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
             .withColumn("n_removed", F.size("removed")))
+
+
+@query
+def op3_sampled_pieces(spark, folder):
+    made = sampling.encode(table(spark, folder, "documents"))
+    back = made.withColumn("lossless", sampling.decoded("pieces").eqNullSafe(F.col("text")))
+    return back.select(F.col("key").alias("doc_id"), F.size("pieces").alias("n_pieces"), "pieces", "lossless")
