@@ -6,11 +6,12 @@ these registers propose pairs, a collision-corrected Jaccard estimate drops hope
 the full shingle sets decide.
 
 Copies (equal sets) become one class first. In each band bucket every class meets the bucket's
-smallest class; only classes that are then still in different components meet each other, so a
-large group of near copies costs as many comparisons as it has members.
+most central class; only classes that are then still in different components meet others, so a
+large group of near copies costs about as many comparisons as it has members.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -22,6 +23,8 @@ from itemweld.sources.staging import Stages
 SHINGLE, PERCENT = 5, 75
 REGISTERS, MANTISSA = 128, 10
 BAND = 4                                  # registers per band: 32 bands miss a pair at 0.75 once in 200,000
+SLOTS = 1 << 20                           # size of the table that keeps most texts out of a shuffle
+OUTER, INNER, TOGETHER = 1000, 2000, 256  # classes of a block from outside a group's main component, and of all; tasks of small groups
 ODD = mix(np.arange(1, SHINGLE + 1, dtype=U64)) | U64(1)
 ORDER = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(77)).reshape(REGISTERS, REGISTERS), axis=1)
 BAND_SALT = mix(np.arange(REGISTERS // BAND, dtype=U64) + U64(991))
@@ -73,13 +76,16 @@ def collision_rate(na, nb) -> np.ndarray:
     return np.minimum((0.5 ** (k + 1 + MANTISSA) * (half - high)).sum(0) * a * b / s, 0.5)
 
 
-def likely(ra: np.ndarray, rb: np.ndarray, na, nb) -> np.ndarray:
-    """False where the estimate lies five standard deviations below the threshold."""
+def estimate(ra: np.ndarray, rb: np.ndarray, na, nb) -> np.ndarray:
+    """Jaccard similarity by the share of equal registers, corrected for collisions."""
     e = collision_rate(na, nb)
-    estimate = ((ra == rb).mean(1) - e) / (1 - e)
+    return ((ra == rb).mean(1) - e) / (1 - e)
+
+
+def lowest(na, nb) -> np.ndarray:
+    """Estimates below it, five standard deviations under the threshold, are hopeless."""
     t = PERCENT / 100
-    slack = 5 * np.sqrt(t * (1 - t) / np.minimum(np.minimum(na, nb), REGISTERS))
-    return (estimate >= t - slack) & (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb))
+    return t - 5 * np.sqrt(t * (1 - t) / np.minimum(np.minimum(na, nb), REGISTERS))
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -100,7 +106,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose registers allow the threshold."""
+    """(a, b, estimate) of the pairs whose registers allow the threshold."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
 
     def run(batches):
@@ -108,20 +114,22 @@ def promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, REGISTERS) for i in (2, 3))
                 na, nb = (batch.column(i).to_numpy() for i in (4, 5))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(
-                    pa.array(likely(ra, rb, na, nb)))
+                guess = estimate(ra, rb, na, nb)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(guess)], names=["a", "b", "estimate"]).filter(
+                    pa.array(guess >= lowest(na, nb)))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(
         f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    return sized.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long, estimate double")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, stages: Stages, doc_id: str, text: str) -> DataFrame:
-    """Pairs whose full sets satisfy the threshold. Sets are made anew from the texts of the documents
-    that occur in a pair, so that nothing is stored for the others."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    wanted = docs.select(F.col(doc_id).cast("long").alias("doc"),
-                         F.col(text).cast("string").cast("binary").alias("text")).join(ends, "doc", "left_semi")
+def sets_of(ends: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, hashes) of the documents in ``ends``, made anew from their texts. A table of at most
+    SLOTS numbers keeps most of the other texts out of the join."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(ends.select(slot("doc").alias("slot")).distinct())
+    wanted = (docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).cast("string").cast("binary").alias("text"))
+              .withColumn("slot", slot("doc")).join(slots, "slot", "left_semi").drop("slot").join(ends, "doc", "left_semi"))
 
     def sets(batches):
         cache = WordHash()
@@ -131,7 +139,81 @@ def confirmed(pairs: DataFrame, docs: DataFrame, stages: Stages, doc_id: str, te
                 [block.column(0), binary_runs(np.concatenate(made), starts_of([len(m) for m in made]))],
                 names=["doc", "hashes"])
 
-    stored = stages.save(wanted.mapInArrow(sets, "doc long, hashes binary"), "sets")
+    return wanted.mapInArrow(sets, "doc long, hashes binary")
+
+
+def several(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    apart = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    return placed.join(apart.select("bucket"), "bucket", "left_semi")
+
+
+def unconnected_links(placed: DataFrame, docs: DataFrame, stages: Stages, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) between components whose members share buckets.
+
+    Buckets that have classes in common make up a group. The classes outside its largest component
+    meet all classes of the group in blocks of bounded size; full sets are compared and only links come out, one
+    for every two components that a block connects.
+    """
+    left = stages.save(placed, "open")
+    lows = left.groupBy("bucket").agg(F.min("rep").alias("b"))
+    groups = stages.save(connected_components(left.join(lows, "bucket").select(F.col("rep").alias("a"), "b").where("a <> b").distinct(), stages)
+                         .select(F.col("id").alias("rep"), F.col("comp").alias("g"))
+                         .join(left.select("rep", "comp").distinct(), "rep"), "groups")
+    largest = (groups.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("g")
+               .agg(F.max(F.struct("n", "comp")).getField("comp").alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+               .select("g", "main", F.ceil((F.col("all") - F.col("most")) / OUTER).cast("int").alias("s_n"),
+                       F.ceil(F.col("all") / INNER).cast("int").alias("t_n")))
+    facts = stages.save(groups.join(largest, "g"), "facts")
+    sets = stages.save(sets_of(facts.select(F.col("rep").alias("doc")), docs, doc_id, text).distinct(), "sets")
+    full = facts.join(sets.withColumnRenamed("doc", "rep"), "rep")
+    # Small groups share tasks; the blocks of a large one get a task each.
+    place = F.when((F.col("s_n") == 1) & (F.col("t_n") == 1), F.concat(F.lit("m"), F.pmod(F.xxhash64("g"), F.lit(TOGETHER)))).otherwise(
+        F.concat_ws("/", "g", "s", "t"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = (full.where("comp <> main").withColumn("s", F.pmod(F.xxhash64("rep"), F.col("s_n")))
+             .withColumn("t", spread("t_n")).select(place.alias("x_block"), *[F.col(c).alias(f"x_{c}") for c in ("g", "rep", "comp", "hashes")]))
+    inner = (full.withColumn("t", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("t_n")))
+             .withColumn("s", spread("s_n")).select(place.alias("block"), "g", "rep", "comp", "hashes"))
+
+    def meet(_, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        mine = dict(tuple(ys.groupby("g")))
+        for g, x in xs.groupby("x_g"):
+            y = mine.get(g)
+            if y is None:
+                continue
+            known, y_sets = {}, [np.frombuffer(h, U64) for h in y["hashes"]]
+            words, place_ = np.unique(np.concatenate(y_sets), return_inverse=True)
+            bounds, sizes = starts_of([len(v) for v in y_sets]), np.array([len(v) for v in y_sets])
+            y_rep, y_comp = y["rep"].to_numpy(), y["comp"].to_numpy()
+
+            def root(c):
+                while c in known:
+                    c = known[c]
+                return c
+
+            for rep, comp, raw in zip(x["x_rep"], x["x_comp"], x["x_hashes"]):
+                u = np.frombuffer(raw, U64)
+                at = np.minimum(np.searchsorted(words, u), len(words) - 1)
+                mark = np.zeros(len(words), np.int64)
+                mark[at[words[at] == u]] = 1
+                same = np.add.reduceat(mark[place_], bounds[:-1])
+                hits = np.flatnonzero((100 * same >= PERCENT * (len(u) + sizes - same)) & (y_comp != comp))
+                for i in hits:
+                    p, q = root(comp), root(y_comp[i])
+                    if p != q:
+                        known[p] = q
+                        out.append((rep, y_rep[i]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return outer.groupBy("x_block").cogroup(inner.groupBy("block")).applyInPandas(meet, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, stages: Stages, doc_id: str, text: str) -> DataFrame:
+    """Pairs whose full sets satisfy the threshold."""
+    ends = stages.save(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ends")
+    stored = stages.save(sets_of(ends, docs, doc_id, text), "sets")
 
     def meet(batches):
         for batch in batches:
@@ -169,25 +251,25 @@ def near_duplicates(docs: DataFrame, *, doc_id="doc_id", text="text", stages=Non
         F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)),
         lambda i: F.substring("regs", i * (2 * BAND) + 1, F.lit(2 * BAND)))).alias("band", "part"))
     keyed = stages.save(bands.select("rep", F.xxhash64("band", "part").alias("bucket")), "bands")
-    shared = keyed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("top")).where("low < top")
-    met = stages.save(keyed.join(shared.select("bucket", "low"), "bucket"), "buckets")
-
-    star = stages.save(promising(met.where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-                                 .distinct(), classes), "stars")
-    links = stages.save(confirmed(star, docs, stages, doc_id, text), "links")
-    parts = stages.save(connected_components(links, stages), "parts")
-
-    # Classes of one bucket that are not yet connected meet each other.
+    shared = stages.save(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
+    met = stages.save(keyed.join(shared, "bucket"), "buckets")
+
+    # First every class meets its bucket's most central class, the one whose buckets hold most classes.
+    weight = met.groupBy("rep").agg(F.sum("size").alias("weight"))
+    central = (met.join(weight, "rep").groupBy("bucket")
+               .agg(F.max(F.struct("weight", F.negative("rep"), "rep")).getField("rep").alias("b")))
+    star = met.join(central, "bucket").where("rep <> b").select(
+        F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
+    star = stages.save(promising(star, classes), "stars")
+    links = stages.save(confirmed(star.select("a", "b"), docs, stages, doc_id, text), "links")
+    parts = connected_components(links, stages)
+
+    # Then classes that share buckets but aren't connected yet meet, block by block.
     placed = met.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(
         "bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-    left = stages.save(placed.join(open_.select("bucket"), "bucket", "left_semi"), "open")
-    other = left.select("bucket", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    cross = (left.withColumnRenamed("rep", "a").join(other, "bucket").where("b < a AND comp <> cb")
-                 .select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    cross = stages.save(promising(cross, classes), "cross")
-    more = stages.save(confirmed(cross, docs, stages, doc_id, text), "more_links")
-    final = connected_components(links.unionByName(more), stages).withColumnRenamed("id", "rep")
+    more = unconnected_links(several(placed), docs, stages, doc_id, text)
+    links = links.unionByName(stages.save(more, "links"))
+    final = connected_components(links, stages).withColumnRenamed("id", "rep")
 
     by_class = classes.join(final, "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     return (signed.join(by_class, "key", "left")
