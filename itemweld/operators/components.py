@@ -4,8 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from itemweld.sources.staging import Stages
 
-LIST_LIMIT = 100_000   # members of a group whose sorted list is hashed as one string
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation on edges (u > v): link each node's larger (large star)
@@ -63,31 +61,17 @@ def connected_components(edges: DataFrame, stages: Stages, a="a", b="b", max_rou
             .unionByName(current.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()))
 
 
-def group_ids(labels: DataFrame, stages: Stages, min_size=2, list_limit=LIST_LIMIT) -> DataFrame:
+def group_ids(labels: DataFrame, stages: Stages, min_size=2) -> DataFrame:
     """(comp, group_id, member_count) from (part_id, comp).
 
-    group_id = sha256 of the comma-joined sorted member ids, so equal member sets
-    get equal ids whatever the run or input order. That needs the whole list in
-    one row; a group beyond ``list_limit`` is instead digested with additive
-    hashing (sums of the 64-bit pieces of each member's sha256), which has the same
-    property and combines map-side.
+    group_id is the sha256 of "n|s0|s1|s2|s3": the member count and the sums of four
+    60-bit pieces of each member id's sha256. Equal member sets get equal ids whatever the
+    run or the order, for groups of every size, and the sums combine map-side.
     """
-    sizes = stages.save(
-        labels.groupBy("comp").agg(F.count(F.lit(1)).alias("member_count"))
-              .where(F.col("member_count") >= min_size), "sizes")
-    huge = sizes.where(F.col("member_count") > list_limit)
-
-    def listed(rows):
-        return rows.groupBy("comp").agg(
-            F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("part_id"))), 256).alias("group_id"))
-
-    kept = labels.join(sizes.where(F.col("member_count") <= list_limit).select("comp"), "comp", "left_semi")
-    ids = listed(kept)
-    if not huge.isEmpty():
-        digest = F.sha2(F.col("part_id"), 256)
-        pieces = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
-        large = (labels.join(huge.select("comp"), "comp", "left_semi").groupBy("comp")
-                 .agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"p{i}") for i, p in enumerate(pieces)])
-                 .select("comp", F.sha2(F.concat_ws("|", "n", "p0", "p1", "p2", "p3"), 256).alias("group_id")))
-        ids = ids.unionByName(large)
-    return ids.join(sizes, "comp")
+    digest = F.sha2(F.col("part_id"), 256)
+    pieces = [F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = (labels.groupBy("comp").agg(F.count(F.lit(1)).alias("member_count"),
+                                       *[F.sum(p).alias(f"s{i}") for i, p in enumerate(pieces)])
+            .where(F.col("member_count") >= min_size))
+    return stages.save(sums.select(
+        "comp", F.sha2(F.concat_ws("|", "member_count", "s0", "s1", "s2", "s3"), 256).alias("group_id"), "member_count"), "group_ids")

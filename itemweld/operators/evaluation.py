@@ -40,16 +40,19 @@ def coincidental(truth: DataFrame, members: DataFrame, parts: DataFrame) -> Data
 
 
 def metrics(truth: DataFrame, members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Recall, precision and F1 per category; categories without groups stay in."""
+    """Recall, precision and F1 per category of ``parts``; one without labels has null
+    metrics, one without groups zero recall."""
     same = F.col("same") == 1
 
     def hits(kind, both=True):
         cond = F.col("relationship") == kind
         return F.count_if(cond & same if both else cond)
 
-    counts = pair_verdicts(truth, members).groupBy("part_category").agg(
+    found = pair_verdicts(truth, members).groupBy("part_category").agg(
         hits("duplicate", False).alias("dup_total"), hits("duplicate").alias("dup_tp"),
         hits("hard_negative").alias("hn_fp"), hits("near_miss").alias("nm_fp"))
+    counts = (parts.select("part_category").distinct().join(found, "part_category", "left")
+              .na.fill(0, ["dup_total", "dup_tp", "hn_fp", "nm_fp"]))
     recall = F.try_divide(F.col("dup_tp").cast("double"), F.col("dup_total"))
     precision = F.try_divide(F.col("dup_tp").cast("double"),
                              F.col("dup_tp") + F.col("hn_fp") + F.col("nm_fp"))

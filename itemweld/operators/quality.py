@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from itemweld.operators.features import is_base_part
-from itemweld.schema import ATTRIBUTES, FOREIGN_KEYS
+from itemweld.schema import ATTRIBUTES, FOREIGN_KEYS, PRIMARY_KEYS, TABLES
 
 
 def row_counts(tables: dict) -> DataFrame:
@@ -77,12 +77,39 @@ def currencies(offers: DataFrame) -> DataFrame:
 
 
 def review_roundtrip(valid_log: DataFrame, state: DataFrame) -> DataFrame:
-    """Groups with a review on one side only, or whose stored time is not the
-    latest of the log (all zero, if the round trip keeps every review)."""
+    """Groups with a review on one side only, whose stored time is not the latest of
+    the log, or whose other columns no log row of that time has (all zero, if the round
+    trip keeps every review)."""
+    facts = ["status", "reviewer", "notes"]
     want = valid_log.groupBy("group_id").agg(F.max("updated_at").alias("want"))
-    both = want.join(state.select("group_id", F.col("updated_at").alias("have")), "group_id", "full")
+    logged = valid_log.select("group_id", F.col("updated_at").alias("have"), F.xxhash64(*facts).alias("said")).distinct()
+    kept = (state.select("group_id", F.col("updated_at").alias("have"), F.xxhash64(*facts).alias("said"))
+            .join(logged.withColumn("known", F.lit(True)), ["group_id", "have", "said"], "left"))
+    both = want.join(kept, "group_id", "full")
     return both.agg(
         F.count(F.lit(1)).alias("groups"),
         F.count_if(F.col("have").isNull()).alias("lost"),
         F.count_if(F.col("want").isNull()).alias("invented"),
-        F.count_if(F.col("want") != F.col("have")).alias("stale"))
+        F.count_if(F.col("want") != F.col("have")).alias("stale"),
+        F.count_if(F.col("have").isNotNull() & F.col("known").isNull()).alias("altered"))
+
+
+def primary_keys(tables: dict, keys=PRIMARY_KEYS) -> DataFrame:
+    """Per table: declared keys that occur more than once, and their rows."""
+    checks = []
+    for name, df in tables.items():
+        repeated = df.groupBy(*keys[name]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        checks.append(repeated.agg(F.count(F.lit(1)).alias("repeated_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("repeated_rows"))
+                      .select(F.lit(name).alias("table_name"), "repeated_keys", "repeated_rows"))
+    return reduce(DataFrame.unionByName, checks)
+
+
+def not_null(tables: dict) -> DataFrame:
+    """Null rows of every column that the schema declares as never null."""
+    checks = []
+    for name, df in tables.items():
+        columns = [f.name for f in TABLES[name].fields if not f.nullable]
+        counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        checks.append(counts.select(F.explode(F.array(*[
+            F.struct(F.lit(f"{name}.{c}").alias("column_name"), F.col(c).alias("null_rows")) for c in columns])).alias("r")).select("r.*"))
+    return reduce(DataFrame.unionByName, checks)

@@ -11,6 +11,13 @@ _MASK = "4294967295::UBIGINT"
 _names = iter(range(10**9))
 
 
+def group_digest(column):
+    """The group id's definition: sha256 of the member count and of the sums of four 60-bit
+    pieces of the members' hashes."""
+    sums = [f"CAST(sum(CAST('0x' || substr(sha256({column}), {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4)]
+    return f"sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {', '.join(sums)}))"
+
+
 def _let(value, body):
     name = f"v{next(_names)}"
     return f"list_transform([{value}], lambda {name}: {body(name)})[1]"
@@ -177,7 +184,7 @@ def ctes():
             FROM (SELECT *, {drawn} FROM (SELECT id, {category} AS part_category FROM g_ids))""",
         "g_dense": f"""SELECT *, {', '.join(f'NULL::DOUBLE AS {a}' for a in ATTRIBUTES if a not in cases and a not in ('outer_diameter', 'head_width')) or 'NULL AS none_missing'},
             {density} AS material_density FROM g_drawn""",
-        "g_base": f"""SELECT 'P' || lpad(CAST(id AS VARCHAR), 7, '0') AS part_id,
+        "g_base": f"""SELECT 'P' || lpad(CAST(id AS VARCHAR), CAST(greatest(7, length(CAST(id AS VARCHAR))) AS INTEGER), '0') AS part_id,
             {_list(names)}[{draw(len(names), ('long', 'id'), 201)} + 1] AS model_id,
             {_list(G.NUMBER_PREFIX)}[id % {len(G.CATEGORIES)} + 1] || '-' || lpad(CAST(id % 20000 AS VARCHAR), 5, '0') AS part_number,
             part_category, material, material_density,
@@ -219,7 +226,7 @@ def ctes():
         "g_edges": "SELECT a AS u, b AS v, sim FROM g_pairs UNION ALL SELECT b, a, sim FROM g_pairs",
         "g_reach": "SELECT DISTINCT u AS id, u AS seen FROM g_edges UNION SELECT r.id, e.v FROM g_reach r JOIN g_edges e ON e.u = r.seen",
         "g_labels": "SELECT id AS part_id, min(seen) AS comp FROM g_reach GROUP BY id",
-        "g_gids": "SELECT comp, sha256(string_agg(part_id, ',' ORDER BY part_id)) AS group_id FROM g_labels GROUP BY comp",
+        "g_gids": f"SELECT comp, {group_digest('part_id')} AS group_id FROM g_labels GROUP BY comp",
         "g_best": """SELECT part_id, min(price_per_unit * (1 - coalesce(unit_discount, 0))) AS best FROM g_offers GROUP BY 1""",
         "g_near_sim": "SELECT u AS part_id, max(sim) AS similarity FROM g_edges GROUP BY 1",
         "g_groups": """SELECT group_id, min(part_category) AS part_category, min(material) AS material,

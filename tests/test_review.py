@@ -87,3 +87,25 @@ def test_page_bounds(spark):
     assert serving.queue_page(rows, limit=10_000).count() == 500
     assert serving.queue_page(rows, limit=-3).count() == 1
     assert serving.queue_page(rows, sort="no such column", limit=5, offset=598).count() == 2
+
+
+def test_round_trip_sees_altered_columns(spark):
+    import datetime
+
+    from itemweld.operators import quality as Q
+    t = datetime.datetime(2024, 1, 1)
+    schema = "group_id string, status string, reviewer string, notes string, updated_at timestamp"
+    log = spark.createDataFrame([("a", "reviewed", "r", "n", t), ("b", "new", "r", None, t)], schema)
+    state = spark.createDataFrame([("a", "dismissed", "r", "n", t), ("b", "new", "r", None, t)], schema)
+    assert tuple(Q.review_roundtrip(log, log).first()) == (2, 0, 0, 0, 0)
+    assert tuple(Q.review_roundtrip(log, state).first()) == (2, 0, 0, 0, 1)
+
+
+def test_categories_without_labels_stay_and_fail_the_gate(spark):
+    from itemweld.operators import evaluation as EV
+    parts = spark.createDataFrame([("p", "A"), ("p-D", "A"), ("q", "B")], "part_id string, part_category string")
+    truth = spark.createDataFrame([("p", "p-D", "duplicate", "A")], "base_part_id string, variant_part_id string, relationship string, part_category string")
+    members = spark.createDataFrame([("g", "p"), ("g", "p-D")], "group_id string, part_id string")
+    got = {r.part_category: r for r in EV.metrics(truth, members, parts).collect()}
+    assert got["A"].recall == 1.0 and got["B"].recall is None and got["B"].dup_total == 0
+    assert {r.part_category: r.passed for r in EV.gate(EV.metrics(truth, members, parts)).collect()} == {"A": True, "B": False}

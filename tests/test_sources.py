@@ -76,3 +76,9 @@ def test_unpriced_members_do_not_count(spark):
                                    "part_id string, price_per_unit double, unit_discount double")
     r = E.group_savings(E.priced_members(members, parts, offers)).first()
     assert (r.group_best_price, r.total_current_spend, r.savings_potential) == (1.0, 25.0, 10.0)
+
+
+def test_ids_beyond_seven_digits_stay_apart(spark):
+    ids = spark.createDataFrame([(i,) for i in (7, 1_000_000, 9_999_999, 10_000_000, 10_000_001, 3_000_000_000, 3_000_000_001)], "id long")
+    got = {r.part_id: r.part_number for r in G.base_parts(ids).select("part_id", "part_number").collect()}
+    assert set(got) == {"P0000007", "P1000000", "P9999999", "P10000000", "P10000001", "P3000000000", "P3000000001"}
