@@ -27,6 +27,9 @@ BLOCK = ["part_category", "material"]
 MAX_BANDS = 4          # cell dimensions at most
 CROWDED = 4_000        # rows of one cell that one task compares with its partners
 STRAGGLERS = 64        # probes that may be compared with their whole block
+LSH_TABLES = 8
+CELL_ROWS = 32         # rows per wanted neighbour from which a cell is searched at half its size first
+LEVELS = 24            # halvings of the first radius at most
 BAND_SLACK = 1e-9      # widens cells so float division cannot lose a pair at r
 
 
@@ -202,20 +205,28 @@ def folded_pairs_grid(folded: DataFrame, size: int, stages: Stages, radius=MATCH
     return met.select("a", "b", *BLOCK, dist.alias("dist")).dropDuplicates(["a", "b"])
 
 
+def lsh_coefficient(table: int, dim: int) -> int:
+    """Fixed rule of the projections: whole numbers between -1000 and 1000."""
+    return ((table + 1) * (dim + 3) * 7919 + (dim + 1) ** 2 * 104_729 + table * table * 1_299_709) % 2001 - 1000
+
+
+def lsh_width(radius: float, size: int) -> int:
+    """Bucket width on the scale of the projections: four radii times the usual length of a
+    coefficient vector (1000 / sqrt 3 per dimension), in millionths."""
+    return math.ceil(4 * radius * 1e6 * 1000 * math.sqrt(size / 3))
+
+
 def folded_pairs_lsh(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE,
-                     bucket_length=None, tables=8, seed=7, crowded=CROWDED) -> DataFrame:
-    """Pairs found by random projections (approximate: a subset of the exact ones)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    dense = folded.withColumn("point", array_to_vector("feature_vector"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="point", outputCol="hashes", numHashTables=tables,
-        bucketLength=bucket_length or 4 * radius, seed=seed)
-    hashed = (lsh.fit(dense).transform(dense)
-              .select("rep", *BLOCK, "feature_vector", F.posexplode("hashes").alias("tbl", "h"))
-              .withColumn("bucket", F.get(vector_to_array("h"), F.lit(0)).cast("bigint")).drop("h"))
-    hashed = stages.save(hashed, "lsh")
+                     tables=LSH_TABLES, crowded=CROWDED) -> DataFrame:
+    """Pairs that share a bucket of a random projection (approximate: a subset of the exact
+    ones). The projections are whole-number arithmetic on millionths with fixed
+    coefficients, so the buckets are the same on every engine."""
+    width = F.lit(lsh_width(radius, size))
+    buckets = F.array(*[F.struct(F.lit(t).alias("tbl"), F.floor(reduce(lambda x, y: x + y, [
+        F.lit(lsh_coefficient(t, i)) * F.round(F.get("feature_vector", F.lit(i)) * 1e6).cast("bigint")
+        for i in range(size)]) / width).alias("bucket")) for t in range(tables)])
+    hashed = stages.save(folded.select("rep", *BLOCK, "feature_vector", F.explode(buckets).alias("h"))
+                         .select("rep", *BLOCK, "feature_vector", "h.tbl", "h.bucket"), "lsh")
     left = hashed.select(F.col("rep").alias("a"), *BLOCK, "tbl", "bucket", F.col("feature_vector").alias("va"))
     right = hashed.select(F.col("rep").alias("b"), *BLOCK, "tbl", "bucket", F.col("feature_vector").alias("vb"))
     dist = l2(F.col("va"), F.col("vb"), size)
@@ -272,13 +283,38 @@ def rep_similarity(pairs: DataFrame, folded: DataFrame) -> DataFrame:
     return near.unionByName(same).groupBy("rep").agg(F.max("similarity").alias("similarity"))
 
 
+def _first_levels(owners: DataFrame, candidates: DataFrame, bands: DataFrame, radius: float, k: int,
+                  growth: float, stages: Stages):
+    """Probes (a, block, va, level) and the first rounds [(radius, condition of the probes that
+    take part)], narrowest first. Level 0 is ``radius``; radii below it exist only as long as some
+    cell holds very many rows."""
+    keys = BLOCK + [f"c{i}" for i in range(MAX_BANDS)]
+    counts = lambda r: home_cells(candidates, bands, r).groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
+    radii = [radius]
+    while len(radii) <= LEVELS and (counts(radii[-1]).agg(F.max("held")).first()[0] or 0) > CELL_ROWS * (k + 1):
+        radii.append(radii[-1] / growth)
+    probes = owners.select(F.col("rep").alias("a"), *BLOCK, "feature_vector")
+    found = []
+    for level in range(len(radii) - 1, 0, -1):
+        full = counts(radii[level]).where(F.col("held") > k).select(*keys)
+        here = stages.save(home_cells(probes, bands, radii[level]).join(full, keys, "left_semi").drop(*keys[len(BLOCK):]), "level")
+        found.append(here.withColumn("level", F.lit(level)))
+        probes = stages.save(probes.join(here.select("a"), "a", "left_anti"), "later")
+    found.append(probes.withColumn("level", F.lit(0)))
+    every = reduce(DataFrame.unionByName, found).withColumnRenamed("feature_vector", "va")
+    rounds = [(radii[level], F.col("level") >= level) for level in range(len(radii) - 1, -1, -1)]
+    return (stages.save(every, "open") if len(radii) > 1 else every), rounds
+
+
 def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: Stages,
             growth=2.0, crowded=CROWDED) -> DataFrame:
     """The k nearest parts of each probe in its block: (part_id, neighbor_id, dist, rank).
 
     Exact, ordered by (dist, neighbor_id). The search radius grows round by round;
     a probe with k partners inside the radius is finished, so a wide radius, whose
-    cells hold many parts, is only searched for the few that lie apart. Distinct
+    cells hold many parts, is only searched for the few that lie apart. Each probe starts
+    at the smallest radius at which its own cell holds more than k rows, so that a dense
+    cluster isn't compared with itself. Distinct
     vectors stand for all their copies: of a group of copies only the k + 1
     smallest ids can be among anyone's k nearest, and probes with the same vector
     share one search.
@@ -304,12 +340,16 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: St
     blocks, categories = candidates.agg(F.count_distinct(*BLOCK), F.count_distinct("part_category")).first()
     radius = min(widest, max(unit / 8, likely_radius(measured, unit, k, blocks / max(categories, 1))))
 
-    open_probes = owners.select(F.col("rep").alias("a"), *BLOCK, F.col("feature_vector").alias("va"))
     order = W.partitionBy("a").orderBy("dist", "b")
     rounds = []
+    open_probes, early = _first_levels(owners, candidates, bands, radius, k, growth, stages)
     while True:
+        if early:
+            radius, ready = early.pop(0)
+        else:
+            ready = F.lit(True)
         ranked = stages.save(
-            band_pairs(open_probes, right, bands, radius, size, stages, F.lit(True), crowded=crowded)
+            band_pairs(open_probes.where(ready).drop("level"), right, bands, radius, size, stages, F.lit(True), crowded=crowded)
             .withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
             .select("a", "b", "dist", "place"), "ranked")
         if radius >= widest:
@@ -321,6 +361,8 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: St
         left = open_probes.count()
         if left == 0:
             break
+        if early:
+            continue
         # The last stragglers: go to the end when all of them together are few rows.
         radius = radius * growth if left > STRAGGLERS else widest
     found = reduce(DataFrame.unionByName, rounds)

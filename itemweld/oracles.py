@@ -6,6 +6,7 @@ import re
 from functools import cache
 
 from itemweld import oracle_generator, registry
+from itemweld.operators.neighbors import LSH_TABLES, lsh_width
 from itemweld.plans.workspace import WIDE_DISTANCE
 from itemweld.schema import FEATURES, GRID_CELL, GRID_COUNT, MATCH_DISTANCE, REVIEW_STATUSES
 from itemweld.sources import orders_catalog as OC
@@ -109,6 +110,14 @@ CTES = {
     "pairs": f"SELECT * FROM wide_pairs WHERE dist <= {MATCH_DISTANCE!r}::DOUBLE",
     "grid_pairs": f"""SELECT p.* FROM wide_pairs p JOIN vectors x ON x.part_id = p.a JOIN vectors y ON y.part_id = p.b
         WHERE {' OR '.join('(' + _same_grid(i) + ')' for i in range(GRID_COUNT))}""",
+    "lsh_places": """SELECT v.part_id, v.z, row_number() OVER (PARTITION BY v.part_id ORDER BY v.place) - 1 AS i
+        FROM (SELECT part_id, part_category, unnest(""" + "[" + ", ".join(
+        f"{{'place': {FEATURES.index(f)}, 'f': '{f}', 'z': CAST(round(z_{f} * 1e6) AS BIGINT)}}" for f in _ACTIVE) + "]" + """, recursive := true) FROM vectors) v
+        JOIN stats s ON s.part_category = v.part_category AND s.feature = v.f AND s.std > 0""",
+    "lsh_buckets": f"""SELECT part_id, t, floor(sum(z * ((((t + 1) * (i + 3) * 7919 + (i + 1) * (i + 1) * 104729 + t * t * 1299709) % 2001) - 1000))::DOUBLE
+        / {lsh_width(WIDE_DISTANCE, len(_ACTIVE))}) AS bucket FROM lsh_places CROSS JOIN range({LSH_TABLES}) r(t) GROUP BY part_id, t""",
+    "lsh_pairs": """SELECT p.* FROM wide_pairs p WHERE EXISTS (SELECT 1 FROM lsh_buckets x JOIN lsh_buckets y USING (t, bucket)
+        WHERE x.part_id = p.a AND y.part_id = p.b)""",
     "ranked": f"""SELECT part_id, neighbor_id, dist, row_number() OVER (PARTITION BY part_id ORDER BY dist, neighbor_id) AS rank
         FROM (SELECT x.part_id, y.part_id AS neighbor_id, {_distance()} AS dist FROM vectors x JOIN vectors y
         ON x.part_category = y.part_category AND x.material = y.material AND x.part_id <> y.part_id)""",
@@ -241,6 +250,7 @@ BODIES = {
     "size_percentile": """SELECT part_id, part_category, weight,
         percent_rank() OVER (PARTITION BY part_category ORDER BY weight) AS size_pct FROM parts""",
     "near_pairs_exact": "SELECT a, b, part_category, material, dist, sim FROM pairs",
+    "near_pairs_lsh": "SELECT a, b, part_category, material, dist, sim FROM lsh_pairs",
     "near_pairs_grid": "SELECT a, b, part_category, material, dist, sim FROM grid_pairs",
     "knn_topk": f"SELECT part_id, neighbor_id, dist, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {registry.NEIGHBOURS}",
     "find_similar": f"""SELECT part_id, neighbor_id, CAST(rank AS INTEGER) AS rank, 1 / (1 + dist) AS sim FROM ranked

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +169,33 @@ def test_no_cartesian_product_in_the_plan(spark, stages):
     folded = M.fold(frame(spark, catalogue()), stages)
     plan = N.folded_pairs_exact(folded, 4, stages, RADIUS)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_nearest_work_is_linear_in_a_dense_cluster(spark, stages, monkeypatch):
+    """Rows leaving the cell join, for one narrow cluster with some points far from it."""
+    rng = random.Random(3)
+    left = []
+    inner = N.meet
+
+    def counted(*args, **kw):
+        out = stages.save(inner(*args, **kw), "met")
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "meet", counted)
+
+    def work(n):
+        left.clear()
+        rows = [(f"p{i}", "A", "m", [rng.random() * 0.001 for _ in range(3)]) for i in range(n)]
+        rows += [(f"q{i}", "A", "m", [rng.random() * 50 for _ in range(3)]) for i in range(100)]
+        df = stages.save(spark.createDataFrame(rows, "part_id string, part_category string, material string, feature_vector array<double>"), "points")
+        found = N.nearest(df.where("part_id LIKE 'p%'"), df, 3, 3, stages).collect()
+        assert len(found) == 3 * n
+        some = [r for r in rows[:5]]
+        for p in some:
+            want = sorted((sum((a - b) ** 2 for a, b in zip(p[3], q[3])) ** 0.5, q[0]) for q in rows if q[0] != p[0])[:3]
+            assert [r.neighbor_id for r in sorted((r for r in found if r.part_id == p[0]), key=lambda r: r["rank"])] == [q for _, q in want]
+        return sum(left)
+
+    small, large = work(1500), work(6000)
+    assert large < 8 * small and large < 6000 * 400
