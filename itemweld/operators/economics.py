@@ -5,6 +5,16 @@ from pyspark.sql import DataFrame, functions as F
 from itemweld.functions.money import net_price
 
 
+def one_currency(offers: DataFrame, currency=None) -> DataFrame:
+    """Offers whose prices are comparable: those in ``currency``, or all of them if there is
+    only one. Several currencies without a choice raise."""
+    if currency is not None:
+        return offers.where(F.col("currency") == currency)
+    if offers.agg(F.count_distinct("currency").alias("n")).first()[0] > 1:
+        raise ValueError("offers in several currencies: name the one to compare")
+    return offers
+
+
 def member_best_price(offers: DataFrame) -> DataFrame:
     return offers.groupBy("part_id").agg(F.min(net_price()).alias("member_best"))
 
@@ -39,13 +49,16 @@ def group_spans(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Span of each group. Category and material are constant in a group (blocking),
     so they are grouping keys: with a minimum of strings among the aggregates Spark
     would have to sort instead of hash."""
-    return (members.join(parts.select("part_id", "part_category", "material"), "part_id")
-            .groupBy("group_id", "part_category", "material").agg(
-                F.count(F.lit(1)).alias("member_count"),
-                F.count_distinct("model_id").alias("models_spanned"),
-                F.count_distinct("machine_type").alias("machine_types_spanned"),
-                F.count_distinct("plant_id").alias("plants_spanned"),
-                F.avg("similarity").alias("avg_similarity")))
+    # First one row per place of a group, so that the distinct counts expand few rows.
+    places = (members.join(parts.select("part_id", "part_category", "material"), "part_id")
+              .groupBy("group_id", "part_category", "material", "model_id", "machine_type", "plant_id")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("similarity").alias("s"), F.count("similarity").alias("c")))
+    return places.groupBy("group_id", "part_category", "material").agg(
+        F.sum("n").alias("member_count"),
+        F.count_distinct("model_id").alias("models_spanned"),
+        F.count_distinct("machine_type").alias("machine_types_spanned"),
+        F.count_distinct("plant_id").alias("plants_spanned"),
+        F.try_divide(F.sum("s"), F.sum("c")).alias("avg_similarity"))
 
 
 def match_groups(spans: DataFrame, savings: DataFrame) -> DataFrame:

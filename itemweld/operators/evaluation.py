@@ -105,10 +105,21 @@ def category_cutoffs(truth: DataFrame, vectors: DataFrame, size: int, stages: St
     return q.select("part_category", F.greatest(similarity(F.col("p90")), low).alias("high"), low.alias("low"))
 
 
+def candidates(pairs: DataFrame, neighbours: DataFrame, points: DataFrame) -> DataFrame:
+    """(a, b, part_category, sim, floor): near pairs and every part's nearest neighbours, so that
+    each part that has any has a candidate. ``floor`` marks the pairs that are among the
+    nearest of one of their parts."""
+    near = (neighbours.join(points.select("part_id", "part_category"), "part_id")
+            .select(F.least("part_id", "neighbor_id").alias("a"), F.greatest("part_id", "neighbor_id").alias("b"),
+                    "part_category", similarity(F.col("dist")).alias("sim"), F.lit(True).alias("floor")))
+    return (pairs.select("a", "b", "part_category", "sim", F.lit(False).alias("floor")).unionByName(near)
+            .groupBy("a", "b", "part_category").agg(F.max("sim").alias("sim"), F.max("floor").alias("floor")))
+
+
 def flag_bands(pairs: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """auto / review / drop per pair; a category without cut-offs goes to review."""
+    """auto / review / drop per candidate; a category without cut-offs goes to review."""
     sim = F.col("sim")
     band = (F.when(F.col("high").isNull(), "review").when(sim >= F.col("high"), "auto")
              .when(sim >= F.col("low"), "review").otherwise("drop"))
     return pairs.join(cutoffs, "part_category", "left").select(
-        "a", "b", "part_category", "sim", band.alias("band"))
+        "a", "b", "part_category", "sim", "floor", band.alias("band"))

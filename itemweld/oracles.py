@@ -257,14 +257,23 @@ BODIES = {
         WHERE rank <= {registry.SIMILAR} AND part_id IN (SELECT variant_part_id FROM truth)""",
     "similarity_percentile": """SELECT a, b, part_category,
         percent_rank() OVER (PARTITION BY part_category ORDER BY dist DESC) AS sim_pct FROM wide_pairs""",
-    "flag_bands": f"""SELECT a, b, part_category, sim, CASE WHEN high IS NULL THEN 'review' WHEN sim >= high THEN 'auto'
-        WHEN sim >= low THEN 'review' ELSE 'drop' END AS band FROM wide_pairs LEFT JOIN (
+    "flag_bands": f"""SELECT a, b, part_category, sim, floor, CASE WHEN high IS NULL THEN 'review' WHEN sim >= high THEN 'auto'
+        WHEN sim >= low THEN 'review' ELSE 'drop' END AS band FROM (
+        SELECT a, b, part_category, max(sim) AS sim, bool_or(floor) AS floor FROM (
+            SELECT a, b, part_category, sim, false AS floor FROM wide_pairs UNION ALL
+            SELECT least(part_id, neighbor_id), greatest(part_id, neighbor_id), part_category, 1 / (1 + dist), true
+            FROM ranked JOIN parts USING (part_id) WHERE rank <= {registry.NEIGHBOURS}) GROUP BY 1, 2, 3) LEFT JOIN (
         SELECT part_category, greatest(1 / (1 + quantile_cont(dist, 0.9)), {1.0 / (1.0 + WIDE_DISTANCE / 2)!r}::DOUBLE) AS high,
         {1.0 / (1.0 + WIDE_DISTANCE / 2)!r}::DOUBLE AS low FROM label_dist WHERE relationship = 'duplicate' GROUP BY 1) USING (part_category)""",
     "threshold_calibration": f"""SELECT relationship, count(*) AS pairs, {_round('min(dist)', 6, 'min_dist')},
         {_round('max(dist)', 6, 'max_dist')}, {_round('quantile_cont(dist, 0.5)', 6, 'p50_dist')},
         {_round('quantile_cont(dist, 0.99)', 6, 'p99_dist')} FROM label_dist GROUP BY relationship""",
     "connected_components": "SELECT part_id, comp FROM labels",
+    "crowd_members": "SELECT group_id, part_id, similarity FROM members",
+    "gen_best_offers": """SELECT supplier_id, part_id, net_price, price_per_unit, unit_discount, lead_time_days, currency, material_quality_grade
+        FROM (SELECT *, price_per_unit * (1 - coalesce(unit_discount, 0)) AS net_price FROM g_offers)
+        QUALIFY row_number() OVER (PARTITION BY supplier_id, part_id
+            ORDER BY net_price, price_per_unit, unit_discount, lead_time_days, currency, material_quality_grade) = 1""",
     "group_ids": "SELECT group_id, part_id FROM labels JOIN gids USING (comp)",
     "member_similarity": "SELECT part_id, similarity FROM node_sim",
     "group_members": "SELECT * FROM members",

@@ -7,10 +7,11 @@ review jobs never write match facts.
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from itemweld import session
-from itemweld.operators import crowds as K, evaluation as EV, review as R
+from itemweld.operators import crowds as K, economics as E, evaluation as EV, review as R
 from itemweld.plans import matching, serving
 from itemweld.schema import FEATURES, MATCH_DISTANCE, TABLES
 from itemweld.sources import generator as G
@@ -23,52 +24,58 @@ class Store:
     """Where tables live: a folder, or a database through ``options``.
 
     For a relational store use ``Store(spark, format="jdbc", options={"url": ...})``:
-    the table name then goes into ``dbtable``.
+    the table name then goes into ``dbtable``. ``read_options`` and ``write_options`` add
+    options per table, such as partitionColumn, lowerBound, upperBound and numPartitions for
+    a parallel read or truncate for a write.
     """
     spark: SparkSession
     root: str | None = None
     format: str = "parquet"
     options: dict = field(default_factory=dict)
+    read_options: dict = field(default_factory=dict)
+    write_options: dict = field(default_factory=dict)
 
-    def _where(self, name):
+    def where(self, name, more):
+        """Location and options of a table; ``more`` are the per-table ones."""
+        options = {**self.options, **more.get(name, {})}
         if self.root is None:
-            return None, {**self.options, "dbtable": name}
-        return f"{self.root.rstrip('/')}/{name}", self.options
+            return None, {**options, "dbtable": name}
+        return f"{self.root.rstrip('/')}/{name}", options
 
     def read(self, name, columns=None) -> DataFrame:
-        location, options = self._where(name)
+        location, options = self.where(name, self.read_options)
         schema = TABLES.get(name) if location else None
         return read_table(self.spark, location, format=self.format, columns=columns, schema=schema, **options)
 
     def write(self, df, name, table=None):
-        location, options = self._where(name)
+        location, options = self.where(name, self.write_options)
         write_table(df, location, table=table, format=self.format, **options)
 
 
 def generate(store: Store, ids: DataFrame) -> None:
     """The synthetic catalogue for the given ids, all master tables replaced."""
     spark = session.tune(store.spark)
-    stages = Stages(spark, "generate")
-    store.write(G.plants(spark), "plants", "plants")
-    store.write(G.models(G.plants(spark)), "models", "models")
-    store.write(G.suppliers(spark.range(G.SUPPLIER_COUNT)), "suppliers", "suppliers")
-    store.write(G.parts(ids, stages), "parts", "parts")
-    parts = store.read("parts")
-    store.write(EV.ground_truth(parts, G.LABEL_OF_SUFFIX), "ground_truth", "ground_truth")
-    store.write(G.offers(parts, stages), "supplier_catalogs", "supplier_catalogs")
-    stages.drop()
+    with Stages(spark, "generate") as stages:
+        store.write(G.plants(spark), "plants", "plants")
+        store.write(G.models(G.plants(spark)), "models", "models")
+        store.write(G.suppliers(spark.range(G.SUPPLIER_COUNT)), "suppliers", "suppliers")
+        store.write(G.parts(ids, stages), "parts", "parts")
+        parts = store.read("parts")
+        store.write(EV.ground_truth(parts, G.LABEL_OF_SUFFIX), "ground_truth", "ground_truth")
+        store.write(G.offers(parts, stages), "supplier_catalogs", "supplier_catalogs")
 
 
 def match(store: Store, radius=MATCH_DISTANCE, method="exact", digits=6, features=FEATURES,
-          crowd_work=K.CROWD_WORK) -> None:
-    stages = Stages(session.tune(store.spark), "match")
-    built = matching.build(store.read("parts"), store.read("models"), store.read("supplier_catalogs"),
-                           stages, radius, method, digits, features, crowd_work)
-    store.write(built.stats, "feature_stats", "feature_stats")
-    store.write(built.vectors, "part_features", "part_features")
-    store.write(built.members, "match_group_members", "match_group_members")
-    store.write(built.groups.withColumn("generated_at", F.current_timestamp()), "match_groups", "match_groups")
-    stages.drop()
+          crowd_work=K.CROWD_WORK, currency=None) -> None:
+    """The match facts. Offers in several currencies need ``currency``, the one to price in."""
+    offers = E.one_currency(store.read("supplier_catalogs"), currency)
+    with Stages(session.tune(store.spark), "match") as stages:
+        built = matching.build(store.read("parts"), store.read("models"), offers,
+                               stages, radius, method, digits, features, crowd_work)
+        store.write(built.stats, "feature_stats", "feature_stats")
+        store.write(built.vectors, "part_features", "part_features")
+        store.write(built.members, "match_group_members", "match_group_members")
+        store.write(built.groups.withColumn("generated_at", F.current_timestamp()), "match_groups", "match_groups")
 
 
 def evaluate(store: Store) -> None:
@@ -76,24 +83,35 @@ def evaluate(store: Store) -> None:
     store.write(found.withColumn("evaluated_at", F.current_timestamp()), "eval_metrics", "eval_metrics")
 
 
-def sync_facts(store: Store, serving_store: Store) -> None:
-    """The three read models, each replaced."""
-    members, parts, offers = (store.read(n) for n in ("match_group_members", "parts", "supplier_catalogs"))
-    serving_store.write(serving.serve_match_groups(store.read("match_groups")), "match_groups")
+def sync_facts(store: Store, serving_store: Store, currency=None) -> None:
+    """The read models, each replaced, and the groups that still await a review: those
+    that a person handled are left out of ``open_match_groups``."""
+    members, parts = store.read("match_group_members"), store.read("parts")
+    offers = E.one_currency(store.read("supplier_catalogs"), currency)
+    groups = serving.serve_match_groups(store.read("match_groups"))
+    serving_store.write(groups, "match_groups")
+    try:
+        reviews = store.read("review_dispositions")
+    except AnalysisException:       # no review was ever synced
+        reviews = store.spark.createDataFrame([], TABLES["review_dispositions"])
+    serving_store.write(R.suppress_reviewed(groups, reviews), "open_match_groups")
     serving_store.write(serving.serve_members(members, parts, offers), "match_group_members")
     serving_store.write(serving.serve_supplier_offers(offers, store.read("suppliers"), members), "supplier_offers")
 
 
 def sync_reviews(serving_store: Store, store: Store) -> None:
-    """Review state to the analytic side; normalised numbers to parts.
-
-    The parts table is replaced from a stage, since it is read and written.
-    """
-    stages = Stages(session.tune(store.spark), "reviews")
-    store.write(serving_store.read("review_dispositions"), "review_dispositions", "review_dispositions")
-    assigned = stages.save(serving_store.read("normalized_assignments"), "assigned")
-    store.write(R.normalized_parts(assigned, store.read("match_groups")), "normalized_parts", "normalized_parts")
-    parts = stages.save(
-        R.apply_normalized_ids(store.read("parts"), store.read("match_group_members"), assigned), "parts")
-    store.write(parts, "parts", "parts")
-    stages.drop()
+    """Review state to the analytic side. Normalised numbers go to a table of their own,
+    ``part_numbers``: the parts master table is never rewritten."""
+    with Stages(session.tune(store.spark), "reviews") as stages:
+        store.write(serving_store.read("review_dispositions"), "review_dispositions", "review_dispositions")
+        assigned = stages.save(serving_store.read("normalized_assignments"), "assigned")
+        store.write(R.normalized_parts(assigned, store.read("match_groups")), "normalized_parts", "normalized_parts")
+        numbered = R.apply_normalized_ids(store.read("parts"), store.read("match_group_members"), assigned)
+        store.write(numbered.where("normalized_part_id IS NOT NULL").select("part_id", "normalized_part_id"), "part_numbers")
+
+
+def numbered_parts(store: Store) -> DataFrame:
+    """The parts with the normalised ids of the last ``sync_reviews``."""
+    numbers = store.read("part_numbers")
+    parts = store.read("parts").drop("normalized_part_id")
+    return parts.join(numbers, "part_id", "left").select(*TABLES["parts"].names)

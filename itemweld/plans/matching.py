@@ -16,7 +16,6 @@ class Match:
     vectors: DataFrame
     points: DataFrame
     folded: DataFrame
-    pairs: DataFrame | None
     labels: DataFrame
     members: DataFrame
     groups: DataFrame
@@ -104,4 +103,4 @@ def build(parts: DataFrame, models: DataFrame, offers: DataFrame, stages: Stages
     labels = label_parts(points, folded, pairs, size, stages, radius)
     members = build_members(labels, parts, models, stages)
     groups = build_groups(members, parts, offers, stages)
-    return Match(stats, vectors, points, folded, pairs, labels, members, groups)
+    return Match(stats, vectors, points, folded, labels, members, groups)

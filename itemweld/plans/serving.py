@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from itemweld.functions.money import net_price
-from itemweld.operators.economics import priced_members
+from itemweld.operators.economics import best_offers, priced_members
 from itemweld.schema import QUEUE_PAGE, QUEUE_PAGE_MAX, QUEUE_SORTS
 
 GROUP_COLUMNS = [
@@ -28,7 +28,8 @@ def serve_members(members: DataFrame, parts: DataFrame, offers: DataFrame) -> Da
 
 
 def serve_supplier_offers(offers: DataFrame, suppliers: DataFrame, members: DataFrame) -> DataFrame:
-    return (offers.join(members.select("part_id"), "part_id", "left_semi")
+    """Offers of grouped parts; of repeated ones of a supplier the cheapest."""
+    return (best_offers(offers.join(members.select("part_id"), "part_id", "left_semi"))
             .join(suppliers.select("supplier_id", "supplier_name"), "supplier_id")
             .select("part_id", "supplier_name", "price_per_unit", "unit_discount",
                     "lead_time_days", "currency"))

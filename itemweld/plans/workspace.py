@@ -143,11 +143,11 @@ class Workspace:
     # review state, folded from the logs by streams
     @cached_property
     def review_log(self):
-        return self._save(OC.review_log(self.src, self.members).repartition(4, "seq"), "review_log")
+        return self._save(OC.review_log(self.src, self.members).repartition("seq"), "review_log")
 
     @cached_property
     def assignment_log(self):
-        return self._save(OC.assignment_log(self.review_log).repartition(4, "seq"), "assignment_log")
+        return self._save(OC.assignment_log(self.review_log).repartition("seq"), "assignment_log")
 
     @cached_property
     def reviews(self):

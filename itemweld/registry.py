@@ -193,7 +193,8 @@ def similarity_percentile(ws):
 @query
 def flag_bands(ws):
     cut = EV.category_cutoffs(ws.truth, ws.points, ws.size, ws.stages, WIDE_DISTANCE / 2)
-    return EV.flag_bands(ws.wide_pairs, cut)
+    nearest = N.nearest(ws.points, ws.points, NEIGHBOURS, ws.size, ws.stages)
+    return EV.flag_bands(EV.candidates(ws.wide_pairs, nearest, ws.points), cut)
 
 
 @query
@@ -208,6 +209,18 @@ def connected_components(ws):
     return ws.labels.select("part_id", "comp")
 
 
+@query
+def crowd_members(ws):
+    """The same members by the path that lists no pairs, whatever the catalogue's crowding."""
+    labels = matching.label_parts(ws.points, ws.folded, None, ws.size, ws.stages)
+    return matching.build_members(labels, ws.parts, ws.models, ws.stages).select("group_id", "part_id", "similarity")
+
+
+@query
+def gen_best_offers(ws):
+    return E.best_offers(G.offers(_generated(ws)[1], ws.stages))
+
+
 @query
 def group_ids(ws):
     return ws.members.select("group_id", "part_id")

@@ -34,6 +34,12 @@ class Stages:
         self.folder = (f"{stage_root(spark)}/itemweld/{spark.sparkContext.applicationId}"
                        f"/{label}-{uuid.uuid4().hex[:8]}")
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.drop()
+
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
 

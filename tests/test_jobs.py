@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import pytest
+
+from itemweld.operators import economics as E
 from itemweld.plans import jobs
 from itemweld.schema import TABLES
 
@@ -26,10 +29,29 @@ def test_nightly_cycle(spark, stages):
     jobs.sync_reviews(side, store)
     assert [r.status for r in store.read("review_dispositions").collect()] == ["reviewed"]
     assert [r.normalized_part_id for r in store.read("normalized_parts").collect()] == [target]
-    marked = store.read("parts").where("normalized_part_id IS NOT NULL")
+    marked = jobs.numbered_parts(store).where("normalized_part_id IS NOT NULL")
     assert marked.count() == first[target]
 
+    jobs.sync_facts(store, side)
+    assert {r.group_id for r in side.read("open_match_groups").collect()} == set(first) - {target}
+
     # A second night gives the same ids and leaves the review alone.
     jobs.match(store, crowd_work=0)     # this time by the path for crowded catalogues
     assert {r.group_id: r.member_count for r in store.read("match_groups").collect()} == first
     assert [r.group_id for r in store.read("review_dispositions").collect()] == [target]
+
+
+def test_options_per_table(spark):
+    store = jobs.Store(spark, format="jdbc", options={"url": "u"}, read_options={"parts": {"numPartitions": "8", "partitionColumn": "n"}},
+                       write_options={"parts": {"truncate": "true"}})
+    assert store.where("parts", store.read_options) == (None, {"url": "u", "numPartitions": "8", "partitionColumn": "n", "dbtable": "parts"})
+    assert store.where("parts", store.write_options)[1]["truncate"] == "true"
+    assert store.where("models", store.read_options)[1] == {"url": "u", "dbtable": "models"}
+
+
+def test_prices_of_one_currency_only(spark):
+    offers = spark.createDataFrame([("s", "p", 10.0, "USD"), ("t", "p", 2.0, "EUR")], "supplier_id string, part_id string, price_per_unit double, currency string")
+    with pytest.raises(ValueError):
+        E.one_currency(offers)
+    assert [r.price_per_unit for r in E.one_currency(offers, "USD").collect()] == [10.0]
+    assert E.one_currency(offers.where("currency = 'EUR'")).count() == 1
