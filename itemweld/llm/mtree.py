@@ -22,8 +22,8 @@ QUERIES_AT_ONCE = 8192   # queries that meet a block in one task
 LARGEST = 1 << 26        # components beyond it can't be scored in 64 bits
 EPS = 1e-9
 
-PAGE_SCHEMA = ("block string, page int, parent int, leaf boolean, size int, ids binary, vectors binary, "
-               "extra binary, radius double, center binary, parent_distance double, entry_distance binary")
+PAGE_SCHEMA = ("block string, page int, parent int, leaf boolean, ids binary, vectors binary, "
+               "radius double, center binary, parent_distance double, entry_distance binary")
 
 
 def integers(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -119,8 +119,8 @@ def build(block: str, ids, x: np.ndarray, bound: float) -> pd.DataFrame:
         far = distances(points[p["under"]], p["center"])
         if p["parent"] >= 0:
             p["pd"] = float(np.linalg.norm(p["center"] - pages[p["parent"]]["center"]))
-        out.append((block, n, p["parent"], p["leaf"], len(m), ids[m].astype("<i8").tobytes(), x[m].astype("<i8").tobytes(),
-                    b"", float(far.max()) if len(far) else 0.0, p["center"].tobytes(), p["pd"],
+        out.append((block, n, p["parent"], p["leaf"], ids[m].astype("<i8").tobytes(), x[m].astype("<i8").tobytes(),
+                    float(far.max()) if len(far) else 0.0, p["center"].tobytes(), p["pd"],
                     distances(points[m], p["center"]).tobytes() if p["leaf"] else b""))
     return pd.DataFrame(out, columns=[c.split()[0] for c in PAGE_SCHEMA.split(", ")])
 
@@ -207,7 +207,7 @@ def top_k(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding", every=E
     spark = vectors.sparkSession
     stages = stages or Stages(spark, "mtree")
     points = stages.save(integers(vectors, vec_id, embedding, scale), "points")
-    bounds = {r.dim: r.m for r in points.groupBy("dim").agg(F.max("norm2").alias("m")).orderBy(F.desc(F.count(F.lit(1)))).limit(1000).collect()}
+    bounds = {r.dim: r.m for r in points.groupBy("dim").agg(F.max("norm2").alias("m")).collect()}    # a row per vector length
     drawn = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
     pivots = {d: rows_of([r.x for r in drawn if r.dim == d], d).astype(np.float64) for d in {r.dim for r in drawn}}
 
