@@ -1,185 +1,259 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its distinct words. Lines with equal sets become one class first. The words
-of a class are ordered by rarity over all classes; two sets of Jaccard similarity t share a word among
-the first n - ceil(t n) + 1 of each, so only these are indexed. Candidates must pass the
-length filter and the positional bound, then the whole sets are compared. A line goes if any
-earlier line (by document, then position) is similar to it, whether that line stays or not: the
-result doesn't depend on the order of work, and one match settles a line. Therefore each line first
-meets only the earliest and the most repeated line of each index entry; the ones not settled by
-that meet the rest.
+A line is the set of its distinct words. Lines with equal sets are one class. The words of a
+class are ordered by rarity over all lines; two sets of Jaccard similarity t share a word among the
+first n - ceil(t n) + 1 of each, so only these are indexed. Index entries of one word must pass the
+length filter, the positional bound and a parity filter (64 bits, each the parity of the words that
+hash there: sets that differ in d words differ in d bits at most), then the whole sets are
+compared. A line goes if any earlier line (by document, then position) is similar to it, whether
+that line stays or not: the result doesn't depend on the order of work, and one match settles a
+line. So the lines of a crowded word first meet only its first and its most repeated line;
+the ones not settled by that meet the rest.
 """
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from itemweld.llm.common import U64, WordHash, ascii_words, binary_runs, starts_of, text_blocks
+from itemweld.llm.common import U64, WordHash, binary_runs, mix, starts_of, text_blocks
 from itemweld.sources.staging import Stages
 
 PERCENT = 85         # similarity from which a later line goes
 LEAST = 8            # lines of fewer distinct words repeat by chance and are left alone
 COUNTERS = 1 << 22   # counters of hashed words: a fixed size, whatever the vocabulary
 SLICE = 1 << 14
+CROWDED = 2000       # entries of a word from which they first meet two centres only
+SLOTS = 1 << 20      # size of the table that keeps most texts out of a shuffle
+LINE_COLUMNS = ["row", "doc_id", "line", "key", "bits", "words", "slice", "counts"]
+
+
+def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, doc_id, text binary); row names the document by id and text."""
+    t = F.col(text).cast("string")
+    return docs.select(F.xxhash64(F.col(doc_id).cast("long"), t).alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
+                       t.cast("binary").alias("text"))
+
+
+def line_sets(texts, cache: WordHash, least: int, wanted=None):
+    """(text number, line number, bounds, hashes) of the lines of at least ``least`` distinct
+    words; with ``wanted``, per text, only of those line numbers."""
+    flat, sizes, owner, numbers = [], [], [], []
+    for d, t in enumerate(texts):
+        for i, line in enumerate(t.lower().split(b"\n") if t else ()):
+            if wanted is None or i in wanted[d]:
+                words = set(line.split())
+                if len(words) >= least:
+                    flat += words
+                    sizes.append(len(words))
+                    owner.append(d)
+                    numbers.append(i)
+    return np.array(owner, np.int64), np.array(numbers, np.int32), starts_of(sizes), cache.of(flat)
+
+
+def set_keys(hashes, bounds) -> np.ndarray:
+    """One 64-bit key per set: the sum of its words' mixed hashes, whatever their order."""
+    return np.add.reduceat(mix(hashes), bounds[:-1]).view(np.int64) if len(bounds) > 1 else np.zeros(0, np.int64)
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """(row, doc_id, line, key, n, words): lines of at least ``least`` distinct words. row names
-    the document by id and text; words are the sorted 32-bit hashes of the set."""
+    """(row, doc_id, line, key, bits, words) of every line, words being the upper halves of the
+    hashes; and from each task (slice, counts): how often it met the words of each hash, one byte
+    each, 255 for more."""
 
     def run(batches):
-        cache = WordHash()
+        cache, counts = WordHash(), np.zeros(COUNTERS, np.int64)
         for block in text_blocks(batches):
-            rows, ids, numbers, keys, sets = [], [], [], [], []
-            for row, doc, t in zip(*(c.to_pylist() for c in block.columns)):
-                for number, line in enumerate(t.split(b"\n") if t else ()):
-                    words = ascii_words(line)
-                    if len(words) >= least:
-                        full = np.unique(cache.of(words))
-                        if len(full) >= least:
-                            short = np.unique((full >> U64(32)).astype(np.uint32))
-                            rows.append(row)
-                            ids.append(doc)
-                            numbers.append(number)
-                            keys.append(xxhash.xxh3_64_intdigest(full.tobytes()) - (1 << 63))
-                            sets.append(short)
-            sizes = [len(s) for s in sets]
+            owner, numbers, bounds, hashes = line_sets(block.column(2).to_pylist(), cache, least)
+            words, at, n = (hashes >> U64(32)).astype(np.uint32), pa.array(owner), len(owner)
+            counts += np.bincount(words & np.uint32(COUNTERS - 1), minlength=COUNTERS)
+            bits = np.bitwise_xor.reduceat(U64(1) << (mix(hashes) & U64(63)), bounds[:-1]) if n else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(keys, pa.int64()),
-                 pa.array(sizes, pa.int32()), binary_runs(np.concatenate(sets) if sets else np.zeros(0, np.uint32), starts_of(sizes))],
-                names=["row", "doc_id", "line", "key", "n", "words"])
-
-    return named(docs, doc_id, text).mapInArrow(run, "row long, doc_id long, line int, key long, n int, words binary")
-
-
-def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    t = F.col(text).cast("string")
-    return docs.select(F.xxhash64(F.col(doc_id).cast("long"), t).alias("row"), F.col(doc_id).cast("long").alias("doc_id"),
-                       t.cast("binary").alias("text"))
+                [block.column(0).take(at), block.column(1).take(at), pa.array(numbers), pa.array(set_keys(hashes, bounds)), pa.array(bits.view(np.int64)),
+                 binary_runs(words, bounds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=LINE_COLUMNS)
+        if counts.any():
+            n = COUNTERS // SLICE
+            none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [*none, pa.array(np.arange(n, dtype=np.int32)), binary_runs(np.minimum(counts, 255).astype(np.uint8), np.arange(n + 1) * SLICE)], names=LINE_COLUMNS)
 
+    return named(docs, doc_id, text).mapInArrow(
+        run, "row long, doc_id long, line int, key long, bits long, words binary, slice int, counts binary")
 
-def word_counts(classes: DataFrame) -> np.ndarray:
-    """Logarithmic counts, by hash, of every word of every class: ``COUNTERS`` bytes."""
 
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
-            total += np.bincount(words & np.uint32(COUNTERS - 1), minlength=COUNTERS)
-        if total.any():
-            capped = np.minimum(total, 65535).astype(np.uint16).reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(capped))), binary_runs(capped.ravel(), np.arange(len(capped) + 1) * SLICE)],
-                                             names=["slice", "counts"])
+def word_ranks(stored: DataFrame) -> np.ndarray:
+    """Logarithmic counts of hashed words over all lines: ``COUNTERS`` bytes, rarest lowest."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in frame["counts"])
-        rank = np.ceil(8 * np.log2(1 + np.minimum(total, 1 << 30))).astype(np.uint8)
+        total = sum(np.frombuffer(c, np.uint8).astype(np.int64) for c in frame["counts"])
+        rank = np.minimum(np.ceil(8 * np.log2(1 + total)), 255).astype(np.uint8)
         return pd.DataFrame({"slice": frame["slice"].iloc[:1], "rank": [rank.tobytes()]})
 
-    made = (classes.select("words").mapInArrow(count, "slice long, counts binary").groupBy("slice")
-            .applyInPandas(add, "slice long, rank binary").collect())
     out = np.zeros(COUNTERS, np.uint8)
-    for r in made:
+    for r in (stored.where("slice IS NOT NULL").select("slice", "counts").groupBy("slice")
+              .applyInPandas(add, "slice int, rank binary").collect()):
         out[r.slice * SLICE:(r.slice + 1) * SLICE] = np.frombuffer(r.rank, np.uint8)
     return out
 
 
-def prefix_rows(classes: DataFrame, ranks, percent: int) -> DataFrame:
-    """(word, key, n, pos, doc_id, row, line, copies) for the rarest words of each class; pos counts from 1."""
+def prefix_rows(stored: DataFrame, ranks, percent: int) -> DataFrame:
+    """(word, key, bits, place) of the rarest words of each line; place = n << 32 | position from 1.
+    Equal lines of one batch are indexed once."""
 
     def run(batches):
-        rank = ranks.value
+        rank = ranks.value.astype(U64) << U64(32)
         for batch in batches:
-            raw = batch.column(0).to_pylist()
-            sizes = np.array([len(r) // 4 for r in raw], np.int64)
+            keys, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(keys):
+                continue
+            once = np.sort(np.unique(keys, return_index=True)[1])
+            raw = batch.column(2).take(pa.array(once)).to_pylist()
             words = np.frombuffer(b"".join(raw), np.uint32)
-            owner = np.repeat(np.arange(len(raw)), sizes)
-            order = np.lexsort((words, rank[words & np.uint32(COUNTERS - 1)], owner))
-            bounds = starts_of(sizes)
-            pos = np.arange(len(words)) - bounds[owner] + 1
-            first = pos <= (sizes - (percent * sizes + 99) // 100 + 1)[owner]
-            take = pa.array(owner[first])
+            order = rank[words & np.uint32(COUNTERS - 1)] | words
+            sizes = np.array([len(r) // 4 for r in raw], np.int64)
+            take = sizes - (percent * sizes + 99) // 100 + 1
+            bounds, first = starts_of(sizes), []
+            for i in range(len(once)):
+                part = order[bounds[i]:bounds[i + 1]]
+                part.sort()
+                first.append(part[:take[i]])
+            owner = np.repeat(np.arange(len(once)), take)
+            pos = np.arange(len(owner)) - np.repeat(starts_of(take)[:-1], take) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words[order][first].view(np.int32)), pa.array(pos[first].astype(np.int32))]
-                + [batch.column(i).take(take) for i in range(1, 7)],
-                names=["word", "pos", "key", "n", "doc_id", "row", "line", "copies"])
+                [pa.array(np.concatenate(first).astype(np.uint32).view(np.int32)), pa.array(keys[once][owner]), pa.array(bits[once][owner]),
+                 pa.array(sizes[owner] << 32 | pos)], names=["word", "key", "bits", "place"])
 
-    return classes.select("words", "key", "n", "doc_id", "row", "line", "copies").mapInArrow(
-        run, "word int, pos int, key long, n int, doc_id long, row long, line int, copies long")
+    return stored.where("slice IS NULL").select("key", "bits", "words").mapInArrow(run, "word int, key long, bits long, place long")
 
 
-def bound(percent: int, a: str, b: str) -> str:
-    """SQL: lengths and positions of a common word leave room for the threshold."""
-    return (f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND "
-            f"(100 + {percent}) * (1 + least({a}n - {a}pos, {b}n - {b}pos)) >= {percent} * ({a}n + {b}n)")
+def compatible(bits_a, place_a, bits_b, place_b, percent: int):
+    """True where lengths, positions and parities of two entries leave room for the threshold."""
+    na, nb, pa_, pb = place_a >> 32, place_b >> 32, place_a & 0xFFFFFFFF, place_b & 0xFFFFFFFF
+    total = na + nb
+    differ = np.bitwise_count((bits_a ^ bits_b).view(U64)).astype(np.int64)
+    return ((100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            & ((100 + percent) * (1 + np.minimum(na - pa_, nb - pb)) >= percent * total)
+            & ((100 + percent) * differ <= (100 - percent) * total))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The later class of each similar pair (earlier, later)."""
+def candidates(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b, word, bits, place): pairs of keys a < b to compare, word null; and the entries of
+    crowded words, b null."""
 
     def run(batches):
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]     # one partition of the index
+        if not parts:
+            return
+        word, key, bits, place = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((key, place >> 32, word))      # by length within a word; equal keys have one length
+        word, key, bits, place = (x[order] for x in (word, key, bits, place))
+        first = np.flatnonzero((np.diff(word, prepend=word[0] - 1) != 0) | (np.diff(key, prepend=key[0] - 1) != 0))
+        times = np.diff([*first, len(word)])
+        word, key, bits, place = (x[first] for x in (word, key, bits, place))
+        start = np.flatnonzero(np.diff(word.astype(np.int64), prepend=-(1 << 40)))
+        size = np.diff([*start, len(word)])
+        left = np.repeat(start + size, size) - np.arange(len(word))      # entries from here to the word's end
+        crowd = np.repeat(size > CROWDED, size)
+        pairs = [np.zeros((0, 2), np.int64)]
+
+        def meet(i, j):
+            ok = compatible(bits[i], place[i], bits[j], place[j], percent) & (key[i] != key[j])
+            pairs.append(np.stack([np.minimum(key[i[ok]], key[j[ok]]), np.maximum(key[i[ok]], key[j[ok]])], 1))
+
+        few, size_of = np.flatnonzero(~crowd), place >> 32
+        for d in range(1, CROWDED):
+            few = few[left[few] > d]
+            few = few[100 * size_of[few] >= percent * size_of[few + d]]      # longer partners only follow
+            if not len(few):
+                break
+            meet(few, few + d)
+        for s, n in zip(start[size > CROWDED], size[size > CROWDED]):
+            rows = np.arange(s, s + n)
+            for centre in {int(s), int(s + times[s:s + n].argmax())}:
+                meet(rows, np.full(n, centre))
+        found = np.unique(np.concatenate(pairs), axis=0)
+        n = len(found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
+            names=["a", "b", "word", "bits", "place"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[crowd]), pa.nulls(int(crowd.sum()), pa.int64()), pa.array(word[crowd]), pa.array(bits[crowd]), pa.array(place[crowd])],
+            names=["a", "b", "word", "bits", "place"])
+
+    return index.repartition("word").mapInArrow(run, "a long, b long, word int, bits long, place long")
+
+
+def settled_by(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stages: Stages, doc_id: str, text: str, percent: int, least: int) -> DataFrame:
+    """The later key of each pair (a, b) whose whole sets are similar. The sets are made anew from
+    the texts that hold them."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = stages.save(classes.join(ends, "key").groupBy("row").agg(F.collect_set("line").alias("lines")), "wanted")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = F.broadcast(wanted.select(slot("row").alias("slot")).distinct())     # at most SLOTS numbers
+    texts = (named(docs, doc_id, text).withColumn("slot", slot("row")).join(slots, "slot", "left_semi").join(wanted, "row")
+             .select("row", "lines", "text"))
+
+    def sets(batches):
+        cache = WordHash()
+        for block in text_blocks(batches):
+            lines = [set(x) for x in block.column(1).to_pylist()]
+            _, _, bounds, hashes = line_sets(block.column(2).to_pylist(), cache, least, lines)
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, bounds)), binary_runs(hashes, bounds)], names=["key", "hashes"])
+
+    stored = stages.save(texts.mapInArrow(sets, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
+                         .join(classes.select("key", "doc_id", "line"), "key"), "sets")
+
+    def compare(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                both = np.frombuffer(x + y, np.uint32)
-                both = np.sort(both, kind="stable")
+                both = np.sort(np.frombuffer(x + y, U64))
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(both) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["key"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: classes.select(F.col("key").alias(x), F.col("words").alias(f"w_{x}"))
-    return (pairs.join(side("later"), "later").join(side("earlier"), "earlier")
-            .select("later", "w_later", "w_earlier").mapInArrow(run, "key long").distinct())
+    side = lambda x: stored.select(F.col("key").alias(x), F.col("hashes").alias(f"h_{x}"), F.struct("doc_id", "line", "key").alias(f"p_{x}"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .select(F.greatest("p_a", "p_b").getField("key").alias("later"), "h_a", "h_b").mapInArrow(compare, "key long").distinct())
 
 
 def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", percent=PERCENT, least=LEAST, stages=None) -> DataFrame:
     """(row, removed array<int>): the numbers, from 0, of the lines that go, for documents that lose any.
 
-    Words are what white space separates, A-Z in lower case. Lines with fewer than ``least``
-    distinct words stay. A line is later than another by doc_id (null first), then by the document's
-    hash, then by position. Rows that repeat both id and text are one document: they lose
-    the same lines. Near-equal sets are compared by 32-bit word hashes, equal ones by 64-bit hashes.
+    Words are what white space separates, A-Z in lower case, told apart by 64-bit hashes. Lines
+    with fewer than ``least`` distinct words stay. A line is later than another by doc_id (null
+    first), then by position. Rows that repeat both id and text are one document: they lose the
+    same lines.
     """
     spark = docs.sparkSession
     stages = stages or Stages(spark, "linededup")
-    lines = stages.save(lines_of(docs, doc_id, text, least), "lines")
-    place = F.struct("doc_id", "row", "line")
+    stored = stages.save(lines_of(docs, doc_id, text, least), "lines", compression="zstd")
+    lines = stored.where("slice IS NULL").select("row", "doc_id", "line", "key")
     classes = stages.save(
-        lines.groupBy("key").agg(F.min(place).alias("p"), F.first("n").alias("n"), F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"))
-             .select("key", "n", "words", "copies", "p.*"), "classes")
-    ranks = spark.sparkContext.broadcast(word_counts(classes))
-
-    index = prefix_rows(classes, ranks, percent).repartition("word")
-    entry = F.struct("doc_id", "row", "line", "key", "n", "pos")
-    heads = index.groupBy("word").agg(F.count(F.lit(1)).alias("entries"), F.min(entry).alias("first"),
-                                      F.max(F.struct("copies", "key", entry.alias("e"))).getField("e").alias("top")).where("entries > 1")
-    shared = stages.save(index.join(heads, "word").drop("entries"), "index")
-    tries = []
-    for name in ("first", "top"):
-        c = shared.select("word", "key", "n", "pos", entry.alias("x"), F.col(name).alias("c")).where(f"key <> c.key AND {bound(percent, '', 'c.')}")
-        earlier = F.struct("c.doc_id", "c.row", "c.line") < F.struct("x.doc_id", "x.row", "x.line")
-        tries.append(c.select(F.when(earlier, F.col("c.key")).otherwise(F.col("key")).alias("earlier"),
-                              F.when(earlier, F.col("key")).otherwise(F.col("c.key")).alias("later")))
-    tried = stages.save(tries[0].unionByName(tries[1]).distinct(), "tried")
-    settled = stages.save(verified(tried, classes, percent), "settled")
-
-    # The rest meet every earlier line of their entries.
-    rest = shared.join(settled, "key", "left_anti")
-    rest = rest.select("word", *[F.col(c).alias(f"x_{c}") for c in ("key", "n", "pos", "doc_id", "row", "line")])
-    met = (rest.join(shared.select("word", "key", "n", "pos", "doc_id", "row", "line"), "word")
-           .where(f"key <> x_key AND {bound(percent, 'x_', '')}")
-           .where(F.struct("doc_id", "row", "line") < F.struct("x_doc_id", "x_row", "x_line"))
-           .select(F.col("key").alias("earlier"), F.col("x_key").alias("later")).distinct()
-           .join(tried, ["earlier", "later"], "left_anti"))
-    more = verified(stages.save(met, "met"), classes, percent)
-    gone = stages.save(settled.unionByName(more).distinct().withColumn("gone", F.lit(True)), "gone")
+        lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "row")).alias("p"), F.count(F.lit(1)).alias("copies"))
+             .select("key", "copies", "p.*"), "classes")
+    ranks = spark.sparkContext.broadcast(word_ranks(stored))
+    met = stages.save(candidates(prefix_rows(stored, ranks, percent), percent), "met")
+    pairs = stages.save(met.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
+    done = lambda p: settled_by(p, classes, docs, stages, doc_id, text, percent, least)
+    settled = stages.save(done(pairs), "settled")
+
+    # Lines of crowded words that nothing settled yet meet every other entry of those words.
+    crowded = met.where("b IS NULL").select(F.col("a").alias("key"), "word", "bits", "place")
+    rest = crowded.join(settled, "key", "left_anti").select("word", *[F.col(c).alias(f"x_{c}") for c in ("key", "bits", "place")])
+    n, xn, pos, xpos = (F.shiftright("place", 32), F.shiftright("x_place", 32), F.col("place").bitwiseAND(0xFFFFFFFF), F.col("x_place").bitwiseAND(0xFFFFFFFF))
+    room = ((100 * F.least(n, xn) >= percent * F.greatest(n, xn))
+            & ((100 + percent) * (1 + F.least(n - pos, xn - xpos)) >= percent * (n + xn))
+            & ((100 + percent) * F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= (100 - percent) * (n + xn)))
+    more = (rest.join(crowded, "word").where((F.col("key") != F.col("x_key")) & room)
+            .select(F.least("key", "x_key").alias("a"), F.greatest("key", "x_key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = stages.save(more, "more")
+    gone = stages.save(settled.unionByName(done(more)).distinct().withColumn("gone", F.lit(True)), "gone")
 
     # Of a class that goes all lines go, of the others all but the first.
-    copied = classes.select("key", *[F.col(c).alias(f"f_{c}") for c in ("doc_id", "row", "line")]).join(gone, "key", "left")
-    copied = copied.join(classes.where("copies > 1").select("key", F.lit(True).alias("several")), "key", "left").where("gone OR several")
-    return (lines.select("key", "row", "line").join(copied, "key").where("gone OR row <> f_row OR line <> f_line")
+    first = classes.select("key", "copies", *[F.col(c).alias(f"f_{c}") for c in ("row", "line")])
+    lost = first.join(gone, "key", "left").where("gone OR copies > 1")
+    return (lines.select("key", "row", "line").join(lost, "key").where("gone OR row <> f_row OR line <> f_line")
             .groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
