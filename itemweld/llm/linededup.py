@@ -14,6 +14,7 @@ the ones not settled by that meet the rest.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from itemweld.llm.common import U64, WordHash, binary_runs, mix, starts_of, text_blocks
@@ -97,13 +98,14 @@ def word_ranks(stored: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(stored: DataFrame, ranks, percent: int) -> DataFrame:
-    """(word, key, bits, place) of the rarest words of each line; place = n << 32 | position from 1.
+    """(word, key, bits, place, doc_id) of the rarest words of each line; place = n << 32 | position from 1.
     Equal lines of one batch are indexed once."""
 
     def run(batches):
         rank = ranks.value.astype(U64) << U64(32)
         for batch in batches:
             keys, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            docs = pc.fill_null(batch.column(3), -(1 << 63)).to_numpy()      # null comes first
             if not len(keys):
                 continue
             once = np.sort(np.unique(keys, return_index=True)[1])
@@ -121,9 +123,10 @@ def prefix_rows(stored: DataFrame, ranks, percent: int) -> DataFrame:
             pos = np.arange(len(owner)) - np.repeat(starts_of(take)[:-1], take) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(first).astype(np.uint32).view(np.int32)), pa.array(keys[once][owner]), pa.array(bits[once][owner]),
-                 pa.array(sizes[owner] << 32 | pos)], names=["word", "key", "bits", "place"])
+                 pa.array(sizes[owner] << 32 | pos), pa.array(docs[once][owner])], names=["word", "key", "bits", "place", "doc_id"])
 
-    return stored.where("slice IS NULL").select("key", "bits", "words").mapInArrow(run, "word int, key long, bits long, place long")
+    return stored.where("slice IS NULL").select("key", "bits", "words", "doc_id").mapInArrow(
+        run, "word int, key long, bits long, place long, doc_id long")
 
 
 def compatible(bits_a, place_a, bits_b, place_b, percent: int):
@@ -138,27 +141,37 @@ def compatible(bits_a, place_a, bits_b, place_b, percent: int):
 
 def candidates(index: DataFrame, percent: int) -> DataFrame:
     """(a, b, word, bits, place): pairs of keys a < b to compare, word null; and the entries of
-    crowded words, b null."""
+    crowded words, b null.
+
+    One match settles a line, so under each word a line first meets only that one of the compatible
+    lines of earlier documents whose parities are nearest to its own, and those of its own document. A
+    word is crowded if that left any compatible pair out.
+    """
 
     def run(batches):
         parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]     # one partition of the index
         if not parts:
             return
-        word, key, bits, place = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((key, place >> 32, word))      # by length within a word; equal keys have one length
-        word, key, bits, place = (x[order] for x in (word, key, bits, place))
+        word, key, bits, place, doc = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, key, place >> 32, word))      # by length within a word; equal keys have one length
+        word, key, bits, place, doc = (x[order] for x in (word, key, bits, place, doc))
         first = np.flatnonzero((np.diff(word, prepend=word[0] - 1) != 0) | (np.diff(key, prepend=key[0] - 1) != 0))
         times = np.diff([*first, len(word)])
-        word, key, bits, place = (x[first] for x in (word, key, bits, place))
+        word, key, bits, place, doc = (x[first] for x in (word, key, bits, place, doc))      # the earliest document of each
         start = np.flatnonzero(np.diff(word.astype(np.int64), prepend=-(1 << 40)))
         size = np.diff([*start, len(word)])
         left = np.repeat(start + size, size) - np.arange(len(word))      # entries from here to the word's end
         crowd = np.repeat(size > CROWDED, size)
         pairs = [np.zeros((0, 2), np.int64)]
 
+        best, chances = np.full(len(word), 1 << 62), np.zeros(len(word), np.int64)
+
+        def found_pairs(i, j):
+            pairs.append(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], 1))
+
         def meet(i, j):
             ok = compatible(bits[i], place[i], bits[j], place[j], percent) & (key[i] != key[j])
-            pairs.append(np.stack([np.minimum(key[i[ok]], key[j[ok]]), np.maximum(key[i[ok]], key[j[ok]])], 1))
+            found_pairs(i[ok], j[ok])
 
         few, size_of = np.flatnonzero(~crowd), place >> 32
         for d in range(1, CROWDED):
@@ -166,7 +179,20 @@ def candidates(index: DataFrame, percent: int) -> DataFrame:
             few = few[100 * size_of[few] >= percent * size_of[few + d]]      # longer partners only follow
             if not len(few):
                 break
-            meet(few, few + d)
+            ok = compatible(bits[few], place[few], bits[few + d], place[few + d], percent)
+            i, j = few[ok], few[ok] + d
+            same = doc[i] == doc[j]
+            found_pairs(i[same], j[same])
+            i, j = i[~same], j[~same]
+            late, early = np.where(doc[i] > doc[j], i, j), np.where(doc[i] > doc[j], j, i)
+            apart = np.bitwise_count((bits[i] ^ bits[j]).view(U64)).astype(np.int64)
+            np.minimum.at(best, late, apart << 40 | early)
+            np.add.at(chances, late, 1)
+        late = np.flatnonzero(chances)
+        found_pairs(late, best[late] & ((1 << 40) - 1))
+        full = np.zeros(len(start), bool)
+        np.logical_or.at(full, np.repeat(np.arange(len(start)), size), chances > 1)
+        crowd |= np.repeat(full, size)
         for s, n in zip(start[size > CROWDED], size[size > CROWDED]):
             rows = np.arange(s, s + n)
             for centre in {int(s), int(s + times[s:s + n].argmax())}:
