@@ -110,6 +110,8 @@ def op8_line_dedup(spark, folder):
 
 @query
 def op3_sampled_pieces(spark, folder):
+    # Stored in between, so that encoding and decoding don't hold their workers at the same time.
     made = sampling.encode(table(spark, folder, "documents"))
-    back = made.withColumn("lossless", sampling.decoded("pieces").eqNullSafe(F.col("text")))
-    return back.select(F.col("key").alias("doc_id"), F.size("pieces").alias("n_pieces"), "pieces", "lossless")
+    stored = Stages(spark, "pieces").save(made.select("key", F.sha1(F.encode("text", "utf-8")).alias("mark"), "pieces"), "pieces", compression="zstd")
+    mark = F.sha1(F.encode(sampling.decoded("pieces"), "utf-8"))
+    return stored.select(F.col("key").alias("doc_id"), F.size("pieces").alias("n_pieces"), "pieces", mark.eqNullSafe(F.col("mark")).alias("lossless"))

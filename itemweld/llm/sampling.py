@@ -25,7 +25,7 @@ from itemweld.llm.common import U64, mix, starts_of, text_blocks
 
 MODEL_FILE = "piece_bpe_32k.model"
 SHARPNESS = 1.0          # exponent of the piece weights: larger draws come nearer to the best path
-BLOCK = 6_000_000        # bytes of text whose lattice is held at once
+BLOCK = 2_500_000        # bytes of text whose lattice is held at once
 SEGMENT = re.compile(r" *[^ \n]+|\n| +")
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 FINER = re.compile(rf" *[^ \n]+?(?<={LETTER})(?=[.,])| *[^ \n]+|\n| +")     # also cut between a letter and a stop or comma
@@ -75,6 +75,9 @@ class Vocabulary:
         self.levels = []
         for table in prefixes[1:]:
             keys = np.array(sorted(table), U64)
+            if not self.levels:                                 # first characters: a table by code point
+                self.single = np.full(int(keys[-1]) + 1, -1)
+                self.single[keys.astype(np.int64) - 1] = np.arange(len(keys))
             self.levels.append((keys, np.array([table[int(k)][0] for k in keys]), np.array([table[int(k)][1] for k in keys])))
 
 
@@ -110,9 +113,15 @@ class Lattice:
             active = active[active + n <= end[active]]
             if not len(active):
                 break
-            h[active] = h[active] * BASE + (codes[active + n - 1] + 1).astype(U64)
-            found = np.minimum(np.searchsorted(keys, h[active]), len(keys) - 1)
-            known = keys[found] == h[active]
+            if n == 1:
+                found = v.single[np.minimum(codes, len(v.single) - 1)]
+                known = found >= 0
+                h = (codes + 1).astype(U64)
+            else:
+                now = h[active] * BASE + (codes[active + n - 1] + 1).astype(U64)
+                h[active] = now
+                found = np.minimum(np.searchsorted(keys, now), len(keys) - 1)
+                known = keys[found] == now
             active, found = active[known], found[known]
             whole = ids[found] >= 0
             a, f = active[whole], found[whole]
@@ -130,8 +139,8 @@ class Lattice:
         ends.append((node[plain] + 1).astype(np.int32))
         pieces.append((v.size + points).astype(np.int32))
         weights.append(v.byte_weight * length)
-        start, stop, piece = (np.concatenate(x) for x in (starts, ends, pieces))
-        weight = np.concatenate(weights) * sharpness
+        start, stop, piece = (np.concatenate(x[::-1]) for x in (starts, ends, pieces))      # longest first: likelier
+        weight = np.concatenate(weights[::-1]) * sharpness
         depth = stop - self.first[np.repeat(np.arange(len(sizes)), sizes + 1)[stop]]
         order = np.argsort(stop, kind="stable")
         if depth.max() < 1 << 16:
@@ -157,9 +166,9 @@ class Lattice:
             share[a:b] = part / whole[run]
             total[stop[a:b][cut]] = top + np.log(whole)
         by_node = np.argsort(stop, kind="stable")
-        self.key = stop[by_node] + np.minimum(share[by_node], 1.0)      # node number + cumulative share: one sorted array
-        self.start, self.piece, self.stop = start[by_node], piece[by_node], stop[by_node]
-        self.total = total
+        self.start, self.piece, self.share = start[by_node], piece[by_node], share[by_node]
+        self.edge = starts_of(np.bincount(stop, minlength=len(total)))[:-1]      # first edge into each node
+        self.share[np.flatnonzero(np.diff(stop[by_node], append=-1))] = 2.0      # the last one takes what is left
 
     def sample(self, segment: np.ndarray, seeds: np.ndarray):
         """(pieces, bounds): a path through the lattice of each occurrence, first piece first."""
@@ -168,10 +177,11 @@ class Lattice:
         count = np.zeros(len(segment), np.int64)
         while len(live):
             draw = (mix(seeds[live] + STEPS[len(steps) % len(STEPS)]) >> U64(11)).astype(np.float64) / 2.0**53
-            edge = np.searchsorted(self.key, node[live] + draw, side="right")
-            edge = np.minimum(edge, len(self.key) - 1)
-            over = self.stop[edge] != node[live]                # a draw rounded up to the next node
-            edge = edge - over
+            edge = self.edge[node[live]]
+            on = np.flatnonzero(self.share[edge] <= draw)
+            while len(on):
+                edge[on] += 1
+                on = on[self.share[edge[on]] <= draw[on]]
             steps.append((live, self.piece[edge]))
             count[live] += 1
             node[live] = self.start[edge]
