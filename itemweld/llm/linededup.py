@@ -1,7 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its distinct words. Lines with equal sets are one class. The words of a
-class are ordered by rarity over all lines; two sets of Jaccard similarity t share a word among the
+A line is the set of its distinct words; only blank lines, which have none, are left alone. Lines
+with equal sets are one class. Sets of up to 5 words are similar to equal ones only, so their
+classes settle them. The words of any other class are ordered by rarity over all lines; two sets of Jaccard similarity t share a word among the
 first n - ceil(t n) + 1 of each, so only these are indexed. Index entries of one word must pass the
 length filter, the positional bound and a parity filter (64 bits, each the parity of the words that
 hash there: sets that differ in d words differ in d bits at most), then the whole sets are
@@ -21,7 +22,6 @@ from itemweld.llm.common import U64, WordHash, binary_runs, mix, starts_of, text
 from itemweld.sources.staging import Stages
 
 PERCENT = 85         # similarity from which a later line goes
-LEAST = 8            # lines of fewer distinct words repeat by chance and are left alone
 COUNTERS = 1 << 22   # counters of hashed words: a fixed size, whatever the vocabulary
 SLICE = 1 << 14
 CROWDED = 2000       # entries of a word from which they first meet two centres only
@@ -36,15 +36,15 @@ def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                        t.cast("binary").alias("text"))
 
 
-def line_sets(texts, cache: WordHash, least: int, wanted=None):
-    """(text number, line number, bounds, hashes) of the lines of at least ``least`` distinct
-    words; with ``wanted``, per text, only of those line numbers."""
+def line_sets(texts, cache: WordHash, wanted=None):
+    """(text number, line number, bounds, hashes) of the lines that aren't blank; with
+    ``wanted``, per text, only of those line numbers."""
     flat, sizes, owner, numbers = [], [], [], []
     for d, t in enumerate(texts):
         for i, line in enumerate(t.lower().split(b"\n") if t else ()):
             if wanted is None or i in wanted[d]:
                 words = set(line.split())
-                if len(words) >= least:
+                if words:
                     flat += words
                     sizes.append(len(words))
                     owner.append(d)
@@ -57,21 +57,28 @@ def set_keys(hashes, bounds) -> np.ndarray:
     return np.add.reduceat(mix(hashes), bounds[:-1]).view(np.int64) if len(bounds) > 1 else np.zeros(0, np.int64)
 
 
-def lines_of(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """(row, doc_id, line, key, bits, words) of every line, words being the upper halves of the
-    hashes; and from each task (slice, counts): how often it met the words of each hash, one byte
+def equal_only(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """True for sets so small that no other set is similar: not even one with a single word more."""
+    return 100 * sizes < percent * (sizes + 1)
+
+
+def lines_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """(row, doc_id, line, key, bits, words) of every line that isn't blank, words being the upper
+    halves of the hashes, none where only equal sets are similar; and from each task (slice, counts): how often it met the words of each hash, one byte
     each, 255 for more."""
 
     def run(batches):
         cache, counts = WordHash(), np.zeros(COUNTERS, np.int64)
         for block in text_blocks(batches):
-            owner, numbers, bounds, hashes = line_sets(block.column(2).to_pylist(), cache, least)
-            words, at, n = (hashes >> U64(32)).astype(np.uint32), pa.array(owner), len(owner)
+            owner, numbers, bounds, hashes = line_sets(block.column(2).to_pylist(), cache)
+            at, n, sizes = pa.array(owner), len(owner), np.diff(bounds)
+            few = equal_only(sizes, percent)
+            words = (hashes[np.repeat(~few, sizes)] >> U64(32)).astype(np.uint32)
             counts += np.bincount(words & np.uint32(COUNTERS - 1), minlength=COUNTERS)
             bits = np.bitwise_xor.reduceat(U64(1) << (mix(hashes) & U64(63)), bounds[:-1]) if n else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays(
                 [block.column(0).take(at), block.column(1).take(at), pa.array(numbers), pa.array(set_keys(hashes, bounds)), pa.array(bits.view(np.int64)),
-                 binary_runs(words, bounds), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=LINE_COLUMNS)
+                 binary_runs(words, starts_of(np.where(few, 0, sizes))), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=LINE_COLUMNS)
         if counts.any():
             n = COUNTERS // SLICE
             none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
@@ -98,7 +105,7 @@ def word_ranks(stored: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(stored: DataFrame, ranks, percent: int) -> DataFrame:
-    """(word, key, bits, place, doc_id) of the rarest words of each line; place = n << 32 | position from 1.
+    """(word, key, bits, place, doc_id) of the rarest words of each line that has words stored; place = n << 32 | position from 1.
     Equal lines of one batch are indexed once."""
 
     def run(batches):
@@ -125,7 +132,7 @@ def prefix_rows(stored: DataFrame, ranks, percent: int) -> DataFrame:
                 [pa.array(np.concatenate(first).astype(np.uint32).view(np.int32)), pa.array(keys[once][owner]), pa.array(bits[once][owner]),
                  pa.array(sizes[owner] << 32 | pos), pa.array(docs[once][owner])], names=["word", "key", "bits", "place", "doc_id"])
 
-    return stored.where("slice IS NULL").select("key", "bits", "words", "doc_id").mapInArrow(
+    return stored.where("slice IS NULL AND length(words) > 0").select("key", "bits", "words", "doc_id").mapInArrow(
         run, "word int, key long, bits long, place long, doc_id long")
 
 
@@ -209,7 +216,7 @@ def candidates(index: DataFrame, percent: int) -> DataFrame:
     return index.repartition("word").mapInArrow(run, "a long, b long, word int, bits long, place long")
 
 
-def settled_by(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stages: Stages, doc_id: str, text: str, percent: int, least: int) -> DataFrame:
+def settled_by(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stages: Stages, doc_id: str, text: str, percent: int) -> DataFrame:
     """The later key of each pair (a, b) whose whole sets are similar. The sets are made anew from
     the texts that hold them."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
@@ -223,7 +230,7 @@ def settled_by(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stages: St
         cache = WordHash()
         for block in text_blocks(batches):
             lines = [set(x) for x in block.column(1).to_pylist()]
-            _, _, bounds, hashes = line_sets(block.column(2).to_pylist(), cache, least, lines)
+            _, _, bounds, hashes = line_sets(block.column(2).to_pylist(), cache, lines)
             yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, bounds)), binary_runs(hashes, bounds)], names=["key", "hashes"])
 
     stored = stages.save(texts.mapInArrow(sets, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
@@ -243,17 +250,17 @@ def settled_by(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stages: St
             .select(F.greatest("p_a", "p_b").getField("key").alias("later"), "h_a", "h_b").mapInArrow(compare, "key long").distinct())
 
 
-def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", percent=PERCENT, least=LEAST, stages=None) -> DataFrame:
+def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", percent=PERCENT, stages=None) -> DataFrame:
     """(row, removed array<int>): the numbers, from 0, of the lines that go, for documents that lose any.
 
     Words are what white space separates, A-Z in lower case, told apart by 64-bit hashes. Lines
-    with fewer than ``least`` distinct words stay. A line is later than another by doc_id (null
+    without words stay. A line is later than another by doc_id (null
     first), then by position. Rows that repeat both id and text are one document: they lose the
     same lines.
     """
     spark = docs.sparkSession
     stages = stages or Stages(spark, "linededup")
-    stored = stages.save(lines_of(docs, doc_id, text, least), "lines", compression="zstd")
+    stored = stages.save(lines_of(docs, doc_id, text, percent), "lines", compression="zstd")
     lines = stored.where("slice IS NULL").select("row", "doc_id", "line", "key")
     classes = stages.save(
         lines.groupBy("key").agg(F.min(F.struct("doc_id", "line", "row")).alias("p"), F.count(F.lit(1)).alias("copies"))
@@ -261,7 +268,7 @@ def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", percent=PERC
     ranks = spark.sparkContext.broadcast(word_ranks(stored))
     met = stages.save(candidates(prefix_rows(stored, ranks, percent), percent), "met")
     pairs = stages.save(met.where("b IS NOT NULL").select("a", "b").distinct(), "pairs")
-    done = lambda p: settled_by(p, classes, docs, stages, doc_id, text, percent, least)
+    done = lambda p: settled_by(p, classes, docs, stages, doc_id, text, percent)
     settled = stages.save(done(pairs), "settled")
 
     # Lines of crowded words that nothing settled yet meet every other entry of those words.
@@ -286,7 +293,7 @@ def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", percent=PERC
 def dedup_lines(docs: DataFrame, *, doc_id="doc_id", text="text", drop_emptied=True, stages=None, **options) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``; all other columns as they were.
 
-    A document that loses every line is left out if ``drop_emptied``; one whose text is null or empty
+    A document that loses every line but blank ones is left out if ``drop_emptied``; one whose text is null or empty
     from the start stays. An empty table gives no rows.
     """
     stages = stages or Stages(docs.sparkSession, "linededup")
@@ -297,5 +304,5 @@ def dedup_lines(docs: DataFrame, *, doc_id="doc_id", text="text", drop_emptied=T
     parts = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col(lost), i))
     left = joined.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(parts, "\n")))
     if drop_emptied:
-        left = left.where(F.col(lost).isNull() | (F.length(F.trim(F.col(text))) > 0))
+        left = left.where(F.col(lost).isNull() | F.col(text).rlike(r"\S"))
     return left.select(*docs.columns)

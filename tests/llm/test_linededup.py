@@ -66,3 +66,26 @@ def test_repeats_nulls_and_empty_table(spark):
     got = sorted((r.doc_id or -1, r.text) for r in linededup.dedup_lines(df).collect())
     assert got == [(-1, "x\n" + line), (5, "other")]        # the null id comes first, so every other copy goes
     assert linededup.dedup_lines(df.limit(0)).collect() == []
+
+
+def test_short_lines_small_vocabularies_and_single_words(spark):
+    rng = random.Random(3)
+    script = "一行没有空格的文字"
+    docs = [(1, "Yes.\n\nshort line\n" + script), (2, "short line\nline short\nyes."), (3, "a b c d e\n" + script),
+            (4, "a b c d e\na b c d e f"), (5, "f e d c b a g"), (6, "a b c d e x"), (7, "no yes " * 640), (8, "yes no " * 640),
+            (9, "\n \nyes.\n"), (10, "\n\n")]
+    docs += [(20 + d, "\n".join(" ".join(rng.choice("pqrstuvwxy") for _ in range(rng.randrange(1, 12))) for _ in range(6))) for d in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, least=1)
+    assert want[2] == [0, 1, 2] and want[3] == [1] and want[5] == [0] and want[6] == [] and want[8] == [0]
+    names = {r.row: r.doc_id for r in linededup.named(df, "doc_id", "text").collect()}
+    assert {names[r.row]: r.removed for r in linededup.removed_lines(df).collect()} == {k: v for k, v in want.items() if v}
+    clean = {r.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    left = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in docs}
+    assert clean == {d: t for d, t in left.items() if t.strip() or not want[d]}
+
+
+def test_query_covers_every_line_that_is_not_blank(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: r.removed for r in QUERIES["op8_line_dedup"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == brute(docs, least=1)
