@@ -4,7 +4,8 @@ Vectors within half the linking angle of a leader form a bundle: all of a bundle
 each other, so dense groups need no pair lists. NN-descent runs over the leaders: lists start
 from hyperplane-hash blocks and are refined by joining the neighbours of each node with each
 other; a list that is full of links is doubled; recall is audited against brute force on a
-sample, and too low a recall adds further start blocks. Links between bundles are then counted
+sample, and too low a recall adds further start blocks. Where that doesn't settle it, or the sample
+holds too few links to tell, all leaders are compared in blocks inside tasks. Links between bundles are then counted
 whole where distances to the leader decide them, and vector by vector where they don't.
 """
 
@@ -25,8 +26,9 @@ SLACK = 1e-7                    # angles this near a bound are decided by the co
 K = 8                           # length of a neighbour list before enlargement
 BLOCK, DEALT = 1024, 4096       # rows a hash block is meant to have; above the second it is dealt out
 TABLES = 4                      # hash tables that start the lists
-ROUNDS, PASSES = 8, 3           # at most: descent rounds in a pass; passes with fresh tables
-AUDIT, RECALL = 256, 0.98       # leaders of the audit sample; recall below which a pass is added
+ROUNDS, PASSES = 8, 3           # descent rounds in a pass, passes with fresh tables; what they leave open is compared whole
+AUDIT, RECALL = (256, 4096), 0.98       # leaders of the audit sample, the second if the first shows too few edges; recall asked for
+SHOWN = 100                     # true edges from which a sample tells the recall
 
 
 def unit_rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -165,11 +167,9 @@ def joined_neighbours(graph: DataFrame, leaders: DataFrame, quota: DataFrame) ->
     return lists.select("b", "u", "r", "worst").mapInArrow(run, "a long, b long, gap double")
 
 
-def audit(leaders: DataFrame, edges: DataFrame, sample=AUDIT) -> float:
-    """Share of the true bundle edges of a bounded sample of leaders that ``edges`` has; 1.0 if there are none."""
+def audit(leaders: DataFrame, edges: DataFrame, sample: int):
+    """(found, true): the bundle edges of a bounded sample of leaders that ``edges`` has, and those there are."""
     drawn = leaders.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "u", "r").toPandas()
-    if drawn.empty:
-        return 1.0
     groups = {size: (rows["node"].to_numpy(), matrix(rows["u"]), rows["r"].to_numpy()) for size, rows in drawn.groupby(drawn["u"].str.len())}
 
     def run(parts):
@@ -178,14 +178,61 @@ def audit(leaders: DataFrame, edges: DataFrame, sample=AUDIT) -> float:
             for size, rows in frame.groupby(frame["u"].str.len()):
                 if size in groups:
                     node, u, r = groups[size]
-                    near = angle(matrix(rows["u"]) @ u.T) - rows["r"].to_numpy()[:, None] - r <= THETA
-                    count += int((near & (rows["node"].to_numpy()[:, None] != node)).sum())
+                    i, j, _ = gaps_within(matrix(rows["u"]), rows["r"].to_numpy(), u, r, THETA)
+                    count += int((rows["node"].to_numpy()[i] != node[j]).sum())
             yield pd.DataFrame({"n": [count]})
 
     true = leaders.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    if not true:
+        return 0, 0
     ids = F.broadcast(edges.sparkSession.createDataFrame(drawn[["node"]].rename(columns={"node": "a"})))
-    found = edges.where(F.col("gap") <= THETA).join(ids, "a", "left_semi").count()
-    return found / true if true else 1.0
+    return edges.where(F.col("gap") <= THETA).join(ids, "a", "left_semi").count(), true
+
+
+def recall_of(leaders: DataFrame, edges: DataFrame):
+    """Share of the true edges that ``edges`` has; None if no sample shows enough of them to tell."""
+    total = leaders.count()
+    for sample in AUDIT:
+        found, true = audit(leaders, edges, sample)
+        if true >= SHOWN or sample >= total:
+            return found / true if true else 1.0
+    return None
+
+
+def gaps_within(u, r, v, s, bound):
+    """(i, j, gap) of the rows of u and v whose gap is at most ``bound``, a few rows of u at a time."""
+    least = np.cos(min(np.pi, bound + r.max(initial=0) + s.max(initial=0))) - 1e-9      # spares most angles
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for a in range(0, len(u), 512):
+        c = u[a:a + 512] @ v.T
+        i, j = np.nonzero(c >= least)
+        gap = angle(c[i, j]) - r[a + i] - s[j]
+        ok = gap <= bound
+        out.append((a + i[ok], j[ok], gap[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def whole_edges(leaders: DataFrame) -> DataFrame:
+    """(a, b, gap) both ways: every pair of leaders whose bundles may hold linked vectors. Each two
+    blocks of leaders meet in one group."""
+    count = max(1, -(-leaders.count() // (2 * BLOCK)))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, rows in frame.groupby(frame["u"].str.len()):
+            x, y = rows[rows["home"] == rows["lo"]], rows[rows["home"] == rows["hi"]]
+            if len(x) and len(y):
+                i, j, gap = gaps_within(matrix(x["u"]), x["r"].to_numpy(), matrix(y["u"]), y["r"].to_numpy(), THETA + SLACK)
+                a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
+                parts.append(pd.DataFrame({"a": a, "b": b, "gap": gap})[a < b])
+                parts.append(pd.DataFrame({"a": b, "b": a, "gap": gap})[a > b])
+        return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "gap": []})
+
+    home = F.pmod(F.xxhash64("node", F.lit(77)), F.lit(count)).cast("int")
+    dealt = (leaders.select("node", "u", "r", home.alias("home"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+             .select("node", "u", "r", "home", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi")))
+    return both_ways(dealt.groupBy("lo", "hi").applyInPandas(meet, "a long, b long, gap double").distinct())
 
 
 def bundle_edges(leaders: DataFrame, stages: Stages) -> DataFrame:
@@ -215,12 +262,16 @@ def bundle_edges(leaders: DataFrame, stages: Stages) -> DataFrame:
             quota = grown
             graph = stages.save(shortest(graph.unionByName(fresh).unionByName(edges), quota), "graph")
             now = edges.count()
-            if now == count and not saturated:
+            settled = now == count and not saturated
+            if settled:
                 break
             count = now
-        if audit(leaders, edges) >= RECALL:
+        recall = recall_of(leaders, edges)
+        if recall is None:
             break
-    return edges
+        if settled and recall >= RECALL:
+            return edges
+    return stages.save(whole_edges(leaders), "edges")
 
 
 def near_links(vectors: DataFrame, *, vec_id="vec_id", embedding="embedding", stages=None) -> DataFrame:

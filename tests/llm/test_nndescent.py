@@ -75,3 +75,14 @@ def test_recall_over_planted_copies(spark):
 def test_query_whole_table(spark, folder):
     got = QUERIES["op2_nndescent_neardup"](spark, folder).collect()
     assert len(got) == 500 and all(r.n_links == 0 and r.kept for r in got)
+
+
+def test_what_the_graph_search_misses_is_compared_whole(spark, monkeypatch):
+    for name, value in {"PASSES": 1, "ROUNDS": 1, "TABLES": 1, "K": 1, "BLOCK": 32, "AUDIT": (8, 16)}.items():
+        monkeypatch.setattr(nndescent, name, value)
+    rng = np.random.default_rng(5)
+    flat = rng.normal(0, 1, (40, 12))
+    turned = [(100 + i, (v + rng.normal(0, 0.2, 12)).tolist()) for i, v in enumerate(flat)]      # few links, mostly outside bundles
+    rows = [(i, v.tolist()) for i, v in enumerate(flat)] + turned
+    assert sum(n for n, _ in brute(rows).values()) >= 40
+    check(spark, rows)
