@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from itemweld.llm import langid, linededup, mtree, neardup, nndescent, packing, quality, sampling, toxicity, warc
+from itemweld.llm import (hardneg, langid, linededup, mtree, neardup, nndescent, packing, phrases, quality, sampling, secrets,
+                          toxicity, warc)
 from itemweld.llm.common import labelled_sample, table
 from itemweld.sources.staging import Stages
 
@@ -115,3 +116,65 @@ def op3_sampled_pieces(spark, folder):
     stored = Stages(spark, "pieces").save(made.select("key", F.sha1(F.encode("text", "utf-8")).alias("mark"), "pieces"), "pieces", compression="zstd")
     mark = F.sha1(F.encode(sampling.decoded("pieces"), "utf-8"))
     return stored.select(F.col("key").alias("doc_id"), F.size("pieces").alias("n_pieces"), "pieces", mark.eqNullSafe(F.col("mark")).alias("lossless"))
+
+
+@query
+def op11_phrase_collocations(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+# Every phrase unfolded to a row: fit for small tables only.
+SQL["op11_phrase_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+     p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+     w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+     size AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+     m AS (SELECT unnest(range(1, 6)) AS m),
+     f AS (SELECT lang, m, phrase, CAST(count(*) AS BIGINT) AS a
+           FROM (SELECT lang, m, unnest(list_transform(range(1, CAST(len(words) AS BIGINT) - m + 2), lambda i: array_to_string(words[i:i + m - 1], ' '))) AS phrase
+                 FROM w, m WHERE len(words) >= m)
+           GROUP BY lang, m, phrase HAVING count(*) >= 100),
+     k AS (SELECT f.*, string_split(phrase, ' ') AS words, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+     c AS (SELECT k.lang, k.phrase, k.m, k.k, k.a, x.a AS l, y.a AS r, size.n,
+                  CAST((1000::HUGEINT * k.a * size.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+           FROM k JOIN size ON size.lang = k.lang
+           JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(words[1:k], ' ')
+           JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(words[k + 1:], ' ')),
+     best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+     inside AS (SELECT DISTINCT lang, array_to_string(words[1:m - 1], ' ') AS phrase, a FROM (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE m > 2)
+                UNION SELECT lang, array_to_string(words[2:], ' '), a FROM (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE m > 2))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, CAST(k AS INTEGER) AS cut
+FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND i.a >= b.a)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+@query
+def op12_bond_hard_negatives(spark, folder):
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", shifted))
+
+
+# Every anchor against every vector: fit for small tables only.
+SQL["op12_bond_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, CAST(list_dot_product(a.x, c.x) AS BIGINT) AS score
+           FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+     p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+           QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+     n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+           FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own
+            AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query
+def op13_guess_cost_secrets(spark, folder):
+    return secrets.summary(secrets.find(table(spark, folder, "documents")))
