@@ -2,10 +2,9 @@
 
 States are minimal: two states with the same way on are one. Every state knows how many sequences
 start there, so walking a sequence adds up its number in sorted order, and the counts are a plain
-array by that number. Labels are numbers of a sorted word list.
+array by that number. Labels are numbers of a word list.
 """
 
-import heapq
 import pickle
 import zlib
 from bisect import bisect_right
@@ -14,7 +13,7 @@ import numpy as np
 
 
 class Automaton:
-    """words: sorted list of bytes; begin, labels, targets: the arcs of state s lie at
+    """words: list of bytes; begin, labels, targets: the arcs of state s lie at
     begin[s]:begin[s + 1]; final: whether a sequence ends there; number: how many start there."""
 
     __slots__ = ("words", "begin", "labels", "targets", "final", "number", "root", "weights")
@@ -111,30 +110,28 @@ class Builder:
 
 
 def from_items(items) -> Automaton:
-    """From sorted (sequence of words, count). Labels are given in order of appearance first and
-    renamed to the sorted word list at the end, which keeps equal states equal."""
+    """From sorted (sequence of words, count)."""
     ids, builder = {}, Builder()
     for sequence, weight in items:
         builder.add(tuple([ids.setdefault(w, len(ids)) for w in sequence]), weight)
-    made = builder.done(sorted(ids))
-    place = {w: i for i, w in enumerate(made.words)}
-    rename = [place[w] for w in ids]
-    made.labels = [rename[x] for x in made.labels]
-    return made
+    return builder.done(list(ids))
+
+
+def from_rows(rows, counts, words) -> Automaton:
+    """The same from sorted rows of labels, each filled up with -1, and the words the labels stand for."""
+    ids, builder = {}, Builder()
+    for row, weight in zip(rows, counts):
+        builder.add(tuple([ids.setdefault(x, len(ids)) for x in row if x >= 0]), weight)
+    return builder.done([words[x] for x in ids])
 
 
 def union(automata, least=1):
     """Sorted (sequence, sum of counts) of several automata, sums below ``least`` left out."""
-    now, total = None, 0
-    for sequence, weight in heapq.merge(*[a.items() for a in automata]):
-        if sequence == now:
-            total += weight
-            continue
-        if now is not None and total >= least:
-            yield now, total
-        now, total = sequence, weight
-    if now is not None and total >= least:
-        yield now, total
+    total = {}
+    for a in automata:
+        for sequence, weight in a.items():
+            total[sequence] = total.get(sequence, 0) + weight
+    return sorted(item for item in total.items() if item[1] >= least)
 
 
 def composed(asked: Automaton, counted: Automaton):

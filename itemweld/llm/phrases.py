@@ -4,13 +4,15 @@
 2. Every shard names its distinct words and word pairs by a 64-bit hash with their counts. Sums of
    counts per hash tell each shard which of its own words and pairs may occur often enough; a phrase
    can't be frequent unless all its pairs are. Equal hashes of different pairs only let more pass.
-3. Every shard builds an automaton of its sorted phrases of one to five words that passed. Automata are
-   cut at prefix ranges and united, with counts summed, group by group; ranges get finer as
-   automata get larger. What is below the least count leaves after the last union.
+3. Every shard builds automata of its sorted phrases of one to five words that passed, cut at prefix ranges.
+   Those of a range are united, with counts summed, group by group; ranges get finer as automata
+   get larger. What is below the least count leaves after the last union.
 4. Every candidate asks for the counts of its parts: the questions of a range are an automaton too and
    are composed with the range's counts.
 """
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,14 +21,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from itemweld.llm import automata
 from itemweld.llm.automata import Automaton
-from itemweld.llm.common import U64, WordHash, mix
+from itemweld.llm.common import U64, WordHash, binary_runs, mix
 from itemweld.sources.staging import Stages
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SHARD = 3_000_000          # words of a shard, about
 AT_ONCE = 1 << 20          # bytes tokenised at once
 KEYS_PER_TASK = 2_000_000  # hashed words and pairs a task sums
-PER_RANGE = 250_000        # phrases of a prefix range, about
+PACKED = 1_000_000         # hashes a task holds before it hands them on
+PER_RANGE = 10_000_000     # words of the corpus for each prefix range
 FAN, CUTS = 64, 16         # automata united at once; a range is cut into so many finer ones
 ASKED = 400_000            # questions composed in one task
 PAIR = U64(0x9E3779B97F4A7C15)
@@ -78,7 +81,7 @@ class Shard:
         return flat[keep].astype("<i4").tobytes(), b" ".join(self.ids), self.n
 
 
-SHARD_SCHEMA = pa.schema([("shard", pa.string()), ("lang", pa.string()), ("ids", pa.binary()), ("words", pa.binary()), ("n", pa.int64())])
+SHARD_SCHEMA = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("words", pa.binary()), ("n", pa.int64())])
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -91,7 +94,7 @@ def shards(docs: DataFrame) -> DataFrame:
             nonlocal made
             ids, words, n = open_.pop(lang).row()
             made += 1
-            return pa.RecordBatch.from_pylist([{"shard": f"{task}/{made}", "lang": lang, "ids": ids, "words": words, "n": n}], SHARD_SCHEMA)
+            return pa.RecordBatch.from_pylist([{"shard": (task << 32) + made, "lang": lang, "ids": ids, "words": words, "n": n}], SHARD_SCHEMA)
 
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
@@ -104,7 +107,7 @@ def shards(docs: DataFrame) -> DataFrame:
             yield close(lang)
 
     return (docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-            .mapInArrow(run, "shard string, lang string, ids binary, words binary, n long"))
+            .mapInArrow(run, "shard long, lang string, ids binary, words binary, n long"))
 
 
 def opened(row):
@@ -121,14 +124,14 @@ def pair_hashes(ids, hashed):
 
 
 def rows_of(batch):
-    """The rows of a batch one by one; lists of numbers stay arrays."""
+    """The rows of a batch one by one."""
     for i in range(batch.num_rows):
-        yield {name: c[i].values.to_numpy() if pa.types.is_list(c.type) else c[i].as_py() for name, c in zip(batch.schema.names, batch.columns)}
+        yield {name: c[i].as_py() for name, c in zip(batch.schema.names, batch.columns)}
 
 
 def hashed_counts(stored: DataFrame) -> DataFrame:
     """(h, n, shard) of the distinct words and pairs of each shard."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("shard", pa.string())])
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("shard", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -140,48 +143,58 @@ def hashed_counts(stored: DataFrame) -> DataFrame:
                     for a in range(0, len(h), 200_000):
                         part = h[a:a + 200_000].view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[a:a + 200_000].astype(np.int32)),
-                                                          pa.array([row["shard"]]).take(pa.array(np.zeros(len(part), np.int32)))], schema=schema)
+                                                          pa.array(np.full(len(part), row["shard"]))], schema=schema)
 
-    return stored.select("shard", "lang", "ids", "words").mapInArrow(run, "h long, n int, shard string")
+    return stored.select("shard", "lang", "ids", "words").mapInArrow(run, "h long, n int, shard long")
 
 
 def frequent(sorted_counts: DataFrame, least: int) -> DataFrame:
-    """(shard, h) of the hashes whose counts reach ``least`` in all; the input is sorted by h within
-    partitions that hold each h whole. Only rows of a hash that hasn't reached it yet are held."""
-    schema = pa.schema([("shard", pa.string()), ("h", pa.int64())])
+    """(shard, h as binary) of the hashes whose counts reach ``least`` in all, packed by shard; the input is sorted by
+    h within partitions that hold each h whole. Only rows of a hash that hasn't reached it yet are held."""
 
     def run(batches):
-        left = None         # (h, sum, batches) of the last hash of the batch before
+        left, kept, size = None, [], 0         # left: (h, sum, shards) of the last hash of the batch before
+
+        def packed():
+            shard, h = (np.concatenate(x) for x in zip(*kept))
+            order = np.argsort(shard, kind="stable")
+            shard, h = shard[order], h[order]
+            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(shard[cuts]), binary_runs(h, np.r_[cuts, len(h)])], names=["shard", "h"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            h, n, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy()
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             sums = np.add.reduceat(n, starts)
+            held = []
             if left and left[0] == h[0]:
                 sums[0] += left[1]
-                if sums[0] >= least:
-                    for shard in left[2]:
-                        yield pa.RecordBatch.from_arrays([shard, pa.array(np.full(len(shard), h[0]))], schema=schema)
-                    left = (h[0], 0, [])
-            elif left:
-                left = None
+                held = left[2]
+                if sums[0] >= least and held:
+                    before = np.concatenate(held)
+                    kept.append((before, np.full(len(before), h[0])))
+                    held = []
             good = np.repeat(sums >= least, np.diff(np.r_[starts, len(h)]))
-            at = pa.array(np.flatnonzero(good))
-            if len(at):
-                yield pa.RecordBatch.from_arrays([batch.column(2).take(at), batch.column(0).take(at)], schema=schema)
-            held = left[2] if left and len(starts) == 1 else []
-            tail = [] if sums[-1] >= least else [*held, batch.column(2).slice(int(starts[-1]))]
+            kept.append((shard[good], h[good]))
+            size += int(good.sum())
+            tail = [] if sums[-1] >= least else [*(held if len(starts) == 1 else []), shard[starts[-1]:]]
             left = (h[-1], int(sums[-1]), tail)
+            if size > PACKED:
+                yield packed()
+                kept, size = [], 0
+        if size:
+            yield packed()
 
-    return sorted_counts.select("h", "n", "shard").mapInArrow(run, "shard string, h long")
+    return sorted_counts.select("h", "n", "shard").mapInArrow(run, "shard long, h binary")
 
 
 def shard_phrases(row, longest):
-    """Sorted (phrase with the language first, count) of a shard: its words and the phrases of
-    which all words and pairs passed."""
+    """The words of a shard that passed, the phrases of which all words and pairs passed, as sorted rows
+    of word numbers filled up with -1, and their counts."""
     ids, words, hashed = opened(row)
-    passed = np.sort(row["h"].view(U64))
+    passed = np.sort(np.frombuffer(b"".join(row["h"]), "<i8").view(U64))
 
     def known(h):
         at = np.minimum(np.searchsorted(passed, h), max(len(passed) - 1, 0))
@@ -211,9 +224,7 @@ def shard_phrases(row, longest):
         at, number = at[on], number[on] * width + r[at[on] + m]
     every, n = np.concatenate(parts), np.concatenate(counts)
     order = np.lexsort(every.T[::-1])
-    names, lang = [words[k] for k in kept], row["lang"].encode()
-    for line, count in zip(every[order].tolist(), n[order].tolist()):
-        yield (lang, *[names[x] for x in line if x >= 0]), count
+    return [words[k] for k in kept], every[order], n[order]
 
 
 FRAGMENT = "slot long, place long, n long, automaton binary"
@@ -253,31 +264,35 @@ def counted(docs: DataFrame, stages: Stages, least: int, longest: int):
     lists = passed.groupBy("shard").agg(F.collect_list("h").alias("h"))      # at most the shard's own distinct words and pairs
     met = stored.join(lists.hint("merge"), "shard")
 
-    def build(batches):
-        for batch in batches:
-            for row in rows_of(batch):
-                yield batch_of(fragments(shard_phrases(row, longest), [], 0))
-
-    whole = stages.save(met.select("lang", "ids", "words", "h").mapInArrow(build, FRAGMENT), "built", compression="zstd")
-    total, count = whole.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     depth = 1
-    while CUTS ** depth * PER_RANGE < total:
+    while CUTS ** depth * PER_RANGE < words:
         depth += 1
-    bounds = sampled_bounds(whole, CUTS ** depth)
+    bounds = sampled_bounds(stored, CUTS ** depth)
 
     def cut(level):      # nested: a coarser level keeps every CUTS-th bound
         step = CUTS ** (depth - level)
         return bounds[step - 1::step]
 
-    level, slots = 1, -(-max(count, 1) // FAN)
     first = cut(1)
 
-    def spread(batches):
+    def build(batches):
         for batch in batches:
             for row in rows_of(batch):
-                yield batch_of(fragments(Automaton.load(row["automaton"]).items(), first, 0))
-
-    parts = whole.mapInArrow(spread, FRAGMENT)
+                names, rows, n = shard_phrases(row, longest)
+                lang = row["lang"].encode()
+                label = names.index(lang) if lang in names else len(names)
+                own = [b[1:] if b[0] == lang else () if b[0] > lang else None for b in first]      # () : the language lies before the bound
+                edges = [len(n) if b == () else 0 if b is None else bisect_left(range(len(n)), b, key=lambda i: tuple([names[x] for x in rows[i] if x >= 0]))
+                         for b in own]
+                for place, (a, b) in enumerate(zip([0, *edges], [*edges, len(n)])):
+                    if b > a:
+                        part = np.pad(rows[a:b], ((0, 0), (1, 0)), constant_values=label)
+                        made = automata.from_rows(part.tolist(), n[a:b].tolist(), [*names, lang])
+                        yield batch_of([(0, place, b - a, made.dump())])
+
+    parts = stages.save(met.select("lang", "ids", "words", "h").mapInArrow(build, FRAGMENT), "built", compression="zstd")
+    count = stored.count()
+    level, slots = 1, -(-max(count, 1) // FAN)
     while True:
         last = slots == 1 and level >= depth
         finer = cut(min(level + 1, depth))
@@ -290,19 +305,24 @@ def counted(docs: DataFrame, stages: Stages, least: int, longest: int):
         level, slots = level + 1, -(-slots // FAN)
 
 
-def sampled_bounds(whole: DataFrame, ranges: int) -> list:
-    """Bounds of the prefix ranges from a bounded sample of phrases (results don't depend on them)."""
+def sampled_bounds(stored: DataFrame, ranges: int) -> list:
+    """Bounds of the prefix ranges from a bounded sample of the shards' positions (results don't depend on them)."""
 
     def run(batches):
         for batch in batches:
             for row in rows_of(batch):
-                step = max(1, row["n"] // 256)
-                for i, (sequence, _) in enumerate(Automaton.load(row["automaton"]).items()):
-                    if i % step == step // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array([b" ".join(sequence)], pa.binary())], names=["phrase"])
-
-    sample = whole.mapInArrow(run, "phrase binary").orderBy(F.xxhash64("phrase", F.lit(11))).limit(ranges * 32)
-    keys = sorted({tuple(r.phrase.split(b" ")) for r in sample.collect()})
+                ids, words = np.frombuffer(row["ids"], "<i4"), row["words"].split(b" ")
+                at = np.flatnonzero(ids != 0)
+                at = at[len(at) // 512::max(1, len(at) // 256)]
+                made = []
+                for i in at.tolist():
+                    window = ids[i:i + 3].tolist()
+                    made.append(b" ".join(words[x] for x in (window[:window.index(0)] if 0 in window else window)))
+                langs = pa.array([row["lang"]] * len(made), pa.string())
+                yield pa.RecordBatch.from_arrays([langs, pa.array(made, pa.binary())], names=["lang", "phrase"])
+
+    sample = stored.select("lang", "ids", "words").mapInArrow(run, "lang string, phrase binary").orderBy(F.xxhash64("lang", "phrase", F.lit(11))).limit(ranges * 32)
+    keys = sorted({(r.lang.encode(), *bytes(r.phrase).split(b" ")) for r in sample.collect()})
     return [keys[i * len(keys) // ranges] for i in range(1, ranges)] if len(keys) >= ranges else keys
 
 
