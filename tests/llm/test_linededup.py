@@ -4,13 +4,13 @@ from itemweld.llm import linededup
 from itemweld.llm.queries import QUERIES
 
 
-def brute(docs, percent=85, least=8):
+def brute(docs, percent=85):
     """(id, text) -> id -> numbers of the lines that have an earlier similar one: every pair compared."""
     lines = []
     for d, t in sorted(docs, key=lambda r: r[0]):
         for i, line in enumerate((t or "").split("\n")):
             words = frozenset(line.encode().lower().split())
-            if len(words) >= least:
+            if words:
                 lines.append((d, i, words))
     gone = {d: [] for d, _ in docs}
     seen, by_word = [], {}
@@ -76,7 +76,7 @@ def test_short_lines_small_vocabularies_and_single_words(spark):
             (9, "\n \nyes.\n"), (10, "\n\n")]
     docs += [(20 + d, "\n".join(" ".join(rng.choice("pqrstuvwxy") for _ in range(rng.randrange(1, 12))) for _ in range(6))) for d in range(120)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    want = brute(docs, least=1)
+    want = brute(docs)
     assert want[2] == [0, 1, 2] and want[3] == [1] and want[5] == [0] and want[6] == [] and want[8] == [0]
     names = {r.row: r.doc_id for r in linededup.named(df, "doc_id", "text").collect()}
     assert {names[r.row]: r.removed for r in linededup.removed_lines(df).collect()} == {k: v for k, v in want.items() if v}
@@ -88,4 +88,4 @@ def test_short_lines_small_vocabularies_and_single_words(spark):
 def test_query_covers_every_line_that_is_not_blank(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: r.removed for r in QUERIES["op8_line_dedup"](spark, "/root/testdata/sf0.001").collect()}
-    assert got == brute(docs, least=1)
+    assert got == brute(docs)
