@@ -1,17 +1,10 @@
 """Review state: latest action per group, reconciliation with match groups."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from itemweld.schema import HANDLED_STATUSES, REVIEW_STATUSES
-
-
-def latest(log: DataFrame, key: str, order, columns) -> DataFrame:
-    """Latest row per key by ``order``. An aggregate, not a window: it combines
-    map-side, so a key with most of the log costs no task more than its share."""
-    order = [order] if isinstance(order, str) else list(order)
-    rest = [c for c in columns if c not in [key] + order]
-    return (log.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("r"))
-            .select(key, *[F.col(f"r.{c}").alias(c) for c in columns if c != key]))
+from itemweld.streaming.kept_state import KeptState
 
 
 def valid_reviews(log: DataFrame) -> DataFrame:
@@ -26,8 +19,10 @@ REVIEW_COLUMNS = ["group_id", "updated_at", "seq", "status", "reviewer", "notes"
 ASSIGNMENT_COLUMNS = ["group_id", "assigned_at", "seq", "enterprise_part_number", "assigned_by", "notes"]
 
 
-def review_state(log: DataFrame) -> DataFrame:
-    return latest(valid_reviews(log), "group_id", ["updated_at", "seq"], REVIEW_COLUMNS)
+def review_state(spark: SparkSession, folder: str, schema: StructType, buckets=64) -> KeptState:
+    """The latest valid action per group, and the rejected ones, of a review log."""
+    return KeptState(spark, folder, schema, "group_id", ["updated_at", "seq"], REVIEW_COLUMNS,
+                     accept=valid_reviews, rejected=rejected_reviews, buckets=buckets)
 
 
 def valid_assignments(log: DataFrame) -> DataFrame:
@@ -35,8 +30,14 @@ def valid_assignments(log: DataFrame) -> DataFrame:
     return trimmed.where(F.col("enterprise_part_number") != "")
 
 
-def assignment_state(log: DataFrame) -> DataFrame:
-    return latest(valid_assignments(log), "group_id", ["assigned_at", "seq"], ASSIGNMENT_COLUMNS)
+def blank_assignments(log: DataFrame) -> DataFrame:
+    return log.where(F.coalesce(F.trim("enterprise_part_number"), F.lit("")) == "")
+
+
+def assignment_state(spark: SparkSession, folder: str, schema: StructType, buckets=64) -> KeptState:
+    """The latest number per group, and the blank ones, of an assignment log."""
+    return KeptState(spark, folder, schema, "group_id", ["assigned_at", "seq"], ASSIGNMENT_COLUMNS,
+                     accept=valid_assignments, rejected=blank_assignments, buckets=buckets)
 
 
 def normalized_parts(assignments: DataFrame, groups: DataFrame) -> DataFrame:

@@ -227,8 +227,9 @@ BODIES = {
         CASE WHEN n BETWEEN 7 AND 12 THEN p_size / 25.4::DOUBLE * 25.4::DOUBLE ELSE p_size::DOUBLE END AS length,
         CASE WHEN n <= 6 OR n BETWEEN 13 AND 18 THEN p_retailprice WHEN n <= 12 THEN p_retailprice / 1000::DOUBLE * 1000::DOUBLE END AS weight,
         NULL::DOUBLE AS width FROM (SELECT *, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER) AS n FROM part)""",
-    "incremental_features": """SELECT part_id, 2 AS version, part_category, material, z_weight, z_length, z_width,
-        z_thickness, z_hole_count FROM vectors WHERE NOT suffix(part_id, '-N')""",
+    "incremental_features": "SELECT part_id, CAST(CASE WHEN " + " AND ".join(f"z_{f} = 0" for f in FEATURES if f in _NAMED)
+        + " THEN 1 ELSE 2 END AS BIGINT) AS version, part_category, material, " + ", ".join(
+        f"z_{f}" if f in _NAMED else f"0.0::DOUBLE AS z_{f}" for f in FEATURES) + " FROM vectors WHERE NOT suffix(part_id, '-N')",
     "gen_range_suppliers": """SELECT 'S' || CASE WHEN s_suppkey < 1000 THEN lpad(CAST(s_suppkey AS VARCHAR), 3, '0')
         ELSE CAST(s_suppkey AS VARCHAR) END AS supplier_id, 'Supplier ' || s_suppkey AS supplier_name,
         ['North', 'South', 'East', 'West', 'Central'][s_suppkey % 5 + 1] AS region FROM supplier""",

@@ -1,14 +1,15 @@
 """The batch jobs on stored tables, for an external scheduler.
 
-Nightly order: `sync_reviews`, `match`, `evaluate`, `sync_facts`. Facts and review
-state are separate systems of record: `match` never writes review tables and the
-review jobs never write match facts.
+Nightly order: `fold_reviews` where actions come as logs, `sync_reviews`, `match`, `evaluate`, `sync_facts`,
+`sync_features`. Facts and review state are separate systems of record: `match` never writes
+review tables and the review jobs never write match facts.
 """
 
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from itemweld import session
 from itemweld.operators import crowds as K, economics as E, evaluation as EV, review as R
@@ -17,6 +18,7 @@ from itemweld.schema import FEATURES, MATCH_DISTANCE, TABLES
 from itemweld.sources import generator as G
 from itemweld.sources.staging import Stages
 from itemweld.sources.tables import read_table, write_table
+from itemweld.streaming import feature_sync
 
 
 @dataclass
@@ -92,8 +94,10 @@ def sync_facts(store: Store, serving_store: Store, currency=None) -> None:
     serving_store.write(groups, "match_groups")
     try:
         reviews = store.read("review_dispositions")
-    except AnalysisException:       # no review was ever synced
-        reviews = store.spark.createDataFrame([], TABLES["review_dispositions"])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        reviews = store.spark.createDataFrame([], TABLES["review_dispositions"])       # no review was ever synced
     serving_store.write(R.suppress_reviewed(groups, reviews), "open_match_groups")
     serving_store.write(serving.serve_members(members, parts, offers), "match_group_members")
     serving_store.write(serving.serve_supplier_offers(offers, store.read("suppliers"), members), "supplier_offers")
@@ -110,6 +114,38 @@ def sync_reviews(serving_store: Store, store: Store) -> None:
         store.write(numbered.where("normalized_part_id IS NOT NULL").select("part_id", "normalized_part_id"), "part_numbers")
 
 
+def fold_reviews(serving_store: Store, buckets=64) -> dict:
+    """Work off what was appended to the folders ``review_log`` and ``assignment_log`` since the last run:
+    ``review_dispositions`` and ``normalized_assignments`` become the latest valid rows, the ``_rejects`` tables what broke
+    the rules. The states stay beside the tables, so a restart replays nothing. Returns what each run read."""
+    spark, did = session.tune(serving_store.spark), {}
+    for log, table, made, order in (("review_log", "review_dispositions", R.review_state, "updated_at"),
+                                    ("assignment_log", "normalized_assignments", R.assignment_state, "assigned_at")):
+        schema = StructType([*TABLES[table].fields, StructField("seq", LongType())])
+        state = made(spark, f"{serving_store.root.rstrip('/')}/{log}_state", schema, buckets)
+        did[log] = state.sync(f"{serving_store.root.rstrip('/')}/{log}")
+        serving_store.write(state.read().select(*TABLES[table].names), table, table)
+        serving_store.write(state.read_rejects(), f"{log}_rejects")
+    return did
+
+
+def sync_features(store: Store, serving_store: Store, buckets=64, forget=None):
+    """Bring the served vectors in step with ``part_features``: only parts that changed go through the feed, only
+    their buckets are rewritten. With ``forget`` tombstones of versions up to it are dropped. Returns what the run read."""
+    root = serving_store.root.rstrip("/")
+    state = feature_sync.served(session.tune(store.spark), f"{root}/served_features", buckets)
+    feature_sync.publish(store.read("part_features"), f"{root}/feature_feed", state)
+    did = state.sync(f"{root}/feature_feed")
+    if forget is not None:
+        state.compact(f"op = 'delete' AND version <= {int(forget)}")
+    return did
+
+
+def served_features(serving_store: Store, buckets=64) -> DataFrame:
+    """The vectors as the last ``sync_features`` left them."""
+    return feature_sync.live(feature_sync.served(serving_store.spark, f"{serving_store.root.rstrip('/')}/served_features", buckets))
+
+
 def numbered_parts(store: Store) -> DataFrame:
     """The parts with the normalised ids of the last ``sync_reviews``."""
     numbers = store.read("part_numbers")

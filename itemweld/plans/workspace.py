@@ -14,9 +14,9 @@ from itemweld.plans import matching, serving
 from itemweld.schema import MATCH_DISTANCE
 from itemweld.sources import orders_catalog as OC
 from itemweld.sources.staging import Stages
-from itemweld.streaming import latest_state
 
 WIDE_DISTANCE = 0.3     # listing radius for calibration and review bands
+STATE_BUCKETS = 8       # of the review states of a workspace
 
 
 class Workspace:
@@ -143,23 +143,28 @@ class Workspace:
     # review state, folded from the logs by streams
     @cached_property
     def review_log(self):
-        return self._save(OC.review_log(self.src, self.members).repartition("seq"), "review_log")
+        return self._save(OC.review_log(self.src, self.members), "review_log")
 
     @cached_property
     def assignment_log(self):
-        return self._save(OC.assignment_log(self.review_log).repartition("seq"), "assignment_log")
+        return self._save(OC.assignment_log(self.review_log), "assignment_log")
+
+    def _kept(self, made, log):
+        made.sync(self.stages.location(log))
+        return made
+
+    @cached_property
+    def review_state(self):
+        return self._kept(R.review_state(self.spark, self.stages.path("reviews"), self.review_log.schema, STATE_BUCKETS), self.review_log)
 
     @cached_property
     def reviews(self):
-        return latest_state.fold_log(
-            self.review_log, self.stages, "review", R.valid_reviews,
-            "group_id", ["updated_at", "seq"], R.REVIEW_COLUMNS)
+        return self.review_state.read()
 
     @cached_property
     def assignments(self):
-        return latest_state.fold_log(
-            self.assignment_log, self.stages, "assignment", R.valid_assignments,
-            "group_id", ["assigned_at", "seq"], R.ASSIGNMENT_COLUMNS)
+        return self._kept(R.assignment_state(self.spark, self.stages.path("assignments"), self.assignment_log.schema, STATE_BUCKETS),
+                          self.assignment_log).read()
 
     @cached_property
     def normalized(self):

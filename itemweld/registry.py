@@ -10,7 +10,7 @@ from itemweld.functions.vectors import similarity
 from itemweld.operators import economics as E, evaluation as EV, neighbors as N, quality as Q, review as R
 from itemweld.operators.ranking import with_percent_rank
 from itemweld.plans import matching, reports, serving
-from itemweld.plans.workspace import WIDE_DISTANCE, workspace
+from itemweld.plans.workspace import STATE_BUCKETS, WIDE_DISTANCE, workspace
 from itemweld.schema import ATTRIBUTES, FEATURES
 from itemweld.sources import generator as G, ingest
 from itemweld.streaming import feature_sync
@@ -61,13 +61,16 @@ def ingest_catalogs(ws):
 
 @query
 def incremental_features(ws):
-    retired = ws.truth.where("relationship = 'near_miss'").select(F.col("variant_part_id").alias("part_id"))
-    feed = ws.stages.save(
-        feature_sync.change_feed(ws.vectors, retired).repartition(6, "part_id", "version"), "feed")
-    live = feature_sync.sync(feed, ws.stages)
-    return live.select("part_id", "version", "part_category", "material",
-                       *[F.get("feature_vector", F.lit(FEATURES.index(f))).alias(f"z_{f}")
-                         for f in ("weight", "length", "width", "thickness", "hole_count")])
+    """Three nights: vectors not filled in yet, the filled ones, then without the near misses; the last two runs
+    read only what was appended since the run before."""
+    state, feed = feature_sync.served(ws.spark, ws.stages.path("served"), STATE_BUCKETS), ws.stages.path("feed")
+    near_misses = ws.truth.where("relationship = 'near_miss'").select(F.col("variant_part_id").alias("part_id"))
+    empty = ws.vectors.withColumn("feature_vector", F.transform("feature_vector", lambda x: F.lit(0.0)))
+    for night in (empty, ws.vectors, ws.vectors.join(near_misses, "part_id", "left_anti")):
+        feature_sync.publish(night, feed, state)
+        state.sync(feed)
+    return feature_sync.live(state).select("part_id", "version", "part_category", "material",
+                                           *[F.get("feature_vector", F.lit(i)).alias(f"z_{f}") for i, f in enumerate(FEATURES)])
 
 
 # --- generator ------------------------------------------------------------------
@@ -382,7 +385,7 @@ def review_state_latest(ws):
 
 @query
 def review_rejects(ws):
-    return micros(R.rejected_reviews(ws.review_log).select("seq", "group_id", "status", "updated_at"), "updated_at")
+    return micros(ws.review_state.read_rejects().select("seq", "group_id", "status", "updated_at"), "updated_at")
 
 
 @query

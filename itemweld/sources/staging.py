@@ -48,6 +48,14 @@ class Stages:
         df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @staticmethod
+    def location(saved: DataFrame) -> str:
+        """The folder of a table that ``save`` gave."""
+        folders = {f.rsplit("/", 1)[0] for f in saved.inputFiles()}
+        if len(folders) != 1:
+            raise ValueError("not one stored table")
+        return folders.pop()
+
     def drop(self) -> None:
         """Delete this run's stage tables once its results are stored."""
         jvm = self.spark._jvm

@@ -41,6 +41,30 @@ def test_nightly_cycle(spark, stages):
     assert [r.group_id for r in store.read("review_dispositions").collect()] == [target]
 
 
+def test_features_and_review_logs_go_on_where_they_stopped(spark, stages):
+    store, side = jobs.Store(spark, stages.path("facts")), jobs.Store(spark, stages.path("serving"))
+    vectors = [(f"p{i}", "A", "m", [float(i)]) for i in range(30)]
+    store.write(spark.createDataFrame(vectors, TABLES["part_features"]), "part_features", "part_features")
+    assert jobs.sync_features(store, side, 4).input_rows == 30
+    store.write(spark.createDataFrame(vectors[1:] + [("q", "A", "m", [1.0])], TABLES["part_features"]), "part_features", "part_features")
+    did = jobs.sync_features(store, side, 4)
+    assert did.input_rows == 2 and did.buckets <= 2
+    assert {tuple(r) for r in jobs.served_features(side).select("part_id", "version").collect()} == {(v[0], 1) for v in vectors[1:]} | {("q", 2)}
+    assert jobs.sync_features(store, side, forget=2).input_rows == 0 and jobs.served_features(side).count() == 30
+
+    def act(rows):
+        spark.createDataFrame(rows, "group_id string, status string, reviewer string, notes string, updated_at timestamp, seq bigint").write.mode("append").parquet(f"{side.root}/review_log")
+
+    t = dt.datetime(2024, 5, 1)
+    act([("g", "reviewed", "u", "n", t, 1), ("h", "archived", "u", "n", t, 2)])
+    assert jobs.fold_reviews(side, 4)["review_log"].input_rows == 2
+    act([("g", "dismissed", "u", "n", t, 3)])
+    did = jobs.fold_reviews(side, 4)
+    assert did["review_log"].input_rows == 1 and did["assignment_log"].input_rows == 0
+    assert [(r.group_id, r.status) for r in side.read("review_dispositions").collect()] == [("g", "dismissed")]
+    assert [r.group_id for r in side.read("review_log_rejects").collect()] == ["h"]
+
+
 def test_options_per_table(spark):
     store = jobs.Store(spark, format="jdbc", options={"url": "u"}, read_options={"parts": {"numPartitions": "8", "partitionColumn": "n"}},
                        write_options={"parts": {"truncate": "true"}})
