@@ -66,3 +66,12 @@ def test_empty_and_odd_tables(spark, docs):
         stage(spark, odd, FOLDER).collect()
     one = C.neardup_stage(spark, odd.withColumn("component_id", odd.source), FOLDER).collect()
     assert sum(r.doc_id == 4 for r in one) == 1 and len(one) == 5
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark, docs):
+    a, b, c = ("".join(f"{x}{i} " for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, b), (2, c), (3, c), (4, a), (4, "other words of this row only"), (5, b), (5, b), (6, None), (6, None), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], docs.schema)
+    left = sorted(((r.doc_id, r.text) for r in C.neardup_stage(spark, df, FOLDER).collect()), key=repr)
+    assert [t for _, t in left].count(b) == 1 and (1, a) in left and (3, c) in left and (None, a) in left
+    assert (4, "other words of this row only") in left and left.count((6, None)) == 2 and len(left) == 7
