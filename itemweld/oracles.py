@@ -327,7 +327,9 @@ BODIES = {
             ("supplier_catalogs", "supplier_id", "offers", "vendors", "supplier_id"),
             ("supplier_catalogs", "part_id", "offers", "parts", "part_id"),
             ("ground_truth", "base_part_id", "truth", "parts", "part_id"),
-            ("ground_truth", "variant_part_id", "truth", "parts", "part_id"))),
+            ("ground_truth", "variant_part_id", "truth", "parts", "part_id"),
+            ("parts", "normalized_part_id", "(SELECT a.group_id AS normalized_part_id FROM parts JOIN members USING (part_id) JOIN assigns a USING (group_id))",
+             "normalized", "normalized_part_id"))),
     "dq_part_number_within_model": """SELECT model_id, part_number, count(*) AS uses FROM parts GROUP BY 1, 2
         HAVING count(*) > 1""",
     "dq_blocking_keys": """SELECT count(*) AS parts, count(*) FILTER (part_category IS NULL) AS null_category,

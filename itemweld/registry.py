@@ -334,7 +334,8 @@ def dq_attr_collisions(ws):
 
 @query
 def dq_fk_integrity(ws):
-    return Q.fk_integrity(_tables(ws))
+    numbered = R.apply_normalized_ids(ws.parts, ws.members, ws.assignments)
+    return Q.fk_integrity({**_tables(ws), "parts": numbered, "normalized_parts": ws.normalized})
 
 
 @query

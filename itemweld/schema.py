@@ -118,6 +118,7 @@ FOREIGN_KEYS = [
     ("supplier_catalogs", "part_id", "parts", "part_id"),
     ("ground_truth", "base_part_id", "parts", "part_id"),
     ("ground_truth", "variant_part_id", "parts", "part_id"),
+    ("parts", "normalized_part_id", "normalized_parts", "normalized_part_id"),
 ]
 
 
