@@ -328,8 +328,8 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: St
     owners = stages.save(fold_copies(probe_vectors), "probes")
     right = candidates.select(F.col("part_id").alias("b"), *BLOCK, F.col("feature_vector").alias("vb"))
 
-    # Beyond this radius a ball covers every block: root of the summed squared ranges.
-    spans = candidates.agg(*[
+    # Beyond this radius a ball covers every block: root of the summed squared ranges, probes included.
+    spans = candidates.select("feature_vector").unionByName(owners.select("feature_vector")).agg(*[
         (F.max(F.get("feature_vector", F.lit(i))) - F.min(F.get("feature_vector", F.lit(i)))).alias(f"s{i}")
         for i in range(size)]).first()
     widest = sum((s or 0.0) ** 2 for s in spans) ** 0.5 + 1.0

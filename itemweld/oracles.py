@@ -256,6 +256,8 @@ BODIES = {
     "knn_topk": f"SELECT part_id, neighbor_id, dist, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= {registry.NEIGHBOURS}",
     "find_similar": f"""SELECT part_id, neighbor_id, CAST(rank AS INTEGER) AS rank, 1 / (1 + dist) AS sim FROM ranked
         WHERE rank <= {registry.SIMILAR} AND part_id IN (SELECT variant_part_id FROM truth)""",
+    "find_similar_indexed": f"""SELECT part_id, neighbor_id, CAST(rank AS INTEGER) AS rank, 1 / (1 + dist) AS sim FROM ranked
+        WHERE rank <= {registry.SIMILAR} AND part_id IN (SELECT part_id FROM vectors WHERE material = '{registry.MATERIAL}')""",
     "similarity_percentile": """SELECT a, b, part_category,
         percent_rank() OVER (PARTITION BY part_category ORDER BY dist DESC) AS sim_pct FROM wide_pairs""",
     "flag_bands": f"""SELECT a, b, part_category, sim, floor, CASE WHEN high IS NULL THEN 'review' WHEN sim >= high THEN 'auto'

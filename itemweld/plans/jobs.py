@@ -1,7 +1,7 @@
 """The batch jobs on stored tables, for an external scheduler.
 
 Nightly order: `fold_reviews` where actions come as logs, `sync_reviews`, `match`, `evaluate`, `sync_facts`,
-`sync_features`. Facts and review state are separate systems of record: `match` never writes
+`sync_features`, `index_features`. Facts and review state are separate systems of record: `match` never writes
 review tables and the review jobs never write match facts.
 """
 
@@ -13,6 +13,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from itemweld import session
 from itemweld.operators import crowds as K, economics as E, evaluation as EV, review as R
+from itemweld.operators.neighbor_index import NeighborIndex
+from itemweld.operators.neighbors import BLOCK
 from itemweld.plans import matching, serving
 from itemweld.schema import FEATURES, MATCH_DISTANCE, TABLES
 from itemweld.sources import generator as G
@@ -141,6 +143,23 @@ def sync_features(store: Store, serving_store: Store, buckets=64, forget=None):
     return did
 
 
+def index_features(serving_store: Store, buckets=64) -> dict:
+    """Bring the neighbour index beside the served vectors in step with them: the first run builds it, later ones
+    compare it with the vectors and rewrite the files that hold a changed part. Run after ``sync_features``."""
+    spark = session.tune(serving_store.spark)
+    index, now = feature_index(serving_store), served_features(serving_store, buckets).select("part_id", *BLOCK, "feature_vector")
+    if not index.exists():
+        index.build(now)
+        return {"written": index.manifest().select("file").distinct().count(), "replaced": 0}
+    with Stages(spark, "index_features") as stages:
+        return index.refresh(stages.save(feature_sync.changes(now, index.vectors(), 0), "changed"))
+
+
+def feature_index(serving_store: Store) -> NeighborIndex:
+    """The index for ``similar``, as the last ``index_features`` left it."""
+    return NeighborIndex(serving_store.spark, f"{serving_store.root.rstrip('/')}/feature_index")
+
+
 def served_features(serving_store: Store, buckets=64) -> DataFrame:
     """The vectors as the last ``sync_features`` left them."""
     return feature_sync.live(feature_sync.served(serving_store.spark, f"{serving_store.root.rstrip('/')}/served_features", buckets))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from itemweld.functions.vectors import similarity
 from itemweld.operators import economics as E, evaluation as EV, neighbors as N, quality as Q, review as R
+from itemweld.operators.neighbor_index import NeighborIndex
 from itemweld.operators.ranking import with_percent_rank
 from itemweld.plans import matching, reports, serving
 from itemweld.plans.workspace import STATE_BUCKETS, WIDE_DISTANCE, workspace
@@ -187,6 +188,17 @@ def find_similar(ws):
             .select("part_id", "neighbor_id", "rank", similarity(F.col("dist")).alias("sim")))
 
 
+@query
+def find_similar_indexed(ws):
+    """Every part of one material asks the stored index, which was built before the near misses came and took them in since."""
+    late = ws.truth.where("relationship = 'near_miss'").select(F.col("variant_part_id").alias("part_id"))
+    index = NeighborIndex(ws.spark, ws.stages.path("index"))
+    index.build(ws.points.join(late, "part_id", "left_anti"))
+    index.refresh(ws.points.join(late, "part_id", "left_semi").withColumn("op", F.lit("insert")))
+    return (index.similar(ws.points, SIMILAR, ws.size, ws.stages, material=MATERIAL)
+            .select("part_id", "neighbor_id", "rank", similarity(F.col("dist")).alias("sim")))
+
+
 @query
 def similarity_percentile(ws):
     return (with_percent_rank(ws.wide_pairs, "part_category", "dist", "sim_pct", ws.stages, descending=True)

@@ -47,10 +47,15 @@ def test_features_and_review_logs_go_on_where_they_stopped(spark, stages):
     store.write(spark.createDataFrame(vectors, TABLES["part_features"]), "part_features", "part_features")
     assert jobs.sync_features(store, side, 4).input_rows == 30
     store.write(spark.createDataFrame(vectors[1:] + [("q", "A", "m", [1.0])], TABLES["part_features"]), "part_features", "part_features")
+    assert jobs.index_features(side) == {"written": 1, "replaced": 0}
     did = jobs.sync_features(store, side, 4)
     assert did.input_rows == 2 and did.buckets <= 2
     assert {tuple(r) for r in jobs.served_features(side).select("part_id", "version").collect()} == {(v[0], 1) for v in vectors[1:]} | {("q", 2)}
     assert jobs.sync_features(store, side, forget=2).input_rows == 0 and jobs.served_features(side).count() == 30
+    assert jobs.index_features(side)["replaced"] == 1 and jobs.index_features(side) == {"written": 0, "replaced": 0}
+    asked = side.spark.createDataFrame([("q", "A", "m", [1.0])], TABLES["part_features"])
+    near = jobs.feature_index(side).similar(asked, 2, 1, stages).collect()
+    assert [(r.neighbor_id, r.dist) for r in near] == [("p1", 0.0), ("p2", 1.0)]
 
     def act(rows):
         spark.createDataFrame(rows, "group_id string, status string, reviewer string, notes string, updated_at timestamp, seq bigint").write.mode("append").parquet(f"{side.root}/review_log")
