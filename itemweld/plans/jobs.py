@@ -19,7 +19,7 @@ from itemweld.plans import matching, serving
 from itemweld.schema import FEATURES, MATCH_DISTANCE, TABLES
 from itemweld.sources import generator as G
 from itemweld.sources.staging import Stages
-from itemweld.sources.tables import read_table, write_table
+from itemweld.sources.tables import read_table, write_checked, write_table
 from itemweld.streaming import feature_sync
 
 
@@ -51,8 +51,12 @@ class Store:
         schema = TABLES.get(name) if location else None
         return read_table(self.spark, location, format=self.format, columns=columns, schema=schema, **options)
 
-    def write(self, df, name, table=None):
+    def write(self, df, name, table=None, parents=(), unique=True):
+        """Replace a table. In a folder a declared table is replaced only by rows that keep its keys, its columns without
+        nulls and its references to ``parents``, tables of this store; a database checks its own constraints."""
         location, options = self.where(name, self.write_options)
+        if table is not None and location is not None:
+            return write_checked(df, location, table, parents={p: self.read(p) for p in parents}, unique=unique, format=self.format, **options)
         write_table(df, location, table=table, format=self.format, **options)
 
 
@@ -61,12 +65,13 @@ def generate(store: Store, ids: DataFrame) -> None:
     spark = session.tune(store.spark)
     with Stages(spark, "generate") as stages:
         store.write(G.plants(spark), "plants", "plants")
-        store.write(G.models(G.plants(spark)), "models", "models")
+        store.write(G.models(G.plants(spark)), "models", "models", ["plants"])
         store.write(G.suppliers(spark.range(G.SUPPLIER_COUNT)), "suppliers", "suppliers")
-        store.write(G.parts(ids, stages), "parts", "parts")
+        store.write(G.parts(ids, stages), "parts", "parts", ["models"])
         parts = store.read("parts")
-        store.write(EV.ground_truth(parts, G.LABEL_OF_SUFFIX), "ground_truth", "ground_truth")
-        store.write(G.offers(parts, stages), "supplier_catalogs", "supplier_catalogs")
+        store.write(EV.ground_truth(parts, G.LABEL_OF_SUFFIX), "ground_truth", "ground_truth", ["parts"])
+        # A supplier may offer a part more than once; the cheapest offer is the one served.
+        store.write(G.offers(parts, stages), "supplier_catalogs", "supplier_catalogs", ["suppliers", "parts"], unique=False)
 
 
 def match(store: Store, radius=MATCH_DISTANCE, method="exact", digits=6, features=FEATURES,

@@ -45,6 +45,10 @@ class Folder:
     def drop(self, name) -> None:
         self._fs.delete(self._path(name), True)
 
+    def rename(self, old, new) -> None:
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{self.root}: could not rename {old} to {new}")
+
     def read_text(self, name) -> str:
         stream = self._fs.open(self._path(name))
         try:

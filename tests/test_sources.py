@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from itemweld.operators import economics as E
 from itemweld.schema import TABLES, conform
 from itemweld.sources import generator as G, staging
-from itemweld.sources.tables import read_table, write_bucketed, write_table
+from itemweld.sources.tables import BrokenConstraint, read_table, write_bucketed, write_checked, write_table
+from itemweld.streaming.kept_state import Folder
 
 
 @pytest.mark.parametrize("format", ["parquet", "orc", "json", "csv"])
@@ -82,3 +83,26 @@ def test_ids_beyond_seven_digits_stay_apart(spark):
     ids = spark.createDataFrame([(i,) for i in (7, 1_000_000, 9_999_999, 10_000_000, 10_000_001, 3_000_000_000, 3_000_000_001)], "id long")
     got = {r.part_id: r.part_number for r in G.base_parts(ids).select("part_id", "part_number").collect()}
     assert set(got) == {"P0000007", "P1000000", "P9999999", "P10000000", "P10000001", "P3000000000", "P3000000001"}
+
+
+def test_checked_write_keeps_the_old_table(spark, stages):
+    place = stages.path("checked") + "/models"
+    kind = "model_id string, plant_id string, machine_type string, model_name string"
+    plants = spark.createDataFrame([("p1",), ("p2",)], "plant_id string")
+    put = lambda rows, **more: write_checked(spark.createDataFrame(rows, kind), place, "models", **more)     # noqa: E731
+    held = lambda: sorted(r.model_id for r in spark.read.parquet(place).collect())     # noqa: E731
+    put([("m1", "p1", "T", None), ("m2", "p2", "T", "x")], parents={"plants": plants})
+    for rows, what in (([("m3", None, "T", None)], "plant_id: 1 null rows"), ([("m3", "p1", "T", "x")] * 2, "1 repeated keys"),
+                       ([("m3", "p9", "T", "x")], "1 rows without their row in plants")):
+        with pytest.raises(BrokenConstraint, match=what):
+            put(rows, parents={"plants": plants})
+        assert held() == ["m1", "m2"]
+    write_checked(spark.read.parquet(place).where("model_id = 'm2'"), place, "models")        # reads what it replaces
+    assert held() == ["m2"]
+    folder = Folder(spark, place.rsplit("/", 1)[0])
+    folder.rename("models", "_models-old")          # a run that ended between its renames
+    with pytest.raises(BrokenConstraint):
+        put([(None, "p1", "T", "x")])
+    assert held() == ["m2"] and folder.names("") == ["models"]
+    put([])
+    assert held() == []
