@@ -74,13 +74,14 @@ class NeighborIndex:
         (celled.repartitionByRange(files, *order, salt).sortWithinPartitions(*order, salt)
          .drop(*KEYS).write.mode("overwrite").parquet(path))
         if not [n for n in self.folder.names(f"data/version={version}") if n.endswith(".parquet")]:
-            return self._manifest_of(None, bands)
-        return self._manifest_of(self.spark.read.schema(SCHEMA).parquet(path), bands)
+            return self._manifest_of(None, bands, bands_version)
+        return self._manifest_of(self.spark.read.schema(SCHEMA).parquet(path), bands, bands_version)
 
-    def _manifest_of(self, stored, bands: DataFrame) -> DataFrame:
+    def _manifest_of(self, stored, bands: DataFrame, bands_version: int) -> DataFrame:
         rows = self.spark.createDataFrame([], SCHEMA).withColumn("file", F.lit("")) if stored is None else stored.withColumn("file", self._file())
         boxes = [f for c in PLACES for f in (F.min(c).alias(f"low{c}"), F.max(c).alias(f"high{c}"))]
-        return N._banded(rows, bands, N.MAX_BANDS).groupBy("file", *N.BLOCK).agg(F.count(F.lit(1)).alias("rows"), *boxes)
+        return (N._banded(rows, bands, N.MAX_BANDS).groupBy("file", *N.BLOCK).agg(F.count(F.lit(1)).alias("rows"), *boxes)
+                .withColumn("bands_version", F.lit(bands_version).cast("bigint")))
 
     def _publish(self, version: int, new: DataFrame, old) -> None:
         """The manifest is written last: until it is finished readers stay with the one before. Files that neither
@@ -101,7 +102,8 @@ class NeighborIndex:
         return max([0, *self.folder.numbers("manifest", "version", finished=False), *self.folder.numbers("data", "version", finished=False)]) + 1
 
     def _bands_version(self) -> int:
-        return self.folder.numbers("bands", "version")[-1]
+        """Those the newest manifest's boxes were measured on; a build that ended early may have left newer ones."""
+        return self.manifest().agg(F.max("bands_version")).first()[0] or self.folder.numbers("bands", "version")[-1]
 
     def _bands(self, version: int) -> DataFrame:
         return self.spark.read.schema("part_category string, bands array<int>").parquet(f"{self.root}/bands/version={version}")
@@ -118,7 +120,7 @@ class NeighborIndex:
         if not done:
             raise ValueError(f"no index in {self.root}")
         boxes = ", ".join(f"low{c} double, high{c} double" for c in PLACES)
-        return (self.spark.read.schema(f"file string, part_category string, material string, rows long, {boxes}")
+        return (self.spark.read.schema(f"file string, part_category string, material string, rows long, {boxes}, bands_version long")
                 .parquet(f"{self.root}/manifest/version={version or done[-1]}"))
 
     @staticmethod

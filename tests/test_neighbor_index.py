@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from itemweld.operators import neighbors as N
 from itemweld.operators.neighbor_index import NeighborIndex
 from test_neighbors import catalogue, frame
 
@@ -38,6 +39,8 @@ def test_search_equals_brute_force_and_filters(spark, stages):
     known = [r for r in rows if r[1] is not None]
     want = brute([p for p in probes if p[1] is not None], known, 4)
     assert got(index.similar(frame(spark, probes), 4, 4, stages)) == want
+    flat = [(p, c, m, [0.0, 0.0, v[2], 0.0]) for p, c, m, v in rows]      # a build that ended before its manifest
+    N.plan_bands(frame(spark, flat), 0.25).write.parquet(f"{index.root}/bands/version=2")
     narrow = index.similar(frame(spark, probes), 4, 4, stages, part_category="c", material="m")
     assert got(narrow) == {w for w in want if next(p for p in probes if p[0] == w[0])[1:3] == ("c", "m")}
     assert got(index.similar(frame(spark, rows[:0] or [("z", "none", "x", [0.0] * 4)]), 4, 4, stages)) == set()
