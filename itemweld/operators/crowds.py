@@ -8,8 +8,9 @@ grows with the rows:
 * Micro-cells with a diagonal below the match distance: all vectors of one are
   mutual matches, so one representative stands for them.
 * Micro-cells whose representatives match are linked. Other micro-cells are linked
-  only by a pair of members; that is looked up only for micro-cells that are near
-  enough, not in one component yet, and only among members near the other cell.
+  only by a pair of members; that is asked only for micro-cells that are near
+  enough and not in one component yet, and answered by halving both cells until
+  one witness is found or none can exist (`dual_cells.linked`).
   Regions that already are one component are left out before any rows meet.
 * The nearest partner is searched with a radius that starts where cells are small
   and doubles: vectors that found one are done, and those that did not are, by
@@ -18,11 +19,12 @@ grows with the rows:
 
 from pyspark.sql import DataFrame, functions as F
 
-from itemweld.functions.vectors import l2, similarity
+from itemweld.functions.vectors import similarity
 from itemweld.operators.components import connected_components
+from itemweld.operators.dual_cells import linked
 from itemweld.operators.neighbors import (
-    BLOCK, CROWDED, MAX_BANDS, _sides, band_pairs, home_cells, meet, plan_bands)
-from itemweld.schema import MATCH_DISTANCE
+    BLOCK, CROWDED, MAX_BANDS, _sides, band_pairs, grid_members, home_cells, plan_bands)
+from itemweld.schema import GRID_CELL, GRID_COUNT, MATCH_DISTANCE
 from itemweld.sources.staging import Stages
 
 CROWD_CELL = 20_000     # rows of one cell from which pairs are not listed
@@ -44,6 +46,43 @@ def is_crowded(folded: DataFrame, bands: DataFrame, radius: float, cell=CROWD_CE
     return fullest > cell or mates > work
 
 
+def grid_is_crowded(folded: DataFrame, size: int, shape=(GRID_CELL, GRID_COUNT), cell=CROWD_CELL, work=CROWD_WORK) -> bool:
+    """The same question for the cells of the shifted grids."""
+    n = F.col("count").cast("double")
+    fullest, rows, mates = (grid_members(folded, size, *shape).groupBy(*BLOCK, "grid", "cells").count()
+                            .agg(F.max("count"), F.sum(n), F.sum(n * n)).first())
+    return (fullest or 0) > cell or (mates / rows if rows else 0.0) > work
+
+
+def grid_blocks(folded: DataFrame, size: int, shape=(GRID_CELL, GRID_COUNT)) -> DataFrame:
+    """Each cell of each shifted grid as a block of its own: every vector once per grid, named by vector and
+    grid. A match by the grid method is a match inside one of these blocks."""
+    place = F.concat_ws("\x01", "material", "grid", F.array_join(F.transform("cells", lambda c: c.cast("string")), ","))
+    return grid_members(folded, size, *shape).select(
+        F.concat_ws("\x01", "rep", "grid").alias("rep"), "part_category",
+        F.when(F.col("material").isNotNull(), place).alias("material"), "feature_vector", "copies",
+        F.col("rep").alias("vector"))
+
+
+def grid_components(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE, shape=(GRID_CELL, GRID_COUNT),
+                    crowded=CROWDED):
+    """Components (id, comp) and best similarities (rep, similarity) of the grid method without its pairs: the
+    components inside each grid cell, joined wherever they share a vector."""
+    blocks = stages.save(grid_blocks(folded, size, shape), "grid_blocks")
+    names = blocks.select("rep", "vector")
+    inside = stages.save(crowd_components(blocks.drop("vector"), size, stages, radius, crowded), "inside")
+    vectors = inside.join(names.withColumnRenamed("rep", "id"), "id").select("vector", "comp")
+    # A component inside a cell is linked by its smallest vector, as a star.
+    centre = vectors.groupBy("comp").agg(F.min("vector").alias("a"))
+    links = stages.save(vectors.join(centre, "comp").select("a", F.col("vector").alias("b")).where("a <> b").distinct(), "star_links")
+    comps = connected_components(links, stages)
+    every = (folded.select(F.col("rep").alias("id")).join(comps, "id", "left")
+             .select("id", F.coalesce("comp", "id").alias("comp")))
+    best = (crowd_similarity(blocks.drop("vector"), size, stages, radius, crowded).join(names, "rep")
+            .groupBy(F.col("vector").alias("rep")).agg(F.max("similarity").alias("similarity")))
+    return every, best
+
+
 def micro_cells(folded: DataFrame, size: int, radius: float) -> DataFrame:
     """Adds ``hub``: the smallest representative of the micro-cell."""
     side = F.lit(radius * (1 - 1e-9) / size ** 0.5)
@@ -77,30 +116,13 @@ def crowd_components(folded: DataFrame, size: int, stages: Stages, radius=MATCH_
     open_cells = stages.save(
         band_pairs(left, right, wide, far, size, stages, ordered & (F.col("ca") != F.col("cb")),
                    crowded=crowded, differ="ca").select("a", "b"), "open_cells")
-    more = _member_links(points, hubs, open_cells, size, stages, radius, crowded)
+    more = linked(points.withColumnRenamed("hub", "node"), open_cells, size, stages, radius).rows
     final = connected_components(links.unionByName(more), stages)
     hub_comp = (hubs.select(F.col("rep").alias("id")).join(final, "id", "left")
                 .select(F.col("id").alias("hub"), F.coalesce("comp", "id").alias("comp")))
     return points.select(F.col("rep").alias("id"), "hub").join(hub_comp, "hub").select("id", "comp")
 
 
-def _member_links(points, hubs, open_cells, size, stages, radius, crowded):
-    """The pairs of open cells (a, b) that have members within the radius."""
-    at = hubs.select(F.col("rep").alias("h"), F.col("feature_vector").alias("vh"))
-    reach = F.lit(2 * radius * (1 + 1e-9))
-
-    def side(mine, other, vector):
-        """Members of cell ``mine`` near enough to the hub of cell ``other``."""
-        rows = (open_cells.join(points.select(F.col("hub").alias(mine), F.col("rep").alias(f"p{mine}"),
-                                              F.col("feature_vector").alias(vector)), mine)
-                .join(at.withColumnRenamed("h", other), other))
-        return rows.where(l2(F.col(vector), F.col("vh"), size) <= reach).drop("vh")
-
-    met = meet(side("a", "b", "va"), side("b", "a", "vb"), ["a", "b"], "pb",
-               l2(F.col("va"), F.col("vb"), size) <= F.lit(radius), stages, crowded)
-    return stages.save(met.select("a", "b").distinct(), "more_links")
-
-
 def crowd_similarity(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE,
                      crowded=CROWDED) -> DataFrame:
     """(rep, similarity) of every vector with a copy or a partner within the radius."""

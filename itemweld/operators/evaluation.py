@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame, functions as F
 
 from itemweld.functions.vectors import l2, similarity
-from itemweld.operators.ranking import quantiles
+from itemweld.operators.ranking import quantiles, running_sums
 from itemweld.sources.staging import Stages
 
+AUTO_PRECISION, REVIEW_RECALL, LEAST_LABELS = 0.95, 0.99, 20    # of the learned cut-offs
+
 
 def ground_truth(parts: DataFrame, label_of_suffix: dict) -> DataFrame:
     """Labels from the id convention <base>-<suffix letter>."""
@@ -79,12 +81,13 @@ def gate(measured: DataFrame, recall=0.95, precision=0.95, f1=0.95) -> DataFrame
 
 
 def labelled_distances(truth: DataFrame, vectors: DataFrame, size: int) -> DataFrame:
-    """(relationship, part_category, base, variant, dist) whatever the block."""
-    base = vectors.select(F.col("part_id").alias("base_part_id"), F.col("feature_vector").alias("va"))
-    variant = vectors.select(F.col("part_id").alias("variant_part_id"), F.col("feature_vector").alias("vb"))
+    """(relationship, part_category, base, variant, dist, same_block) whatever the block."""
+    block = F.struct("part_category", "material").alias
+    base = vectors.select(F.col("part_id").alias("base_part_id"), F.col("feature_vector").alias("va"), block("ba"))
+    variant = vectors.select(F.col("part_id").alias("variant_part_id"), F.col("feature_vector").alias("vb"), block("bb"))
     return (truth.join(base, "base_part_id").join(variant, "variant_part_id")
             .select("relationship", "part_category", "base_part_id", "variant_part_id",
-                    l2(F.col("va"), F.col("vb"), size).alias("dist")))
+                    l2(F.col("va"), F.col("vb"), size).alias("dist"), (F.col("ba") == F.col("bb")).alias("same_block")))
 
 
 def threshold_calibration(truth: DataFrame, vectors: DataFrame, size: int, stages: Stages) -> DataFrame:
@@ -96,13 +99,26 @@ def threshold_calibration(truth: DataFrame, vectors: DataFrame, size: int, stage
     return plain.join(q, "relationship")
 
 
-def category_cutoffs(truth: DataFrame, vectors: DataFrame, size: int, stages: Stages, review_radius: float) -> DataFrame:
-    """Per category: similarity from which a pair is automatic (covers 90 % of its
-    labelled duplicates) and from which it goes to review."""
-    dup = labelled_distances(truth.where("relationship = 'duplicate'"), vectors, size)
-    q = quantiles(stages.save(dup, "duplicates"), "part_category", "dist", {"p90": 0.9}, stages)
-    low = F.lit(1.0 / (1.0 + review_radius))
-    return q.select("part_category", F.greatest(similarity(F.col("p90")), low).alias("high"), low.alias("low"))
+def category_cutoffs(truth: DataFrame, vectors: DataFrame, size: int, stages: Stages,
+                     precision=AUTO_PRECISION, recall=REVIEW_RECALL, labels=LEAST_LABELS) -> DataFrame:
+    """(part_category, high, low, labels): similarity from which a pair is automatic and from which it goes to review.
+
+    One sweep over the labelled distances of a category, as running sums over ranges. Labelled pairs of two
+    blocks can't be candidates and are left out. ``high`` is at the
+    widest distance up to which at least ``precision`` of the labelled pairs are duplicates, null if
+    there is none; ``low`` at the narrowest that holds ``recall`` of the duplicates, or at ``high``
+    where that reaches farther. A category with fewer than ``labels`` labelled duplicates has no row.
+    """
+    dist = stages.save(labelled_distances(truth, vectors, size).where("same_block"), "labelled")
+    dup = (F.col("relationship") == "duplicate").cast("int")
+    sums = running_sums(dist, "part_category", "dist", {"dup": dup, "every": F.lit(1)}, stages)
+    hits, seen = F.col("dup_before") + F.col("dup"), F.col("every_before") + F.col("every")
+    swept = sums.where(F.col("dup_total") >= labels).groupBy("part_category").agg(
+        F.max(F.when(hits >= F.lit(precision) * seen, F.col("dist"))).alias("auto"),
+        F.min(F.when(hits >= F.lit(recall) * F.col("dup_total"), F.col("dist"))).alias("review"),
+        F.max("dup_total").alias("labels"))
+    return swept.select("part_category", similarity(F.col("auto")).alias("high"),
+                        similarity(F.greatest("auto", "review")).alias("low"), "labels")
 
 
 def candidates(pairs: DataFrame, neighbours: DataFrame, points: DataFrame) -> DataFrame:
@@ -117,9 +133,10 @@ def candidates(pairs: DataFrame, neighbours: DataFrame, points: DataFrame) -> Da
 
 
 def flag_bands(pairs: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """auto / review / drop per candidate; a category without cut-offs goes to review."""
+    """auto / review / drop per candidate. A category with too few labels has no cut-offs: all of it
+    goes to review and ``learned`` is false."""
     sim = F.col("sim")
-    band = (F.when(F.col("high").isNull(), "review").when(sim >= F.col("high"), "auto")
+    band = (F.when(F.col("low").isNull(), "review").when(sim >= F.col("high"), "auto")
              .when(sim >= F.col("low"), "review").otherwise("drop"))
     return pairs.join(cutoffs, "part_category", "left").select(
-        "a", "b", "part_category", "sim", "floor", band.alias("band"))
+        "a", "b", "part_category", "sim", "floor", band.alias("band"), F.col("low").isNotNull().alias("learned"))

@@ -184,17 +184,22 @@ def folded_pairs_exact(folded: DataFrame, size: int, stages: Stages, radius=MATC
     return band_pairs(left, right, bands, radius, size, stages, F.col("a") < F.col("b"), crowded=crowded)
 
 
+def grid_members(folded: DataFrame, size: int, cell=GRID_CELL, count=GRID_COUNT) -> DataFrame:
+    """Each vector with its cell in every one of ``count`` shifted grids."""
+    shifts = F.array(*[
+        F.struct(F.lit(i).alias("grid"), F.lit(cell * i / count).alias("shift")) for i in range(count)])
+    return (folded.withColumn("g", F.explode(shifts))
+            .select("rep", *BLOCK, "feature_vector", "copies", F.col("g.grid").alias("grid"),
+                    grid_cells(F.col("feature_vector"), size, cell, F.col("g.shift")).alias("cells")))
+
+
 def folded_pairs_grid(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE,
                       cell=GRID_CELL, count=GRID_COUNT, crowded=CROWDED) -> DataFrame:
     """Pairs within ``radius`` that share a cell in all dimensions on one of
     ``count`` shifted grids. Misses pairs split by every grid; kept because its
     results are the published ones.
     """
-    shifts = F.array(*[
-        F.struct(F.lit(i).alias("grid"), F.lit(cell * i / count).alias("shift")) for i in range(count)])
-    celled = (folded.withColumn("g", F.explode(shifts))
-              .select("rep", *BLOCK, "feature_vector", F.col("g.grid").alias("grid"),
-                      grid_cells(F.col("feature_vector"), size, cell, F.col("g.shift")).alias("cells")))
+    celled = grid_members(folded, size, cell, count)
     left = celled.select(F.col("rep").alias("a"), *BLOCK, "grid", "cells", F.col("feature_vector").alias("va"))
     right = celled.select(F.col("rep").alias("b"), *BLOCK, "grid", "cells", F.col("feature_vector").alias("vb"))
     dist = l2(F.col("va"), F.col("vb"), size)
@@ -246,7 +251,7 @@ def unfold_pairs(pairs: DataFrame, copies: DataFrame, stages: Stages, crowded=CR
     """The listing (a, b, part_category, material, dist, sim) over all parts.
 
     Its size is that of the answer, which is quadratic in the number of copies;
-    grouping and counting do not use it (`rep_similarity`, `pair_weights`).
+    grouping and counting do not use it (`rep_similarity`, `counted_pairs`).
     """
     left = copies.select(F.col("rep").alias("a"), F.col("part_id").alias("pa"))
     right = copies.select(F.col("rep").alias("b"), F.col("part_id").alias("pb"))
@@ -261,19 +266,46 @@ def unfold_pairs(pairs: DataFrame, copies: DataFrame, stages: Stages, crowded=CR
                     "dist", similarity(F.col("dist")).alias("sim")))
 
 
-def pair_weights(pairs: DataFrame, folded: DataFrame) -> DataFrame:
-    """(block, sim, pairs): how many pairs of parts each pair of distinct vectors,
-    and each set of copies, stands for. Counts the listing without making it."""
+def counted_pairs(pairs: DataFrame, folded: DataFrame) -> DataFrame:
+    """(a, b, block, dist, pairs): each pair of distinct vectors, and each set of copies (a = b), with the
+    number of pairs of parts it stands for. Counts the listing without making it."""
     n = folded.select("rep", "copies")
     across = (pairs.join(n.select(F.col("rep").alias("a"), F.col("copies").alias("na")), "a")
               .join(n.select(F.col("rep").alias("b"), F.col("copies").alias("nb")), "b")
-              .select(*BLOCK, similarity(F.col("dist")).alias("sim"), (F.col("na") * F.col("nb")).alias("pairs")))
+              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *BLOCK, "dist",
+                      (F.col("na") * F.col("nb")).alias("pairs")))
     within = folded.where(F.col("copies") > 1).select(
-        *BLOCK, F.lit(1.0).alias("sim"),
+        F.col("rep").alias("a"), F.col("rep").alias("b"), *BLOCK, F.lit(0.0).alias("dist"),
         F.expr("copies * (copies - 1) DIV 2").alias("pairs"))
     return across.unionByName(within)
 
 
+def faster_partners(folded: DataFrame, wanted: DataFrame, given: DataFrame, size: int, stages: Stages, radius: float,
+                    crowded=CROWDED) -> DataFrame:
+    """(x, y, x_rank, y_rank, dist): every ``given`` part x with every ``wanted`` part y within ``radius`` whose rank is lower.
+
+    ``given`` and ``wanted`` are (part_id, rep, rank), the parts of each kind. A vector meets another
+    only if its lowest wanted rank is below the other's highest given rank, and parts come in
+    last, by (vector, rank), so that each row of the last joins is a row of the answer.
+    Parts without a rank take no part.
+    """
+    given, wanted = given.where("rank IS NOT NULL"), wanted.where("rank IS NOT NULL")
+    best = wanted.groupBy("rep").agg(F.min("rank").alias("least"))
+    worst = given.groupBy("rep").agg(F.max("rank").alias("most"))
+    left = folded.join(worst, "rep").select(F.col("rep").alias("a"), *BLOCK, F.col("feature_vector").alias("va"), "most")
+    right = folded.join(best, "rep").select(F.col("rep").alias("b"), *BLOCK, F.col("feature_vector").alias("vb"), "least")
+    left, right = stages.save(left, "given"), stages.save(right, "wanted")
+    bands = stages.save(plan_bands(right.withColumnRenamed("vb", "feature_vector"), radius), "bands")
+    near = stages.save(band_pairs(left, right, bands, radius, size, stages, F.col("least") < F.col("most"), crowded=crowded)
+                       .select("a", "b", "dist"), "faster")
+    ranks = lambda parts, rep, name: parts.select(F.col("rep").alias(rep), F.col("rank").alias(name)).distinct()
+    pairs = (near.join(ranks(given, "a", "x_rank"), "a").join(ranks(wanted, "b", "y_rank"), "b").where("y_rank < x_rank"))
+    named = lambda parts, rep, name, rank: parts.select(F.col("rep").alias(rep), F.col("part_id").alias(name), F.col("rank").alias(rank))
+    some = stages.save(pairs.join(named(given, "a", "x", "x_rank"), ["a", "x_rank"]), "faster")
+    return (meet(some, named(wanted, "b", "y", "y_rank"), ["b", "y_rank"], "y", F.lit(True), stages, crowded)
+            .select("x", "y", "x_rank", "y_rank", "dist"))
+
+
 def rep_similarity(pairs: DataFrame, folded: DataFrame) -> DataFrame:
     """(rep, similarity): best similarity of a representative to any partner;
     1 where it has exact copies."""

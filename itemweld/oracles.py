@@ -6,6 +6,7 @@ import re
 from functools import cache
 
 from itemweld import oracle_generator, registry
+from itemweld.operators.evaluation import AUTO_PRECISION, LEAST_LABELS, REVIEW_RECALL
 from itemweld.operators.neighbors import LSH_TABLES, lsh_width
 from itemweld.plans.workspace import WIDE_DISTANCE
 from itemweld.schema import FEATURES, GRID_CELL, GRID_COUNT, MATCH_DISTANCE, REVIEW_STATUSES
@@ -121,7 +122,8 @@ CTES = {
     "ranked": f"""SELECT part_id, neighbor_id, dist, row_number() OVER (PARTITION BY part_id ORDER BY dist, neighbor_id) AS rank
         FROM (SELECT x.part_id, y.part_id AS neighbor_id, {_distance()} AS dist FROM vectors x JOIN vectors y
         ON x.part_category = y.part_category AND x.material = y.material AND x.part_id <> y.part_id)""",
-    "label_dist": f"""SELECT t.*, {_distance()} AS dist FROM truth t
+    "reps": f"""SELECT part_id, min(part_id) OVER (PARTITION BY part_category, material, {', '.join(f'z_{f}' for f in _ACTIVE)}) AS rep FROM vectors""",
+    "label_dist": f"""SELECT t.*, {_distance()} AS dist, x.part_category = y.part_category AND x.material = y.material AS same_block FROM truth t
         JOIN vectors x ON x.part_id = base_part_id JOIN vectors y ON y.part_id = variant_part_id""",
     # groups
     "edges": "SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs",
@@ -258,16 +260,23 @@ BODIES = {
         WHERE rank <= {registry.SIMILAR} AND part_id IN (SELECT variant_part_id FROM truth)""",
     "find_similar_indexed": f"""SELECT part_id, neighbor_id, CAST(rank AS INTEGER) AS rank, 1 / (1 + dist) AS sim FROM ranked
         WHERE rank <= {registry.SIMILAR} AND part_id IN (SELECT part_id FROM vectors WHERE material = '{registry.MATERIAL}')""",
-    "similarity_percentile": """SELECT a, b, part_category,
-        percent_rank() OVER (PARTITION BY part_category ORDER BY dist DESC) AS sim_pct FROM wide_pairs""",
-    "flag_bands": f"""SELECT a, b, part_category, sim, floor, CASE WHEN high IS NULL THEN 'review' WHEN sim >= high THEN 'auto'
+    "similarity_percentile": """SELECT a, b, part_category, count(*) AS pairs, any_value(sim_pct) AS sim_pct FROM (
+        SELECT least(x.rep, y.rep) AS a, greatest(x.rep, y.rep) AS b, p.part_category,
+        percent_rank() OVER (PARTITION BY p.part_category ORDER BY dist DESC) AS sim_pct FROM wide_pairs p
+        JOIN reps x ON x.part_id = p.a JOIN reps y ON y.part_id = p.b) GROUP BY 1, 2, 3""",
+    "flag_bands": f"""SELECT a, b, part_category, sim, floor, low IS NOT NULL AS learned, CASE WHEN low IS NULL THEN 'review' WHEN sim >= high THEN 'auto'
         WHEN sim >= low THEN 'review' ELSE 'drop' END AS band FROM (
         SELECT a, b, part_category, max(sim) AS sim, bool_or(floor) AS floor FROM (
             SELECT a, b, part_category, sim, false AS floor FROM wide_pairs UNION ALL
             SELECT least(part_id, neighbor_id), greatest(part_id, neighbor_id), part_category, 1 / (1 + dist), true
             FROM ranked JOIN parts USING (part_id) WHERE rank <= {registry.NEIGHBOURS}) GROUP BY 1, 2, 3) LEFT JOIN (
-        SELECT part_category, greatest(1 / (1 + quantile_cont(dist, 0.9)), {1.0 / (1.0 + WIDE_DISTANCE / 2)!r}::DOUBLE) AS high,
-        {1.0 / (1.0 + WIDE_DISTANCE / 2)!r}::DOUBLE AS low FROM label_dist WHERE relationship = 'duplicate' GROUP BY 1) USING (part_category)""",
+        SELECT part_category, 1 / (1 + auto) AS high, 1 / (1 + greatest(auto, review)) AS low FROM (
+            SELECT part_category, max(dist) FILTER (hits >= {AUTO_PRECISION!r}::DOUBLE * seen) AS auto,
+            min(dist) FILTER (hits >= {REVIEW_RECALL!r}::DOUBLE * dups) AS review FROM (
+                SELECT part_category, dist, count(*) FILTER (relationship = 'duplicate') OVER (PARTITION BY part_category ORDER BY dist) AS hits,
+                count(*) OVER (PARTITION BY part_category ORDER BY dist) AS seen,
+                count(*) FILTER (relationship = 'duplicate') OVER (PARTITION BY part_category) AS dups FROM label_dist WHERE same_block)
+            WHERE dups >= {LEAST_LABELS} GROUP BY 1)) USING (part_category)""",
     "threshold_calibration": f"""SELECT relationship, count(*) AS pairs, {_round('min(dist)', 6, 'min_dist')},
         {_round('max(dist)', 6, 'max_dist')}, {_round('quantile_cont(dist, 0.5)', 6, 'p50_dist')},
         {_round('quantile_cont(dist, 0.99)', 6, 'p99_dist')} FROM label_dist GROUP BY relationship""",

@@ -47,14 +47,16 @@ def find_pairs(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTAN
 
 
 def label_parts(points: DataFrame, folded: DataFrame, pairs, size: int, stages: Stages,
-                radius=MATCH_DISTANCE) -> DataFrame:
+                radius=MATCH_DISTANCE, method="exact") -> DataFrame:
     """(part_id, comp, similarity) for every part that has a partner.
 
     From the near pairs, or without them (``pairs`` None) where the catalogue is too
     crowded to list them. Components run on representatives only; copies join in by
     their vector, so a group of copies adds no edges at all.
     """
-    if pairs is None:
+    if pairs is None and method == "grid":
+        comps, best = K.grid_components(folded, size, stages, radius)
+    elif pairs is None:
         comps = K.crowd_components(folded, size, stages, radius)
         best = K.crowd_similarity(folded, size, stages, radius)
     else:
@@ -95,12 +97,13 @@ def build(parts: DataFrame, models: DataFrame, offers: DataFrame, stages: Stages
     folded = fold(points, stages)
     pairs = None
     if method == "grid":
-        pairs = find_pairs(folded, size, stages, radius, method)
+        if not K.grid_is_crowded(folded, size, work=crowd_work):
+            pairs = find_pairs(folded, size, stages, radius, method)
     else:
         bands = stages.save(N.plan_bands(folded, radius), "bands")
         if not K.is_crowded(folded, bands, radius, work=crowd_work):
             pairs = find_pairs(folded, size, stages, radius, bands=bands)
-    labels = label_parts(points, folded, pairs, size, stages, radius)
+    labels = label_parts(points, folded, pairs, size, stages, radius, method)
     members = build_members(labels, parts, models, stages)
     groups = build_groups(members, parts, offers, stages)
     return Match(stats, vectors, points, folded, labels, members, groups)

@@ -2,6 +2,11 @@
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from itemweld.functions.vectors import distance_at, similarity as alike
+from itemweld.operators.dual_cells import count_pairs
+from itemweld.operators.neighbors import BLOCK, faster_partners
+from itemweld.sources.staging import Stages
+
 
 def money(total):
     return F.round(F.coalesce(total, F.lit(0.0)), 2)
@@ -61,9 +66,11 @@ def eval_table(metrics: DataFrame) -> DataFrame:
     ).orderBy("part_category")
 
 
-def similarity_histogram(weights: DataFrame) -> DataFrame:
-    """Pairs per category and percent of similarity, from `neighbors.pair_weights`."""
-    return (weights.groupBy("part_category", F.floor(F.col("sim") * 100).cast("int").alias("percent"))
+def similarity_histogram(folded: DataFrame, size: int, stages: Stages, radius: float) -> DataFrame:
+    """Pairs within ``radius`` per category and percent of similarity, counted by cells (`dual_cells.count_pairs`)."""
+    percent = lambda dist: F.floor(alike(dist) * 100).cast("int")
+    counts = count_pairs(folded, BLOCK, size, stages, radius, percent).rows
+    return (counts.groupBy("part_category", F.col("bin").alias("percent"))
             .agg(F.sum("pairs").alias("pairs")).orderBy("part_category", "percent"))
 
 
@@ -91,20 +98,18 @@ def parts_dup_other_plant(members: DataFrame) -> DataFrame:
     return members.join(many, "group_id", "left_semi").select("part_id", "group_id", "plant_id")
 
 
-def similar_cross_type_faster(pairs: DataFrame, parts: DataFrame, models: DataFrame,
-                              offers: DataFrame, similarity=0.95,
+def similar_cross_type_faster(folded: DataFrame, copies: DataFrame, size: int, stages: Stages, parts: DataFrame,
+                              models: DataFrame, offers: DataFrame, similarity=0.95,
                               wanted="Harvester", given="Tractor") -> DataFrame:
     """For every ``given`` part: ``wanted`` parts at least ``similarity`` alike
     (pair by pair) whose shortest lead time is below its own."""
     kind = parts.select("part_id", "model_id").join(models.select("model_id", "machine_type"), "model_id")
-    fast = offers.groupBy("part_id").agg(F.min("lead_time_days").alias("lead"))
-    info = kind.join(fast, "part_id").select("part_id", "machine_type", "lead")
-    close = pairs.where(F.col("sim") >= similarity)
-    both = close.select(F.explode(F.array(
-        F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
-        F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "sim").select("p.x", "p.y", "sim")
-    x = info.where(F.col("machine_type") == given).select(F.col("part_id").alias("x"), F.col("lead").alias("x_lead"))
-    y = info.where(F.col("machine_type") == wanted).select(F.col("part_id").alias("y"), F.col("lead").alias("y_lead"))
-    return (both.join(x, "x").join(y, "y").where("y_lead < x_lead")
+    fast = offers.groupBy("part_id").agg(F.min("lead_time_days").alias("rank"))
+    known = stages.save(copies.select("part_id", "rep").join(kind, "part_id").join(fast, "part_id")
+                        .where(F.col("machine_type").isin(wanted, given)), "lead_times")
+    one = lambda name: known.where(F.col("machine_type") == name).select("part_id", "rep", "rank")
+    # A hair wider than the similarity, which then decides.
+    found = faster_partners(folded, one(wanted), one(given), size, stages, distance_at(similarity) * (1 + 1e-9))
+    return (found.withColumn("sim", alike(F.col("dist"))).where(F.col("sim") >= similarity)
             .select(F.col("x").alias("part_id"), F.col("y").alias("similar_part_id"), "sim",
-                    F.col("x_lead").alias("lead_time_days"), F.col("y_lead").alias("similar_lead_time_days")))
+                    F.col("x_rank").alias("lead_time_days"), F.col("y_rank").alias("similar_lead_time_days")))

@@ -201,13 +201,15 @@ def find_similar_indexed(ws):
 
 @query
 def similarity_percentile(ws):
-    return (with_percent_rank(ws.wide_pairs, "part_category", "dist", "sim_pct", ws.stages, descending=True)
-            .select("a", "b", "part_category", "sim_pct"))
+    """Per pair of distinct vectors, named by their smallest parts, with the number of pairs of parts it stands for (a = b: copies)."""
+    weighed = ws.stages.save(N.counted_pairs(ws.wide_folded_pairs, ws.folded), "weighed")
+    return (with_percent_rank(weighed, "part_category", "dist", "sim_pct", ws.stages, descending=True, weight="pairs")
+            .select("a", "b", "part_category", "pairs", "sim_pct"))
 
 
 @query
 def flag_bands(ws):
-    cut = EV.category_cutoffs(ws.truth, ws.points, ws.size, ws.stages, WIDE_DISTANCE / 2)
+    cut = EV.category_cutoffs(ws.truth, ws.points, ws.size, ws.stages)
     nearest = N.nearest(ws.points, ws.points, NEIGHBOURS, ws.size, ws.stages)
     return EV.flag_bands(EV.candidates(ws.wide_pairs, nearest, ws.points), cut)
 
@@ -558,7 +560,7 @@ def dash_eval(ws):
 
 @query
 def similarity_histogram(ws):
-    return reports.similarity_histogram(N.pair_weights(ws.wide_folded_pairs, ws.folded))
+    return reports.similarity_histogram(ws.folded, ws.size, ws.stages, WIDE_DISTANCE)
 
 
 @query
@@ -578,4 +580,4 @@ def parts_dup_other_plant(ws):
 
 @query
 def similar_cross_type_faster(ws):
-    return reports.similar_cross_type_faster(ws.pairs, ws.parts, ws.models, ws.offers)
+    return reports.similar_cross_type_faster(ws.folded, ws.copies, ws.size, ws.stages, ws.parts, ws.models, ws.offers)

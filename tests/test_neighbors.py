@@ -60,7 +60,7 @@ def test_exact_pairs_equal_brute_force(spark, stages, crowded):
     got = listed(N.unfold_pairs(stages.save(pairs, "pairs"), N.copies_of(points, folded), stages, crowded))
     want = brute_pairs(rows, RADIUS)
     assert got == pytest.approx(want)
-    assert N.pair_weights(pairs, folded).agg(F.sum("pairs")).first()[0] == len(want)
+    assert N.counted_pairs(pairs, folded).agg(F.sum("pairs")).first()[0] == len(want)
 
 
 def test_pair_at_the_radius_is_kept(spark, stages):
@@ -112,6 +112,34 @@ def test_crowd_path_gives_the_same_groups_and_similarities(spark, stages, seed):
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, crowd.collect()))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_grid_method_gives_the_same_groups_without_listing_pairs(spark, stages, seed):
+    points = frame(spark, catalogue(seed, 500, 3))
+    folded = M.fold(points, stages)
+    plain = M.label_parts(points, folded, M.find_pairs(folded, 3, stages, 0.25, "grid"), 3, stages, 0.25, "grid")
+    crowd = M.label_parts(points, folded, None, 3, stages, 0.25, "grid")
+    assert plain.count() > 0
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, crowd.collect()))
+    assert K.grid_is_crowded(folded, 3, work=0.5) and not K.grid_is_crowded(folded, 3)
+
+
+@pytest.mark.parametrize("crowded", [4_000, 3])
+def test_faster_partners_equal_brute_force(spark, stages, crowded):
+    rows = catalogue(4, 300, 3)
+    points = frame(spark, rows)
+    folded = M.fold(points, stages)
+    rank = {r[0]: (None if i % 11 == 0 else (i * 7) % 5) for i, r in enumerate(rows)}
+    kinds = spark.createDataFrame([(p, rank[p], (i // 4) % 2) for i, p in enumerate(sorted(rank))], "part_id string, rank int, kind int")
+    parts = N.copies_of(points, folded).select("part_id", "rep").join(kinds, "part_id")
+    kind = {p: (i // 4) % 2 for i, p in enumerate(sorted(rank))}
+    got = N.faster_partners(folded, parts.where("kind = 1").drop("kind"), parts.where("kind = 0").drop("kind"), 3, stages, RADIUS, crowded)
+    pairs = brute_pairs(rows, RADIUS)
+    want = sorted((x, y, rank[x], rank[y]) for a, b in pairs for x, y in ((a, b), (b, a))
+                  if kind[x] == 0 and kind[y] == 1 and None not in (rank[x], rank[y]) and rank[y] < rank[x])
+    assert want and sorted((r.x, r.y, r.x_rank, r.y_rank) for r in got.collect()) == want
+    assert all(r.dist == pytest.approx(pairs[min(r.x, r.y), max(r.x, r.y)]) for r in got.collect())
+
+
 def test_member_links_join_cells_whose_hubs_are_apart(spark, stages):
     """Two micro-cells connected only by members near their border."""
     rows = ([(f"a{i}", "c", "m", [round(0.01 * i, 6)]) for i in range(1, 29)]

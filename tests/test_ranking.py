@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from itemweld.operators.ranking import quantiles, with_percent_rank
+from itemweld.operators.ranking import quantiles, running_sums, with_percent_rank
 
 
 @pytest.fixture
@@ -29,3 +29,18 @@ def test_quantiles_equal_percentile(values, stages):
         F.percentile("v", F.lit(0.5)).alias("a"), F.percentile("v", F.lit(0.99)).alias("b")).collect()}
     assert got.keys() == want.keys()
     assert all(got[g] == pytest.approx(want[g]) for g in want)
+
+
+def test_weighted_rank_is_the_rank_of_the_rows_it_stands_for(spark, stages):
+    rng = random.Random(8)
+    rows = [(i, "hot" if i % 3 else "g", rng.choice([0.5, 1.0, round(rng.random(), 2)]), rng.randint(1, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, g string, v double, w int")
+    order = W.partitionBy("g").orderBy(F.col("v").desc())
+    unfolded = df.withColumn("one", F.explode(F.sequence(F.lit(1), "w"))).withColumn("p", F.percent_rank().over(order))
+    got = with_percent_rank(df, "g", "v", "p", stages, descending=True, weight="w")
+    assert set(map(tuple, got.select("id", "p").collect())) == set(map(tuple, unfolded.select("id", "p").collect()))
+
+
+def test_running_sums_of_no_rows(spark, stages):
+    df = spark.createDataFrame([], "g string, v double, w int")
+    assert running_sums(df, "g", "v", {"n": F.col("w"), "m": F.lit(1)}, stages).collect() == []
