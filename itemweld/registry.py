@@ -78,8 +78,8 @@ def incremental_features(ws):
 def _generated(ws):
     if not hasattr(ws, "_generated"):
         ids = ws.src.scan("part", "p_partkey").withColumnRenamed("p_partkey", "id")
-        base = ws.stages.save(G.base_parts(ids), "g_base")
-        every = ws.stages.save(G.parts(ids, ws.stages), "g_parts")
+        base = ws.stages.save(G.base_parts(ids, round_once=True), "g_base")
+        every = ws.stages.save(G.parts(ids, ws.stages, round_once=True), "g_parts")
         ws._generated = base, every
     return ws._generated
 

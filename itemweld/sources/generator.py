@@ -180,8 +180,12 @@ def _continuous(number: int, attribute: str, low: str, high: str, decimals: int)
     return F.round(F.lit(low) + share * F.lit(high - low), decimals)
 
 
-def base_parts(ids: DataFrame) -> DataFrame:
-    """Base parts, all arithmetic decimal until the final cast to the schema."""
+def base_parts(ids: DataFrame, round_once=False) -> DataFrame:
+    """Base parts, all arithmetic decimal until the final cast to the schema.
+
+    The published catalogue rounds a weight twice, since Spark cuts a decimal quotient to six digits;
+    with ``round_once`` no digit is lost before the one rounding.
+    """
     id_ = F.col("id")
     category = pick(CATEGORIES, F.pmod(id_, F.lit(len(CATEGORIES))))
     out = ids.select("id").withColumn("part_category", category)
@@ -205,6 +209,12 @@ def base_parts(ids: DataFrame) -> DataFrame:
                                       F.lit(Decimal("10.0"))), F.lit(Decimal("1.0")))
     short_side = F.greatest(F.coalesce("width", "thickness", "cross_section_diameter", "gauge", "head_width",
                                        F.lit(Decimal("5.0"))), F.lit(Decimal("1.0")))
+    if round_once:
+        mass = F.lit(Decimal("0.001")) * F.col("material_density").cast("decimal(4,2)")
+        for side in (long_side, short_side):
+            mass = mass * side.cast("decimal(12,2)")
+    else:
+        mass = F.col("material_density") * long_side * short_side / F.lit(Decimal("1000.0"))
     names, number = model_names(), id_.cast("string")
     return conform(out.select(
         F.concat(F.lit("P"), F.lpad(number, F.greatest(F.lit(PART_DIGITS), F.length(number)), F.lit("0"))).alias("part_id"),
@@ -212,7 +222,7 @@ def base_parts(ids: DataFrame) -> DataFrame:
         F.concat(pick(NUMBER_PREFIX, F.pmod(id_, F.lit(len(CATEGORIES)))), F.lit("-"),
                  F.lpad(F.pmod(id_, F.lit(PART_NUMBERS)).cast("string"), 5, "0")).alias("part_number"),
         "part_category", "material", "material_density",
-        F.round(F.col("material_density") * long_side * short_side / F.lit(Decimal("1000.0")), 3).alias("weight"),
+        F.round(mass, 3).alias("weight"),
         *[c for c in ATTRIBUTES if c in out.columns]), "parts")
 
 
@@ -286,9 +296,9 @@ def with_annual_volume(parts: DataFrame) -> DataFrame:
     return parts.withColumn("annual_volume", F.round(low * F.pow(ratio, share)).cast("int"))
 
 
-def parts(ids: DataFrame, stages: Stages) -> DataFrame:
+def parts(ids: DataFrame, stages: Stages, round_once=False) -> DataFrame:
     """Base parts and all seeded variants, described and with volumes."""
-    base = stages.save(base_parts(ids), "base_parts")
+    base = stages.save(base_parts(ids, round_once), "base_parts")
     every = reduce(DataFrame.unionByName, [base, duplicates(base), hard_negatives(base), near_misses(base)])
     return with_annual_volume(with_description(every))
 
