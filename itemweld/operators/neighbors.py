@@ -280,6 +280,15 @@ def counted_pairs(pairs: DataFrame, folded: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
+def unfold_counted(counted: DataFrame, copies: DataFrame, stages: Stages, crowded=CROWDED) -> DataFrame:
+    """Every pair of parts (a, b) that the rows of `counted_pairs` stand for, with their other columns."""
+    others = [c for c in counted.columns if c not in ("a", "b")]
+    left = copies.select(F.col("rep").alias("a"), F.col("part_id").alias("pa"))
+    right = copies.select(F.col("rep").alias("b"), F.col("part_id").alias("pb"))
+    return (meet(counted.join(left, "a"), right, ["b"], "pb", (F.col("a") != F.col("b")) | (F.col("pa") < F.col("pb")), stages, crowded)
+            .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), *others))
+
+
 def faster_partners(folded: DataFrame, wanted: DataFrame, given: DataFrame, size: int, stages: Stages, radius: float,
                     crowded=CROWDED) -> DataFrame:
     """(x, y, x_rank, y_rank, dist): every ``given`` part x with every ``wanted`` part y within ``radius`` whose rank is lower.

@@ -201,10 +201,10 @@ def find_similar_indexed(ws):
 
 @query
 def similarity_percentile(ws):
-    """Per pair of distinct vectors, named by their smallest parts, with the number of pairs of parts it stands for (a = b: copies)."""
+    """Every near pair of parts; ranks are found per pair of distinct vectors, weighted by the pairs of parts it stands for."""
     weighed = ws.stages.save(N.counted_pairs(ws.wide_folded_pairs, ws.folded), "weighed")
-    return (with_percent_rank(weighed, "part_category", "dist", "sim_pct", ws.stages, descending=True, weight="pairs")
-            .select("a", "b", "part_category", "pairs", "sim_pct"))
+    ranked = with_percent_rank(weighed, "part_category", "dist", "sim_pct", ws.stages, descending=True, weight="pairs")
+    return N.unfold_counted(ranked, ws.copies, ws.stages).select("a", "b", "part_category", "sim_pct")
 
 
 @query

@@ -1,9 +1,11 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from itemweld import registry
 from itemweld.operators import crowds as K, features as FT, neighbors as N
 from itemweld.plans import matching as M
 
@@ -227,3 +229,21 @@ def test_nearest_work_is_linear_in_a_dense_cluster(spark, stages, monkeypatch):
 
     small, large = work(1500), work(6000)
     assert large < 8 * small and large < 6000 * 400
+
+
+def test_percentiles_name_every_pair_of_parts(spark, stages):
+    rows = catalogue()
+    points = frame(spark, rows)
+    folded = M.fold(points, stages)
+    pairs = stages.save(N.folded_pairs_exact(folded, 4, stages, RADIUS), "pairs")
+    ws = SimpleNamespace(stages=stages, folded=folded, wide_folded_pairs=pairs, copies=N.copies_of(points, folded))
+    want = brute_pairs(rows, RADIUS)
+    kind = {r[0]: r[1] for r in rows}
+    got = {}
+    for r in registry.similarity_percentile(ws).collect():
+        assert (r.a, r.b) not in got
+        got[r.a, r.b] = r.sim_pct
+    assert set(got) == set(want)
+    for pair, pct in got.items():
+        others = [d for p, d in want.items() if kind[p[0]] == kind[pair[0]]]
+        assert pct == pytest.approx(sum(d > want[pair] + 1e-12 for d in others) / max(len(others) - 1, 1))
