@@ -221,24 +221,31 @@ def lsh_width(radius: float, size: int) -> int:
     return math.ceil(4 * radius * 1e6 * 1000 * math.sqrt(size / 3))
 
 
+def lsh_signature(size: int, radius: float, tables=LSH_TABLES) -> Column:
+    """The bucket of a vector in each table, as an array."""
+    width = F.lit(lsh_width(radius, size))
+    return F.array(*[F.floor(reduce(lambda x, y: x + y, [
+        F.lit(lsh_coefficient(t, i)) * F.round(F.get("feature_vector", F.lit(i)) * 1e6).cast("bigint")
+        for i in range(size)]) / width) for t in range(tables)])
+
+
 def folded_pairs_lsh(folded: DataFrame, size: int, stages: Stages, radius=MATCH_DISTANCE,
                      tables=LSH_TABLES, crowded=CROWDED) -> DataFrame:
     """Pairs that share a bucket of a random projection (approximate: a subset of the exact
     ones). The projections are whole-number arithmetic on millionths with fixed
-    coefficients, so the buckets are the same on every engine."""
-    width = F.lit(lsh_width(radius, size))
-    buckets = F.array(*[F.struct(F.lit(t).alias("tbl"), F.floor(reduce(lambda x, y: x + y, [
-        F.lit(lsh_coefficient(t, i)) * F.round(F.get("feature_vector", F.lit(i)) * 1e6).cast("bigint")
-        for i in range(size)]) / width).alias("bucket")) for t in range(tables)])
-    hashed = stages.save(folded.select("rep", *BLOCK, "feature_vector", F.explode(buckets).alias("h"))
-                         .select("rep", *BLOCK, "feature_vector", "h.tbl", "h.bucket"), "lsh")
-    left = hashed.select(F.col("rep").alias("a"), *BLOCK, "tbl", "bucket", F.col("feature_vector").alias("va"))
-    right = hashed.select(F.col("rep").alias("b"), *BLOCK, "tbl", "bucket", F.col("feature_vector").alias("vb"))
-    dist = l2(F.col("va"), F.col("vb"), size)
-    near = within(F.col("va"), F.col("vb"), size, radius)
-    met = meet(left, right, BLOCK + ["tbl", "bucket"], "b",
-               (F.col("a") < F.col("b")) & near, stages, crowded)
-    return met.select("a", "b", *BLOCK, dist.alias("dist")).dropDuplicates(["a", "b"])
+    coefficients, so the buckets are the same on every engine.
+
+    A bucket is a slab several radii wide through its whole block, so its rows meet by cells and
+    not all with all: a pair meets once, whatever the number of tables, and its signatures
+    say whether it has a bucket in common.
+    """
+    bands = stages.save(plan_bands(folded, radius), "bands")
+    hashed = stages.save(folded.select("rep", *BLOCK, "feature_vector", lsh_signature(size, radius, tables).alias("h")), "lsh")
+    left = hashed.select(F.col("rep").alias("a"), *BLOCK, F.col("feature_vector").alias("va"), F.col("h").alias("ha"))
+    right = hashed.select(F.col("rep").alias("b"), *BLOCK, F.col("feature_vector").alias("vb"), F.col("h").alias("hb"))
+    shared = reduce(lambda x, y: x | y, [F.get("ha", F.lit(t)) == F.get("hb", F.lit(t)) for t in range(tables)])
+    return (band_pairs(left, right, bands, radius, size, stages, (F.col("a") < F.col("b")) & shared, crowded=crowded)
+            .select("a", "b", *BLOCK, "dist"))
 
 
 def copies_of(vectors: DataFrame, folded: DataFrame) -> DataFrame:

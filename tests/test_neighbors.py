@@ -247,3 +247,23 @@ def test_percentiles_name_every_pair_of_parts(spark, stages):
     for pair, pct in got.items():
         others = [d for p, d in want.items() if kind[p[0]] == kind[pair[0]]]
         assert pct == pytest.approx(sum(d > want[pair] + 1e-12 for d in others) / max(len(others) - 1, 1))
+
+
+def test_buckets_do_not_compare_all_their_rows(spark, stages, monkeypatch):
+    """A slab through a wide block holds a share of all rows; few of them are near each other."""
+    rng = random.Random(5)
+    met = []
+    inner = N.meet
+
+    def counted(left, right, keys, right_id, condition, *rest, **kw):
+        met.append(inner(left, right, keys, right_id, F.lit(True), *rest, **kw).count())
+        return inner(left, right, keys, right_id, condition, *rest, **kw)
+
+    monkeypatch.setattr(N, "meet", counted)
+    rows = [(f"p{i}", "A", "m", [rng.random() * 6 for _ in range(3)]) for i in range(3000)]
+    folded = M.fold(frame(spark, rows), stages)
+    got = {(r.a, r.b) for r in N.folded_pairs_lsh(folded, 3, stages, RADIUS).collect()}
+    assert sum(met) < 30 * len(rows)
+    width = N.lsh_width(RADIUS, 3)
+    hashes = {r[0]: [sum(N.lsh_coefficient(t, i) * round(z * 1e6) for i, z in enumerate(r[3])) // width for t in range(N.LSH_TABLES)] for r in rows}
+    assert got == {p for p in brute_pairs(rows, RADIUS) if any(x == y for x, y in zip(hashes[p[0]], hashes[p[1]]))}
