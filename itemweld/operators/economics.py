@@ -69,9 +69,10 @@ def match_groups(spans: DataFrame, savings: DataFrame) -> DataFrame:
 
 
 def best_offers(offers: DataFrame) -> DataFrame:
-    """One row per (supplier_id, part_id): the cheapest of repeated offers."""
+    """One row per (supplier_id, part_id): the cheapest of repeated offers. A least struct is found by
+    sorting, and a part has fewer offers than a supplier, so it comes first."""
     return (offers.withColumn("net_price", net_price())
-            .groupBy("supplier_id", "part_id")
+            .groupBy("part_id", "supplier_id")
             .agg(F.min(F.struct("net_price", "price_per_unit", "unit_discount", "lead_time_days",
                                 "currency", "material_quality_grade")).alias("o"))
             .select("supplier_id", "part_id", "o.*"))

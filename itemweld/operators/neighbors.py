@@ -33,15 +33,27 @@ LEVELS = 24            # halvings of the first radius at most
 BAND_SLACK = 1e-9      # widens cells so float division cannot lose a pair at r
 
 
+def vector_key() -> Column:
+    """A first key for sorts by vector: arrays compare element by element, a number at once. The vector stays
+    a key beside it, so equal hashes of different vectors change nothing."""
+    return F.xxhash64(*BLOCK, "feature_vector")
+
+
+def on_vector(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join of two tables on block and vector."""
+    return (left.withColumn("vector_key", vector_key())
+            .join(right.withColumn("vector_key", vector_key()), ["vector_key", *BLOCK, "feature_vector"]).drop("vector_key"))
+
+
 def fold_copies(vectors: DataFrame) -> DataFrame:
     """One row per distinct vector of a block: (rep, block, feature_vector, copies).
 
     Map-side combine makes a group of identical parts, however large, one row per
     map task before the shuffle.
     """
-    return vectors.groupBy(*BLOCK, "feature_vector").agg(
+    return vectors.groupBy(vector_key().alias("vector_key"), *BLOCK, "feature_vector").agg(
         F.min("part_id").alias("rep"),
-        F.count(F.lit(1)).alias("copies"))
+        F.count(F.lit(1)).alias("copies")).drop("vector_key")
 
 
 def spread(folded: DataFrame, radius: float) -> DataFrame:
@@ -250,8 +262,7 @@ def folded_pairs_lsh(folded: DataFrame, size: int, stages: Stages, radius=MATCH_
 
 def copies_of(vectors: DataFrame, folded: DataFrame) -> DataFrame:
     """(part_id, block, rep, copies): which representative stands for each part."""
-    return (vectors.join(folded, BLOCK + ["feature_vector"])
-            .select("part_id", *BLOCK, "rep", "copies"))
+    return on_vector(vectors, folded).select("part_id", *BLOCK, "rep", "copies")
 
 
 def unfold_pairs(pairs: DataFrame, copies: DataFrame, stages: Stages, crowded=CROWDED) -> DataFrame:
@@ -367,7 +378,7 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: St
     smallest ids can be among anyone's k nearest, and probes with the same vector
     share one search.
     """
-    by_copy = W.partitionBy(*BLOCK, "feature_vector").orderBy("part_id")
+    by_copy = W.partitionBy(vector_key(), *BLOCK, "feature_vector").orderBy("part_id")
     candidates = stages.save(
         vectors.select("part_id", *BLOCK, "feature_vector")
                .withColumn("copy_no", F.row_number().over(by_copy))

@@ -68,9 +68,7 @@ def label_parts(points: DataFrame, folded: DataFrame, pairs, size: int, stages:
         best = N.rep_similarity(pairs, folded)
     labels = comps.withColumnRenamed("id", "rep").join(best, "rep")
     named = folded.join(labels, "rep").select(*N.BLOCK, "feature_vector", "comp", "similarity")
-    return stages.save(
-        points.join(named, N.BLOCK + ["feature_vector"]).select("part_id", "comp", "similarity"),
-        "labels")
+    return stages.save(N.on_vector(points, named).select("part_id", "comp", "similarity"), "labels")
 
 
 def build_members(labels: DataFrame, parts: DataFrame, models: DataFrame, stages: Stages) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemweld import registry
-from itemweld.operators import crowds as K, features as FT, neighbors as N
+from itemweld.operators import crowds as K, economics as E, features as FT, neighbors as N
 from itemweld.plans import matching as M
 
 RADIUS = 0.3
@@ -267,3 +267,20 @@ def test_buckets_do_not_compare_all_their_rows(spark, stages, monkeypatch):
     width = N.lsh_width(RADIUS, 3)
     hashes = {r[0]: [sum(N.lsh_coefficient(t, i) * round(z * 1e6) for i, z in enumerate(r[3])) // width for t in range(N.LSH_TABLES)] for r in rows}
     assert got == {p for p in brute_pairs(rows, RADIUS) if any(x == y for x, y in zip(hashes[p[0]], hashes[p[1]]))}
+
+
+def test_vectors_are_sorted_by_a_number_first(spark, stages):
+    points = frame(spark, catalogue())
+    folded = M.fold(points, stages)
+    for df in (N.fold_copies(points), N.copies_of(points, folded)):
+        assert "xxhash64(part_category" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.part_id: r.rep for r in N.copies_of(points, folded).collect()} == {
+        p[0]: min(q[0] for q in catalogue() if q[1:] == p[1:]) for p in catalogue()}
+
+
+def test_cheapest_offers_sort_by_part_first(spark):
+    offers = spark.createDataFrame([("s1", "p1", 2.0, 0.0, 7, "USD", "A"), ("s1", "p1", 1.0, 0.0, 7, "USD", "B"), ("s1", "p2", 3.0, 0.0, 7, "USD", "A")],
+                                   "supplier_id string, part_id string, price_per_unit double, unit_discount double, lead_time_days int, currency string, material_quality_grade string")
+    best = E.best_offers(offers)
+    assert "SortAggregate(key=[part_id" in best._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.supplier_id, r.part_id, r.net_price) for r in best.collect()) == [("s1", "p1", 1.0), ("s1", "p2", 3.0)]
