@@ -75,12 +75,16 @@ def incremental_features(ws):
 
 
 # --- generator ------------------------------------------------------------------
+def _generated_base(ws):
+    if not hasattr(ws, "_generated_base"):
+        ids = ws.src.scan("part", "p_partkey").withColumnRenamed("p_partkey", "id")
+        ws._generated_base = ws.stages.save(G.base_parts(ids, round_once=True), "g_base")
+    return ws._generated_base
+
+
 def _generated(ws):
     if not hasattr(ws, "_generated"):
-        ids = ws.src.scan("part", "p_partkey").withColumnRenamed("p_partkey", "id")
-        base = ws.stages.save(G.base_parts(ids, round_once=True), "g_base")
-        every = ws.stages.save(G.parts(ids, ws.stages, round_once=True), "g_parts")
-        ws._generated = base, every
+        ws._generated = ws.stages.save(G.with_seeds(_generated_base(ws)), "g_parts")
     return ws._generated
 
 
@@ -95,48 +99,48 @@ def gen_range_suppliers(ws):
 
 @query
 def gen_base_parts(ws):
-    return _generated(ws)[0].select(*_VARIANT_COLUMNS)
+    return _generated_base(ws).select(*_VARIANT_COLUMNS)
 
 
 @query
 def seed_duplicates(ws):
-    return G.duplicates(_generated(ws)[0]).select(*_VARIANT_COLUMNS)
+    return G.duplicates(_generated_base(ws)).select(*_VARIANT_COLUMNS)
 
 
 @query
 def seed_hard_negatives(ws):
-    return G.hard_negatives(_generated(ws)[0]).select(*_VARIANT_COLUMNS)
+    return G.hard_negatives(_generated_base(ws)).select(*_VARIANT_COLUMNS)
 
 
 @query
 def seed_near_misses(ws):
-    return G.near_misses(_generated(ws)[0]).select(*_VARIANT_COLUMNS)
+    return G.near_misses(_generated_base(ws)).select(*_VARIANT_COLUMNS)
 
 
 @query
 def gen_description(ws):
-    return _generated(ws)[1].select("part_id", "description")
+    return _generated(ws).select("part_id", "description")
 
 
 @query
 def gen_annual_volume(ws):
-    return _generated(ws)[1].select("part_id", "annual_volume")
+    return _generated(ws).select("part_id", "annual_volume")
 
 
 @query
 def gen_supplier_offers(ws):
-    return G.offers(_generated(ws)[1], ws.stages)
+    return G.offers(_generated(ws), ws.stages)
 
 
 @query
 def gen_ground_truth(ws):
-    return EV.ground_truth(_generated(ws)[1], G.LABEL_OF_SUFFIX)
+    return EV.ground_truth(_generated(ws), G.LABEL_OF_SUFFIX)
 
 
 @query
 def gen_match_groups(ws):
     """The whole match build over the generated catalogue, with all features."""
-    every = _generated(ws)[1]
+    every = _generated(ws)
     offers = ws.stages.save(G.offers(every, ws.stages), "g_offers")
     built = matching.build(every, G.models(G.plants(ws.spark)), offers, ws.stages)
     return group_rows(built.groups)
@@ -235,7 +239,7 @@ def crowd_members(ws):
 
 @query
 def gen_best_offers(ws):
-    return E.best_offers(G.offers(_generated(ws)[1], ws.stages))
+    return E.best_offers(G.offers(_generated(ws), ws.stages))
 
 
 @query

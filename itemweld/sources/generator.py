@@ -296,13 +296,17 @@ def with_annual_volume(parts: DataFrame) -> DataFrame:
     return parts.withColumn("annual_volume", F.round(low * F.pow(ratio, share)).cast("int"))
 
 
-def parts(ids: DataFrame, stages: Stages, round_once=False) -> DataFrame:
-    """Base parts and all seeded variants, described and with volumes."""
-    base = stages.save(base_parts(ids, round_once), "base_parts")
+def with_seeds(base: DataFrame) -> DataFrame:
+    """Stored base parts and all variants seeded from them, described and with volumes."""
     every = reduce(DataFrame.unionByName, [base, duplicates(base), hard_negatives(base), near_misses(base)])
     return with_annual_volume(with_description(every))
 
 
+def parts(ids: DataFrame, stages: Stages, round_once=False) -> DataFrame:
+    """Base parts and all seeded variants."""
+    return with_seeds(stages.save(base_parts(ids, round_once), "base_parts"))
+
+
 def offers(part_table: DataFrame, stages: Stages) -> DataFrame:
     """One to three offers per part around a list price that follows its size."""
     sized = with_percent_rank(part_table.select("part_id", "part_category", "material", "weight"),
