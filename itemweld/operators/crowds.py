@@ -29,6 +29,7 @@ from itemweld.sources.staging import Stages
 
 CROWD_CELL = 20_000     # rows of one cell from which pairs are not listed
 CROWD_WORK = 100        # cell mates per row, on average, from which they are not
+COUNT_WORK = 2_000      # cell mates per row of a block from which its pairs are counted by boxes of cells
 HALVINGS = 24           # below 1e-7 of the match distance, rounded vectors differ
 
 
@@ -46,6 +47,14 @@ def is_crowded(folded: DataFrame, bands: DataFrame, radius: float, cell=CROWD_CE
     return fullest > cell or mates > work
 
 
+def crowded_blocks(folded: DataFrame, bands: DataFrame, radius: float, work=COUNT_WORK, max_bands=MAX_BANDS) -> DataFrame:
+    """The blocks in which a row has more than ``work`` cell mates on average. In the others a join by cells makes at most
+    2 ** max_bands times ``work`` comparisons a row, since those of two cells are at most the mean of both squares."""
+    n = F.col("count").cast("double")
+    return (home_cells(folded, bands, radius, max_bands).groupBy(*BLOCK, *[f"c{i}" for i in range(max_bands)]).count()
+            .groupBy(*BLOCK).agg((F.sum(n * n) / F.sum(n)).alias("mates")).where(F.col("mates") > work).select(*BLOCK))
+
+
 def grid_is_crowded(folded: DataFrame, size: int, shape=(GRID_CELL, GRID_COUNT), cell=CROWD_CELL, work=CROWD_WORK) -> bool:
     """The same question for the cells of the shifted grids."""
     n = F.col("count").cast("double")

@@ -298,6 +298,21 @@ def counted_pairs(pairs: DataFrame, folded: DataFrame) -> DataFrame:
     return across.unionByName(within)
 
 
+def binned_pairs(folded: DataFrame, bands: DataFrame, size: int, stages: Stages, radius: float, bin_of, crowded=CROWDED) -> DataFrame:
+    """(block, bin, pairs): how many pairs of parts within ``radius`` fall into each bin, copies at distance 0 included.
+
+    As `dual_cells.count_pairs`, for blocks whose cells hold few rows: vectors move once per touched cell, and a
+    pair is counted where it is met, so what is shuffled grows with the vectors and not with the pairs.
+    """
+    side = lambda rep, vector, copies: folded.select(
+        F.col("rep").alias(rep), *BLOCK, F.col("feature_vector").alias(vector), F.col("copies").alias(copies))
+    met = band_pairs(side("a", "va", "na"), side("b", "vb", "nb"), bands, radius, size, stages, F.col("a") < F.col("b"), crowded=crowded)
+    across = met.groupBy(*BLOCK, bin_of(F.col("dist")).alias("bin")).agg(F.sum(F.col("na") * F.col("nb")).alias("pairs"))
+    within = (folded.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in BLOCK])).where(F.col("copies") > 1)
+              .groupBy(*BLOCK, bin_of(F.lit(0.0)).alias("bin")).agg(F.sum(F.expr("copies * (copies - 1) DIV 2")).alias("pairs")))
+    return across.unionByName(within).groupBy(*BLOCK, "bin").agg(F.sum("pairs").alias("pairs"))
+
+
 def unfold_counted(counted: DataFrame, copies: DataFrame, stages: Stages, crowded=CROWDED) -> DataFrame:
     """Every pair of parts (a, b) that the rows of `counted_pairs` stand for, with their other columns."""
     others = [c for c in counted.columns if c not in ("a", "b")]

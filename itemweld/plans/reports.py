@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from itemweld.functions.vectors import distance_at, similarity as alike
+from itemweld.operators.crowds import COUNT_WORK, crowded_blocks
 from itemweld.operators.dual_cells import count_pairs
-from itemweld.operators.neighbors import BLOCK, faster_partners
+from itemweld.operators.neighbors import BLOCK, binned_pairs, faster_partners, plan_bands
 from itemweld.sources.staging import Stages
 
 
@@ -66,10 +67,15 @@ def eval_table(metrics: DataFrame) -> DataFrame:
     ).orderBy("part_category")
 
 
-def similarity_histogram(folded: DataFrame, size: int, stages: Stages, radius: float) -> DataFrame:
-    """Pairs within ``radius`` per category and percent of similarity, counted by cells (`dual_cells.count_pairs`)."""
+def similarity_histogram(folded: DataFrame, size: int, stages: Stages, radius: float, work=COUNT_WORK) -> DataFrame:
+    """Pairs within ``radius`` per category and percent of similarity: in crowded blocks counted by boxes of cells
+    (`dual_cells.count_pairs`), in all others where vectors meet (`neighbors.binned_pairs`)."""
     percent = lambda dist: F.floor(alike(dist) * 100).cast("int")
-    counts = count_pairs(folded, BLOCK, size, stages, radius, percent).rows
+    bands = stages.save(plan_bands(folded, radius), "bands")
+    crowded = stages.save(crowded_blocks(folded, bands, radius, work), "crowded_blocks")
+    counts = binned_pairs(folded.join(crowded, BLOCK, "left_anti"), bands, size, stages, radius, percent)
+    if not crowded.isEmpty():
+        counts = counts.unionByName(count_pairs(folded.join(crowded, BLOCK, "left_semi"), BLOCK, size, stages, radius, percent).rows)
     return (counts.groupBy("part_category", F.col("bin").alias("percent"))
             .agg(F.sum("pairs").alias("pairs")).orderBy("part_category", "percent"))
 

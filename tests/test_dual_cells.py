@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from itemweld.operators import dual_cells as D
 from itemweld.functions.vectors import similarity
-from itemweld.plans import matching as M
+from itemweld.plans import matching as M, reports
 from test_neighbors import brute_pairs, catalogue, dist, frame
 
 PERCENT = lambda d: F.floor(similarity(d) * 100)
@@ -79,3 +79,21 @@ def test_two_touching_dense_cells_cost_about_linear(spark, stages, gap, answer):
         return got.compared
     small, large = work(4_000), work(16_000)
     assert large < 6 * small + 100 and large < 16_000
+
+
+@pytest.mark.parametrize("work", [0, 40, 2_000])
+def test_histogram_counts_sparse_blocks_where_vectors_meet(spark, stages, monkeypatch, work):
+    rng = np.random.default_rng(5)
+    sparse = [(f"s{i:04d}", "c", "m", [float(x) for x in np.round(rng.normal(0, 1, 3), 6)]) for i in range(600)]
+    dense = [(f"d{i:04d}", "c", "n", [float(x) for x in np.round(rng.uniform(0, 0.05, 3), 6)]) for i in range(200)]
+    rows = sparse + dense + [("t1", *sparse[0][1:]), ("t2", *sparse[0][1:]), ("u1", None, "m", [0.0] * 3), ("u2", None, "m", [0.0] * 3)]
+    asked, real = [], reports.count_pairs
+
+    def count(folded, *rest):
+        asked.extend(r.material for r in folded.select("material").distinct().collect())
+        return real(folded, *rest)
+
+    monkeypatch.setattr(reports, "count_pairs", count)
+    got = reports.similarity_histogram(M.fold(frame(spark, rows), stages), 3, stages, 0.3, work).collect()
+    assert {(r.part_category, r.percent): r.pairs for r in got} == brute_counts([r for r in rows if r[1]], 0.3)     # no category, no pair
+    assert sorted(asked) == {0: ["m", "n"], 40: ["n"], 2_000: []}[work]
