@@ -25,7 +25,9 @@ PERCENT = 85         # similarity from which a later line goes
 COUNTERS = 1 << 22   # counters of hashed words: a fixed size, whatever the vocabulary
 SLICE = 1 << 14
 CROWDED = 2000       # entries of a word from which they first meet two centres only
-SLOTS = 1 << 20      # size of the table that keeps most texts out of a shuffle
+SLOTS = 1 << 20      # size of the table that keeps most texts from being looked through again
+MARKS = 1 << 26      # bits that mark wanted keys or lines: a fixed size, more wanted ones only let more others through
+SPREAD = 2654435761  # spreads the lines of a document over the marks
 LINE_COLUMNS = ["row", "doc_id", "line", "key", "bits", "words", "slice", "counts"]
 
 
@@ -216,25 +218,59 @@ def candidates(index: DataFrame, percent: int) -> DataFrame:
     return index.repartition("word").mapInArrow(run, "a long, b long, word int, bits long, place long")
 
 
+def marks(numbers: DataFrame, number: str) -> np.ndarray:
+    """``MARKS`` bits, set where a number of the column ends in the bit's place."""
+    place = F.col(number).bitwiseAND(MARKS - 1)
+    set_bits = (numbers.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at"))
+                .agg(F.bit_or(F.expr("shiftleft(1L, int(place & 63))")).alias("bits")).toArrow())
+    out = np.zeros(MARKS // 64, U64)
+    out[set_bits.column("at").to_numpy()] = set_bits.column("bits").to_numpy().view(U64)
+    return out
+
+
+def marked(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """True for numbers that may be among the marked ones."""
+    place = numbers.view(U64) & U64(64 * len(bits) - 1)
+    return (bits[place >> U64(6)] >> (place & U64(63)) & U64(1)).astype(bool)
+
+
 def settled_by(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stages: Stages, doc_id: str, text: str, percent: int) -> DataFrame:
-    """The later key of each pair (a, b) whose whole sets are similar. The sets are made anew from
-    the texts that hold them."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = stages.save(classes.join(ends, "key").groupBy("row").agg(F.collect_set("line").alias("lines")), "wanted")
+    """The later key of each pair (a, b) whose whole sets are similar. The sets are made anew from the
+    texts that hold them, where these are read: only sets are shuffled, no texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    share = docs.sparkSession.sparkContext.broadcast
+    key_marks = share(marks(ends, "key"))
+
+    def among(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(key_marks.value, batch.column(0).to_numpy())))
+
+    some = classes.select("key", "doc_id", "line", "row").mapInArrow(among, "key long, doc_id long, line int, row long")
+    wanted = stages.save(some.join(ends.distinct(), "key"), "wanted")
+    line_marks = share(marks(wanted.select(F.col("row").bitwiseXOR(F.col("line").cast("long") * SPREAD).alias("n")), "n"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
     slots = F.broadcast(wanted.select(slot("row").alias("slot")).distinct())     # at most SLOTS numbers
-    texts = (named(docs, doc_id, text).withColumn("slot", slot("row")).join(slots, "slot", "left_semi").join(wanted, "row")
-             .select("row", "lines", "text"))
+    texts = named(docs, doc_id, text).withColumn("slot", slot("row")).join(slots, "slot", "left_semi").select("row", "text")
 
     def sets(batches):
         cache = WordHash()
         for block in text_blocks(batches):
-            lines = [set(x) for x in block.column(1).to_pylist()]
-            _, _, bounds, hashes = line_sets(block.column(2).to_pylist(), cache, lines)
-            yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, bounds)), binary_runs(hashes, bounds)], names=["key", "hashes"])
-
+            rows, held = block.column(0).to_numpy(), block.column(1).to_pylist()
+            bounds = starts_of([t.count(b"\n") + 1 if t else 0 for t in held])
+            owner = np.repeat(np.arange(len(held)), np.diff(bounds))
+            number = np.arange(len(owner)) - bounds[owner]
+            hit = marked(line_marks.value, rows[owner] ^ number * SPREAD)
+            lines = {}
+            for d, i in zip(owner[hit].tolist(), number[hit].tolist()):
+                lines.setdefault(d, set()).add(i)
+            _, _, bounds, hashes = line_sets([held[d] for d in lines], cache, list(lines.values()))
+            keys = set_keys(hashes, bounds)
+            yield (pa.RecordBatch.from_arrays([pa.array(keys), binary_runs(hashes, bounds)], names=["key", "hashes"])
+                   .filter(pa.array(marked(key_marks.value, keys))))
+
+    # Rows that repeat both id and text give their sets repeatedly.
     stored = stages.save(texts.mapInArrow(sets, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
-                         .join(classes.select("key", "doc_id", "line"), "key"), "sets")
+                         .join(wanted.select("key", "doc_id", "line"), "key"), "sets")
 
     def compare(batches):
         for batch in batches:
@@ -283,9 +319,9 @@ def removed_lines(docs: DataFrame, *, doc_id="doc_id", text="text", percent=PERC
     more = stages.save(more, "more")
     gone = stages.save(settled.unionByName(done(more)).distinct().withColumn("gone", F.lit(True)), "gone")
 
-    # Of a class that goes all lines go, of the others all but the first.
-    first = classes.select("key", "copies", *[F.col(c).alias(f"f_{c}") for c in ("row", "line")])
-    lost = first.join(gone, "key", "left").where("gone OR copies > 1")
+    # Of a class that goes all lines go, of the others all but the first. Classes of one line that stay are not asked for.
+    first = classes.where("copies > 1").select("key", *[F.col(c).alias(f"f_{c}") for c in ("row", "line")], F.lit(None).cast("boolean").alias("gone"))
+    lost = stages.save(first.unionByName(gone, allowMissingColumns=True).groupBy("key").agg(*[F.max(c).alias(c) for c in ("f_row", "f_line", "gone")]), "lost")
     return (lines.select("key", "row", "line").join(lost, "key").where("gone OR row <> f_row OR line <> f_line")
             .groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 

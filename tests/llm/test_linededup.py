@@ -2,6 +2,7 @@ import random
 
 from itemweld.llm import linededup
 from itemweld.llm.queries import QUERIES
+from itemweld.sources.staging import Stages
 
 
 def brute(docs, percent=85):
@@ -89,3 +90,27 @@ def test_query_covers_every_line_that_is_not_blank(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: r.removed for r in QUERIES["op8_line_dedup"](spark, "/root/testdata/sf0.001").collect()}
     assert got == brute(docs)
+
+
+def test_texts_are_not_shuffled_and_full_marks_change_nothing(spark, monkeypatch):
+    plans, save, broadcast = {}, Stages.save, "spark.sql.autoBroadcastJoinThreshold"
+
+    def seen(self, df, name, **options):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, name, **options)
+
+    monkeypatch.setattr(Stages, "save", seen)
+    monkeypatch.setattr(linededup, "MARKS", 64, raising=False)        # marks let nearly all lines through
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(90)}" for _ in range(12)] for _ in range(20)]
+    docs = [(d, "\n".join(" ".join(rng.choice(base)[:11] + [f"y{rng.randrange(9)}"]) for _ in range(5))) for d in range(60)]
+    old = spark.conf.get(broadcast)
+    spark.conf.set(broadcast, "-1")
+    try:
+        df = spark.createDataFrame(docs + docs[:9], "doc_id long, text string")
+        names = {r.row: r.doc_id for r in linededup.named(df, "doc_id", "text").collect()}
+        got = {names[r.row]: r.removed for r in linededup.removed_lines(df).collect()}
+    finally:
+        spark.conf.set(broadcast, old)
+    assert got == {k: v for k, v in brute(docs).items() if v}
+    assert plans["sets"] and all("hashpartitioning(row" not in p and "hashpartitioning(key" in p for p in plans["sets"])
