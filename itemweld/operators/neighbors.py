@@ -25,6 +25,7 @@ from itemweld.sources.staging import Stages
 
 BLOCK = ["part_category", "material"]
 MAX_BANDS = 4          # cell dimensions at most
+NEAREST_BANDS = 5      # the same in a search for nearest parts
 CROWDED = 4_000        # rows of one cell that one task compares with its partners
 STRAGGLERS = 64        # probes that may be compared with their whole block
 LSH_TABLES = 8
@@ -358,12 +359,12 @@ def rep_similarity(pairs: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def _first_levels(owners: DataFrame, candidates: DataFrame, bands: DataFrame, radius: float, k: int,
-                  growth: float, stages: Stages):
+                  growth: float, stages: Stages, max_bands: int):
     """Probes (a, block, va, level) and the first rounds [(radius, condition of the probes that
     take part)], narrowest first. Level 0 is ``radius``; radii below it exist only as long as some
     cell holds very many rows."""
-    keys = BLOCK + [f"c{i}" for i in range(MAX_BANDS)]
-    counts = lambda r: home_cells(candidates, bands, r).groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
+    keys = BLOCK + [f"c{i}" for i in range(max_bands)]
+    counts = lambda r: home_cells(candidates, bands, r, max_bands).groupBy(*keys).agg(F.count(F.lit(1)).alias("held"))
     radii = [radius]
     while len(radii) <= LEVELS and (counts(radii[-1]).agg(F.max("held")).first()[0] or 0) > CELL_ROWS * (k + 1):
         radii.append(radii[-1] / growth)
@@ -371,7 +372,7 @@ def _first_levels(owners: DataFrame, candidates: DataFrame, bands: DataFrame, ra
     found = []
     for level in range(len(radii) - 1, 0, -1):
         full = counts(radii[level]).where(F.col("held") > k).select(*keys)
-        here = stages.save(home_cells(probes, bands, radii[level]).join(full, keys, "left_semi").drop(*keys[len(BLOCK):]), "level")
+        here = stages.save(home_cells(probes, bands, radii[level], max_bands).join(full, keys, "left_semi").drop(*keys[len(BLOCK):]), "level")
         found.append(here.withColumn("level", F.lit(level)))
         probes = stages.save(probes.join(here.select("a"), "a", "left_anti"), "later")
     found.append(probes.withColumn("level", F.lit(0)))
@@ -381,7 +382,7 @@ def _first_levels(owners: DataFrame, candidates: DataFrame, bands: DataFrame, ra
 
 
 def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: Stages,
-            growth=2.0, crowded=CROWDED) -> DataFrame:
+            growth=2.0, crowded=CROWDED, max_bands=NEAREST_BANDS) -> DataFrame:
     """The k nearest parts of each probe in its block: (part_id, neighbor_id, dist, rank).
 
     Exact, ordered by (dist, neighbor_id). The search radius grows round by round;
@@ -410,20 +411,20 @@ def nearest(probes: DataFrame, vectors: DataFrame, k: int, size: int, stages: St
     # Any cell dimensions give the same result, so they are chosen once.
     unit = 0.25
     measured = stages.save(spread(candidates, unit), "spread")
-    bands = stages.save(plan_bands(candidates, unit, partners=0.0, measured=measured), "bands")
+    bands = stages.save(plan_bands(candidates, unit, max_bands, partners=0.0, measured=measured), "bands")
     blocks, categories = candidates.agg(F.count_distinct(*BLOCK), F.count_distinct("part_category")).first()
     radius = min(widest, max(unit / 8, likely_radius(measured, unit, k, blocks / max(categories, 1))))
 
     order = W.partitionBy("a").orderBy("dist", "b")
     rounds = []
-    open_probes, early = _first_levels(owners, candidates, bands, radius, k, growth, stages)
+    open_probes, early = _first_levels(owners, candidates, bands, radius, k, growth, stages, max_bands)
     while True:
         if early:
             radius, ready = early.pop(0)
         else:
             ready = F.lit(True)
         ranked = stages.save(
-            band_pairs(open_probes.where(ready).drop("level"), right, bands, radius, size, stages, F.lit(True), crowded=crowded)
+            band_pairs(open_probes.where(ready).drop("level"), right, bands, radius, size, stages, F.lit(True), max_bands, crowded)
             .withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
             .select("a", "b", "dist", "place"), "ranked")
         if radius >= widest:

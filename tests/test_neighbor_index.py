@@ -84,3 +84,18 @@ def test_copies_fill_many_files_and_empty_tables(spark, stages):
     assert got(index.similar(frame(spark, rows), 3, 2, stages)) == set()
     with pytest.raises(ValueError):
         NeighborIndex(spark, stages.path("none")).manifest()
+
+
+def test_nearest_cells_use_all_five_dimensions(spark, stages, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(f"p{i:03d}", "c", "m", np.round(rng.uniform(-1, 1, 5), 6).tolist()) for i in range(300)]
+    dims, home_cells = [], N.home_cells
+
+    def seen(df, bands, *more):
+        dims.append(max(len(r.bands) for r in bands.collect()))
+        return home_cells(df, bands, *more)
+
+    monkeypatch.setattr(N, "home_cells", seen)
+    probes = rows[::3]
+    assert got(N.nearest(frame(spark, probes), frame(spark, rows), 4, 5, stages)) == brute(probes, rows, 4)
+    assert set(dims) == {5}
