@@ -16,9 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from itemweld.llm.common import U64, WordHash, binary_runs, mix, starts_of, text_blocks
+from itemweld.llm.common import U64, binary_runs, mix, starts_of, text_blocks
 from itemweld.sources.staging import Stages
 
 PERCENT = 85         # similarity from which a later line goes
@@ -28,6 +29,10 @@ CROWDED = 2000       # entries of a word from which they first meet two centres
 SLOTS = 1 << 20      # size of the table that keeps most texts from being looked through again
 MARKS = 1 << 26      # bits that mark wanted keys or lines: a fixed size, more wanted ones only let more others through
 SPREAD = 2654435761  # spreads the lines of a document over the marks
+BLOCK = 2_000_000    # bytes of text taken at once: arrays of their words stay in the processor's cache
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+LONG_WORD = 32       # longer words are hashed one by one
 LINE_COLUMNS = ["row", "doc_id", "line", "key", "bits", "words", "slice", "counts"]
 
 
@@ -38,20 +43,59 @@ def named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                        t.cast("binary").alias("text"))
 
 
-def line_sets(texts, cache: WordHash, wanted=None):
-    """(text number, line number, bounds, hashes) of the lines that aren't blank; with
-    ``wanted``, per text, only of those line numbers."""
-    flat, sizes, owner, numbers = [], [], [], []
-    for d, t in enumerate(texts):
-        for i, line in enumerate(t.lower().split(b"\n") if t else ()):
-            if wanted is None or i in wanted[d]:
-                words = set(line.split())
-                if words:
-                    flat += words
-                    sizes.append(len(words))
-                    owner.append(d)
-                    numbers.append(i)
-    return np.array(owner, np.int64), np.array(numbers, np.int32), starts_of(sizes), cache.of(flat)
+def word_hashes(text: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the words text[starts[i]:starts[i] + sizes[i]], eight bytes a step for all words at once."""
+    eights = np.frombuffer(text + bytes(16 - len(text) % 8), U64)
+
+    def read(at, left):
+        i, shift = at >> 3, (at & 7).astype(U64) << U64(3)
+        return (eights[i] >> shift | eights[i + 1] << U64(1) << U64(63) - shift) & LOW_BYTES[np.minimum(left, 8)]
+
+    out = mix(read(starts, sizes) + sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
+    for done in range(8, LONG_WORD, 8):
+        more = np.flatnonzero((sizes > done) & (sizes <= LONG_WORD))
+        out[more] = mix(out[more] + read(starts[more] + done, sizes[more] - done))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(text[starts[i]:starts[i] + sizes[i]])
+    return out
+
+
+def runs_by_size(sizes: np.ndarray):
+    """(numbers of the runs of one size, their places in a flat array as a matrix, a row for each run) for each size."""
+    starts, order = starts_of(sizes)[:-1], np.argsort(sizes, kind="stable")
+    cuts = np.flatnonzero(np.diff(sizes[order], prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        runs = order[a:b]
+        yield runs, starts[runs, None] + np.arange(sizes[runs[0]])
+
+
+def line_sets(texts, wanted=None):
+    """(text number, line number, bounds, hashes in ascending order) of the lines of one or more texts that aren't blank;
+    with ``wanted``, only of those lines for which wanted(text numbers, line numbers) is true."""
+    text = b"\n".join([t or b"" for t in texts]).lower()
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(SPACE[data], prepend=True, append=True))
+    begins, ends = edges[::2], edges[1::2]
+    lines = np.append(0, np.flatnonzero(data == 10) + 1)
+    of_text = np.searchsorted(lines, starts_of([len(t) + 1 if t else 1 for t in texts]))      # each text's first line
+    of_text[-1] = len(lines)
+    owner = np.repeat(np.arange(len(texts)), np.diff(of_text))
+    number = np.arange(len(lines)) - of_text[owner]
+    sizes = np.diff(np.append(np.searchsorted(begins, lines), len(begins)))
+    keep = sizes > 0
+    if wanted is not None:
+        keep &= wanted(owner, number)
+        held = np.repeat(keep, sizes)
+        begins, ends = begins[held], ends[held]
+    owner, number, sizes = owner[keep], number[keep].astype(np.int32), sizes[keep]
+    hashes = word_hashes(text, begins, ends - begins)
+    once = np.ones(len(hashes), bool)
+    for _, at in runs_by_size(sizes):
+        hashes[at] = same = np.sort(hashes[at], axis=1)
+        once[at[:, 1:]] = same[:, 1:] != same[:, :-1]
+    if len(sizes):
+        sizes = np.add.reduceat(once, starts_of(sizes)[:-1], dtype=np.int64)
+    return owner, number, starts_of(sizes), hashes[once]
 
 
 def set_keys(hashes, bounds) -> np.ndarray:
@@ -70,13 +114,13 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     each, 255 for more."""
 
     def run(batches):
-        cache, counts = WordHash(), np.zeros(COUNTERS, np.int64)
-        for block in text_blocks(batches):
-            owner, numbers, bounds, hashes = line_sets(block.column(2).to_pylist(), cache)
+        counts = np.zeros(COUNTERS, np.int64)
+        for block in text_blocks(batches, limit=BLOCK):
+            owner, numbers, bounds, hashes = line_sets(block.column(2).to_pylist())
             at, n, sizes = pa.array(owner), len(owner), np.diff(bounds)
             few = equal_only(sizes, percent)
             words = (hashes[np.repeat(~few, sizes)] >> U64(32)).astype(np.uint32)
-            counts += np.bincount(words & np.uint32(COUNTERS - 1), minlength=COUNTERS)
+            np.add.at(counts, (words & np.uint32(COUNTERS - 1)).astype(np.int64), 1)
             bits = np.bitwise_xor.reduceat(U64(1) << (mix(hashes) & U64(63)), bounds[:-1]) if n else np.zeros(0, U64)
             yield pa.RecordBatch.from_arrays(
                 [block.column(0).take(at), block.column(1).take(at), pa.array(numbers), pa.array(set_keys(hashes, bounds)), pa.array(bits.view(np.int64)),
@@ -123,15 +167,14 @@ def prefix_rows(stored: DataFrame, ranks, percent: int) -> DataFrame:
             order = rank[words & np.uint32(COUNTERS - 1)] | words
             sizes = np.array([len(r) // 4 for r in raw], np.int64)
             take = sizes - (percent * sizes + 99) // 100 + 1
-            bounds, first = starts_of(sizes), []
-            for i in range(len(once)):
-                part = order[bounds[i]:bounds[i + 1]]
-                part.sort()
-                first.append(part[:take[i]])
+            into, first = starts_of(take), np.zeros(take.sum(), np.uint32)
+            for sets, at in runs_by_size(sizes):
+                n = take[sets[0]]
+                first[into[sets, None] + np.arange(n)] = np.sort(order[at], axis=1)[:, :n]
             owner = np.repeat(np.arange(len(once)), take)
-            pos = np.arange(len(owner)) - np.repeat(starts_of(take)[:-1], take) + 1
+            pos = np.arange(len(owner)) - np.repeat(into[:-1], take) + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(first).astype(np.uint32).view(np.int32)), pa.array(keys[once][owner]), pa.array(bits[once][owner]),
+                [pa.array(first.view(np.int32)), pa.array(keys[once][owner]), pa.array(bits[once][owner]),
                  pa.array(sizes[owner] << 32 | pos), pa.array(docs[once][owner])], names=["word", "key", "bits", "place", "doc_id"])
 
     return stored.where("slice IS NULL AND length(words) > 0").select("key", "bits", "words", "doc_id").mapInArrow(
@@ -162,11 +205,12 @@ def candidates(index: DataFrame, percent: int) -> DataFrame:
         if not parts:
             return
         word, key, bits, place, doc = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((doc, key, place >> 32, word))      # by length within a word; equal keys have one length
+        order = np.lexsort((key, word.astype(np.int64) << 32 | place >> 32))      # by length within a word; equal keys have one length
         word, key, bits, place, doc = (x[order] for x in (word, key, bits, place, doc))
         first = np.flatnonzero((np.diff(word, prepend=word[0] - 1) != 0) | (np.diff(key, prepend=key[0] - 1) != 0))
         times = np.diff([*first, len(word)])
-        word, key, bits, place, doc = (x[first] for x in (word, key, bits, place, doc))      # the earliest document of each
+        doc = np.minimum.reduceat(doc, first)      # the earliest document of each
+        word, key, bits, place = (x[first] for x in (word, key, bits, place))
         start = np.flatnonzero(np.diff(word.astype(np.int64), prepend=-(1 << 40)))
         size = np.diff([*start, len(word)])
         left = np.repeat(start + size, size) - np.arange(len(word))      # entries from here to the word's end
@@ -253,17 +297,9 @@ def settled_by(pairs: DataFrame, classes: DataFrame, docs: DataFrame, stages: St
     texts = named(docs, doc_id, text).withColumn("slot", slot("row")).join(slots, "slot", "left_semi").select("row", "text")
 
     def sets(batches):
-        cache = WordHash()
-        for block in text_blocks(batches):
-            rows, held = block.column(0).to_numpy(), block.column(1).to_pylist()
-            bounds = starts_of([t.count(b"\n") + 1 if t else 0 for t in held])
-            owner = np.repeat(np.arange(len(held)), np.diff(bounds))
-            number = np.arange(len(owner)) - bounds[owner]
-            hit = marked(line_marks.value, rows[owner] ^ number * SPREAD)
-            lines = {}
-            for d, i in zip(owner[hit].tolist(), number[hit].tolist()):
-                lines.setdefault(d, set()).add(i)
-            _, _, bounds, hashes = line_sets([held[d] for d in lines], cache, list(lines.values()))
+        for block in text_blocks(batches, limit=BLOCK):
+            rows = block.column(0).to_numpy()
+            _, _, bounds, hashes = line_sets(block.column(1).to_pylist(), lambda owner, number: marked(line_marks.value, rows[owner] ^ number * SPREAD))
             keys = set_keys(hashes, bounds)
             yield (pa.RecordBatch.from_arrays([pa.array(keys), binary_runs(hashes, bounds)], names=["key", "hashes"])
                    .filter(pa.array(marked(key_marks.value, keys))))

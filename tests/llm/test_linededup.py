@@ -1,4 +1,8 @@
 import random
+import time
+
+import numpy as np
+import xxhash
 
 from itemweld.llm import linededup
 from itemweld.llm.queries import QUERIES
@@ -114,3 +118,58 @@ def test_texts_are_not_shuffled_and_full_marks_change_nothing(spark, monkeypatch
         spark.conf.set(broadcast, old)
     assert got == {k: v for k, v in brute(docs).items() if v}
     assert plans["sets"] and all("hashpartitioning(row" not in p and "hashpartitioning(key" in p for p in plans["sets"])
+
+
+def plain_sets(texts):
+    """(text number, line number, set of words) of lines that aren't blank, word by word."""
+    lines = ((d, i, set(line.split())) for d, t in enumerate(texts) if t for i, line in enumerate(t.lower().split(b"\n")))
+    return [(d, i, words) for d, i, words in lines if words]
+
+
+def test_sets_of_words_equal_plain_python():
+    rng = random.Random(11)
+    odd = b"abAB \n\t\r\x0b\x0c\x00\x1c\x1f\x85\xa0\xc3"
+    for _ in range(400):
+        texts = [rng.choice([None, b"", b"\n", bytes(rng.choices(odd, k=rng.randrange(60))),
+                             b" ".join(bytes(rng.choices(b"ab\x00", k=rng.randrange(1, 45))) for _ in range(rng.randrange(9)))])
+                 for _ in range(rng.randrange(1, 7))]
+        want = plain_sets(texts)
+        owner, number, bounds, hashes = linededup.line_sets(texts)
+        assert list(zip(owner.tolist(), number.tolist())) == [(d, i) for d, i, _ in want]
+        words = sorted(set().union(*(w for _, _, w in want)))
+        sizes = np.array([len(w) for w in words], np.int64)
+        of = dict(zip(words, linededup.word_hashes(b" ".join(words), np.cumsum(sizes + 1) - sizes - 1, sizes).tolist()))
+        assert len(set(of.values())) == len(words)       # other words, other hashes, wherever a word lies
+        assert [hashes[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [sorted(of[x] for x in w) for _, _, w in want]
+        some = linededup.line_sets(texts, lambda d, i: (d + i) % 2 == 0)
+        held = [k for k, (d, i, _) in enumerate(want) if (d + i) % 2 == 0]
+        assert list(zip(some[0].tolist(), some[1].tolist())) == [want[k][:2] for k in held]
+        assert some[3].tolist() == [x for k in held for x in hashes[bounds[k]:bounds[k + 1]].tolist()]
+
+
+def test_words_are_not_handled_one_by_one():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))).encode() for _ in range(20_000)]
+    texts = [b"\n".join(b" ".join(rng.choices(words, k=40)) for _ in range(10)) for _ in range(700)]
+
+    def plain():
+        known = {}
+        for _, _, line in plain_sets(texts):
+            np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in line), np.uint64, len(line))
+
+    def seconds(work):
+        taken = []
+        for _ in range(3):
+            began = time.process_time()
+            work()
+            taken.append(time.process_time() - began)
+        return min(taken)
+
+    assert seconds(lambda: linededup.line_sets(texts)) < seconds(plain) / 2
+
+
+def test_query_counts_lines(spark, tmp_path):
+    rows = [(1, None), (2, ""), (3, "\n"), (4, "é\n\nb\r\nc"), (5, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_lines for r in QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 4, 5: 1}
