@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from itemweld.llm import automata
 from itemweld.llm.automata import Automaton
-from itemweld.llm.common import U64, WordHash, binary_runs, mix
+from itemweld.llm.common import U64, WordHash, binary_runs, mix, rows_of
 from itemweld.sources.staging import Stages
 
 LONGEST, LEAST, TOP = 5, 100, 2000
@@ -123,12 +123,6 @@ def pair_hashes(ids, hashed):
     return mix(h[:-1] * PAIR + h[1:]), (ids[:-1] != 0) & (ids[1:] != 0)
 
 
-def rows_of(batch):
-    """The rows of a batch one by one."""
-    for i in range(batch.num_rows):
-        yield {name: c[i].as_py() for name, c in zip(batch.schema.names, batch.columns)}
-
-
 def hashed_counts(stored: DataFrame) -> DataFrame:
     """(h, n, shard) of the distinct words and pairs of each shard."""
     schema = pa.schema([("h", pa.int64()), ("n", pa.int32()), ("shard", pa.int64())])

@@ -1,8 +1,13 @@
+import glob
+import os
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from itemweld.llm import nndescent
 from itemweld.llm.queries import QUERIES
+from itemweld.sources.staging import Stages
 
 
 def brute(rows):
@@ -86,3 +91,57 @@ def test_what_the_graph_search_misses_is_compared_whole(spark, monkeypatch):
     rows = [(i, v.tolist()) for i, v in enumerate(flat)] + turned
     assert sum(n for n, _ in brute(rows).values()) >= 40
     check(spark, rows)
+
+
+def clusters(n=60, seed=6):
+    rng = np.random.default_rng(seed)
+    rows = [(i, rng.normal(0, 1, 12).tolist()) for i in range(n)]
+    for c in range(2):
+        base = rng.normal(0, 1, 12)
+        rows += [(100 + 50 * c + i, (base + rng.normal(0, (0.03, 0.12)[c], 12)).tolist()) for i in range(25)]
+    return rows
+
+
+def test_vectors_move_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "SLICE", 1)
+    made = []
+    monkeypatch.setattr(nndescent, "slices_for", lambda *sizes, real=nndescent.slices_for: made.append(real(*sizes)) or made[-1])
+    for name, value in {"PASSES": 1, "ROUNDS": 2, "K": 3}.items():
+        monkeypatch.setattr(nndescent, name, value)
+    check(spark, clusters())
+    assert max(made) > 2
+
+
+def test_tables_and_shuffle_files_go_once_nothing_reads_them(spark):
+    def shuffled():
+        return {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+            spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()) if "shuffle_" in str(b)}
+
+    made = []
+
+    class Kept(Stages):
+        def save(self, df, name, **options):
+            before = shuffled()
+            out = super().save(df, name, **options)
+            made.append((name, len(shuffled() - before)))
+            return out
+
+    kept = Kept(spark, "lean", lean=True)
+    df = spark.createDataFrame(clusters(), "vec_id long, embedding array<float>")
+    assert nndescent.near_links(df, stages=kept).count() == 110
+    left = Counter(os.path.basename(p).rsplit("-", 1)[0] for p in glob.glob(f"{kept.folder}/*"))
+    assert {"graph", "joined", "seeds"} <= {n for n, _ in made} and sum(n for _, n in made) == 0
+    assert not {"given", "points", "bundles", "heads", "placed", "packed", "graph", "joined", "seeds"} & set(left)
+
+
+def test_whole_comparison_finds_every_pair(spark, stages):
+    rng = np.random.default_rng(3)
+    u = rng.normal(0, 1, (300, 8)).astype("<f4")
+    rows = [(i, v.tobytes(), float(r), 1) for i, (v, r) in enumerate(zip(u, rng.choice([0.0, 0.1], 300)))]
+    leaders = stages.save(spark.createDataFrame(rows, "node long, u binary, r double, weight long").repartition(5), "leaders")
+    got = {(r.a, r.b) for r in nndescent.whole_edges(leaders, "<f4", stages).collect()}
+    x = u.astype(float) / np.linalg.norm(u.astype(float), axis=1)[:, None]
+    gap = np.arccos(np.clip(x @ x.T, -1, 1)) - np.add.outer([r[2] for r in rows], [r[2] for r in rows])
+    np.fill_diagonal(gap, 9)
+    want = set(zip(*(k.tolist() for k in np.nonzero(gap <= nndescent.THETA + nndescent.SLACK))))
+    assert len(want) >= 10 and want <= got and all(gap[e] <= nndescent.THETA + 1e-5 for e in got)
