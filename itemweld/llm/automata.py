@@ -5,6 +5,7 @@ start there, so walking a sequence adds up its number in sorted order, and the c
 array by that number. Labels are numbers of a word list.
 """
 
+import heapq
 import pickle
 import zlib
 from bisect import bisect_right
@@ -125,13 +126,34 @@ def from_rows(rows, counts, words) -> Automaton:
     return builder.done([words[x] for x in ids])
 
 
+def summed(streams, least):
+    """(sequence, sum of counts) of sorted streams, in order, sums below ``least`` left out."""
+    now, total = None, 0
+    for sequence, weight in heapq.merge(*streams):
+        if sequence == now:
+            total += weight
+            continue
+        if now is not None and total >= least:
+            yield now, total
+        now, total = sequence, weight
+    if now is not None and total >= least:
+        yield now, total
+
+
 def union(automata, least=1):
     """Sorted (sequence, sum of counts) of several automata, sums below ``least`` left out."""
-    total = {}
-    for a in automata:
-        for sequence, weight in a.items():
-            total[sequence] = total.get(sequence, 0) + weight
-    return sorted(item for item in total.items() if item[1] >= least)
+    return list(summed([a.items() for a in automata], least))
+
+
+def united(dumps, least=1):
+    """The same, one by one, of (first sequence, dump) of many automata. Each is held only between its first and its
+    last sequence, so that of a list cut into consecutive automata one is in memory at a time."""
+
+    def opened(first, raw):
+        yield first, 0      # nothing is loaded until this one's turn
+        yield from Automaton.load(raw).items()
+
+    return summed([opened(first, raw) for first, raw in dumps], least)
 
 
 def composed(asked: Automaton, counted: Automaton):
@@ -161,11 +183,11 @@ def composed(asked: Automaton, counted: Automaton):
             m += asked.number[to]
 
 
-def pieces(items, bounds):
-    """Cuts sorted items at the bounds (sorted sequences): (number of the range, list of items)."""
+def pieces(items, bounds, most=None):
+    """Cuts sorted items at the bounds (sorted sequences), and into lists of ``most`` items: (number of the range, list of items)."""
     now, held = 0, []
     for sequence, weight in items:
-        if now < len(bounds) and sequence >= bounds[now]:
+        if len(held) == most or now < len(bounds) and sequence >= bounds[now]:
             if held:
                 yield now, held
             held = []

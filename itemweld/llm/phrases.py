@@ -4,13 +4,15 @@
 2. Every shard names its distinct words and word pairs by a 64-bit hash with their counts. Sums of
    counts per hash tell each shard which of its own words and pairs may occur often enough; a phrase
    can't be frequent unless all its pairs are. Equal hashes of different pairs only let more pass.
-3. Every shard builds automata of its sorted phrases of one to five words that passed, cut at prefix ranges.
-   Those of a range are united, with counts summed, group by group; ranges get finer as automata
-   get larger. What is below the least count leaves after the last union.
+3. Every shard builds automata of its sorted phrases of one to five words that passed, cut at prefix ranges
+   and into consecutive pieces of PIECE phrases. Those of a range are united as sorted streams, with counts
+   summed, group by group; a task holds one piece of each shard or earlier union at a time. Ranges get
+   finer as automata get larger. What is below the least count leaves after the last union.
 4. Every candidate asks for the counts of its parts: the questions of a range are an automaton too and
    are composed with the range's counts.
 """
 
+import pickle
 from bisect import bisect_left
 
 import numpy as np
@@ -25,13 +27,14 @@ from itemweld.llm.common import U64, WordHash, binary_runs, mix, rows_of
 from itemweld.sources.staging import Stages
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-SHARD = 3_000_000          # words of a shard, about
+SHARD = 1_000_000          # words of a shard, about
+PIECE = 8_000              # phrases of an automaton
 AT_ONCE = 1 << 20          # bytes tokenised at once
 KEYS_PER_TASK = 2_000_000  # hashed words and pairs a task sums
 PACKED = 1_000_000         # hashes a task holds before it hands them on
 PER_RANGE = 10_000_000     # words of the corpus for each prefix range
 FAN, CUTS = 64, 16         # automata united at once; a range is cut into so many finer ones
-ASKED = 400_000            # questions composed in one task
+ASKED = 100_000            # questions composed in one task
 PAIR = U64(0x9E3779B97F4A7C15)
 
 # What ends a piece.
@@ -204,12 +207,12 @@ def shard_phrases(row, longest):
     linked = real & (r[:-1] >= 0) & (r[1:] >= 0)
     linked[linked] = known(pairs[linked])
     # The phrases of m words are numbered in sorted order, so those of m + 1 are sorted by (number, word).
-    at, number, parts, counts = np.flatnonzero(r >= 0), None, [], []
+    at, parts, counts = np.flatnonzero(r >= 0), [], []
     number = r[at]
-    texts = np.arange(len(kept))[:, None]
+    texts = np.arange(len(kept), dtype=np.int32)[:, None]
     for m in range(1, longest + 1):
         found, number, n = np.unique(number, return_inverse=True, return_counts=True)
-        texts = texts[found] if m == 1 else np.concatenate([texts[found // width], (found % width)[:, None]], 1)
+        texts = texts[found] if m == 1 else np.concatenate([texts[found // width], (found % width).astype(np.int32)[:, None]], 1)
         parts.append(np.pad(texts, ((0, 0), (0, longest - m)), constant_values=-1))
         counts.append(n)
         width = max(len(kept), 1)
@@ -221,26 +224,27 @@ def shard_phrases(row, longest):
     return [words[k] for k in kept], every[order], n[order]
 
 
-FRAGMENT = "slot long, place long, n long, automaton binary"
+FRAGMENT = "run long, place long, n long, first binary, automaton binary"
 
 
-def fragments(items, bounds, slot):
-    """Rows of the automata of sorted items, cut at the bounds."""
-    return [(slot, place, len(held), automata.from_items(held).dump()) for place, held in automata.pieces(items, bounds)]
+def fragment(run, place, first, made):
+    """A row of an automaton; ``run`` names the sorted list it was cut from, ``first`` is its first sequence."""
+    return run, place, len(made), pickle.dumps(first), made.dump()
 
 
 def batch_of(rows):
-    slot, place, n, raw = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())],
-                                      names=["slot", "place", "n", "automaton"])
+    run, place, n, first, raw = zip(*rows) if rows else ((), (), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.binary()), pa.array(raw, pa.binary())],
+                                      names=["run", "place", "n", "first", "automaton"])
 
 
 def uniting(bounds, least):
     """Unites the automata of a group into ranges cut at the bounds."""
 
-    def unite(frame):
-        held = [Automaton.load(raw) for raw in frame["automaton"]]
-        return pd.DataFrame(fragments(automata.union(held, least), bounds, 0), columns=["slot", "place", "n", "automaton"])
+    def unite(key, frame):
+        items = automata.united([(pickle.loads(first), raw) for first, raw in zip(frame["first"], frame["automaton"])], least)
+        made = [fragment(key[0], place, held[0][0], automata.from_items(held)) for place, held in automata.pieces(items, bounds, PIECE)]
+        return pd.DataFrame(made, columns=["run", "place", "n", "first", "automaton"])
 
     return unite
 
@@ -278,19 +282,21 @@ def counted(docs: DataFrame, stages: Stages, least: int, longest: int):
                 own = [b[1:] if b[0] == lang else () if b[0] > lang else None for b in first]      # () : the language lies before the bound
                 edges = [len(n) if b == () else 0 if b is None else bisect_left(range(len(n)), b, key=lambda i: tuple([names[x] for x in rows[i] if x >= 0]))
                          for b in own]
-                for place, (a, b) in enumerate(zip([0, *edges], [*edges, len(n)])):
-                    if b > a:
+                every = [*names, lang]
+                for place, (low, high) in enumerate(zip([0, *edges], [*edges, len(n)])):
+                    for a in range(low, high, PIECE):
+                        b = min(a + PIECE, high)
                         part = np.pad(rows[a:b], ((0, 0), (1, 0)), constant_values=label)
-                        made = automata.from_rows(part.tolist(), n[a:b].tolist(), [*names, lang])
-                        yield batch_of([(0, place, b - a, made.dump())])
+                        made = automata.from_rows(part.tolist(), n[a:b].tolist(), every)
+                        yield batch_of([fragment(row["shard"], place, tuple(every[x] for x in part[0].tolist() if x >= 0), made)])
 
-    parts = stages.save(met.select("lang", "ids", "words", "h").mapInArrow(build, FRAGMENT), "built", compression="zstd")
+    parts = stages.save(met.select("shard", "lang", "ids", "words", "h").mapInArrow(build, FRAGMENT), "built", compression="zstd")
     count = stored.count()
     level, slots = 1, -(-max(count, 1) // FAN)
     while True:
         last = slots == 1 and level >= depth
         finer = cut(min(level + 1, depth))
-        parts = parts.withColumn("slot", F.pmod(F.xxhash64("automaton"), F.lit(slots)))
+        parts = parts.withColumn("slot", F.pmod(F.xxhash64("run"), F.lit(slots)))
 
         unite = uniting(finer, least if slots == 1 else 1)
         parts = stages.save(parts.groupBy("slot", "place").applyInPandas(unite, FRAGMENT), f"united{level}", compression="zstd")

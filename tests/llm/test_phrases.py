@@ -6,7 +6,9 @@ from collections import Counter
 from compare import compare
 
 from itemweld.llm import automata, phrases
+from itemweld.llm.automata import Automaton
 from itemweld.llm.queries import QUERIES, SQL
+from itemweld.sources.staging import Stages
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -99,3 +101,32 @@ def test_automata():
         assert all(automata.range_of(k, bounds) == place for k, _ in items)
     same = automata.from_items([((b"x", b"q", b"z"), 1), ((b"y", b"q", b"z"), 2)])
     assert len(same.final) == 4       # the way on after x and y is one
+
+
+def test_unions_are_cut_into_pieces(spark, monkeypatch):
+    for name, value in {"SHARD": 400, "FAN": 3, "PER_RANGE": 4_000, "CUTS": 4, "PIECE": 15}.items():
+        monkeypatch.setattr(phrases, name, value)
+    largest = Counter()
+
+    class Seen(Stages):
+        def save(self, df, name, **options):
+            out = super().save(df, name, **options)
+            if "automaton" in out.columns:
+                largest[name] = max(n for (n,) in out.select("n").collect())
+            return out
+
+    rows = corpus() + [("a b c", "en and more")] * 12
+    assert mined(spark, rows, least=12, stages=Seen(spark, "pieces")) == brute(rows, 12)
+    assert {"built", "united1", "found"} <= set(largest) and max(largest.values()) == 15
+
+
+def test_united_holds_one_piece_of_each_list_at_a_time(monkeypatch):
+    lists = [[((b"%03d" % i, b"x"), 1) for i in range(a, 400, 3)] for a in (0, 0, 1)]
+    dumps = [(held[0][0], automata.from_items(held).dump()) for items in lists for _, held in automata.pieces(items, [], 10)]
+    assert len(dumps) > 30
+    loaded, real = [], Automaton.load
+    monkeypatch.setattr(Automaton, "load", classmethod(lambda cls, raw: loaded.append(raw) or real(raw)))
+    want = automata.union([automata.from_items(items) for items in lists], 2)
+    for k, item in enumerate(automata.united(dumps, 2)):
+        assert item == want[k] and len(loaded) <= 6 + 3 * (int(item[0][0]) + 1) // 30
+    assert k == len(want) - 1 and len(loaded) == len(dumps)
